@@ -1,0 +1,5 @@
+"""Structured Streaming: the batch pipeline on files as they arrive."""
+
+from .stream import stream_counters, stream_normalize
+
+__all__ = ["stream_counters", "stream_normalize"]
