@@ -181,7 +181,9 @@ def _ipv6(s: str) -> str:
 def coerce_ip(x: str) -> str:
     """A valid IPv4 address, or IPv6 in canonical form; anything else is null."""
     s = strip(x)
-    return f"CASE WHEN {s} RLIKE {text('^' + _V4 + '$')} THEN {s} WHEN instr({x}, ':') > 0 THEN {_ipv6(s)} END"
+    v4 = text("^" + _V4 + "$")
+    return (f"CASE WHEN {x} RLIKE {v4} THEN {x} WHEN instr({x}, ':') > 0 THEN {_ipv6(s)} "
+            f"WHEN {s} RLIKE {v4} THEN {s} END")
 
 
 def coerce_ip_list(x: str) -> str:

@@ -46,8 +46,10 @@ def code_table(mapping: dict, key: str) -> str:
     """Look a code up in a small fixed table; null when it is not there."""
     def literal(v):
         return text(v) if isinstance(v, str) else f"{v}L"
-    pairs = ", ".join(f"{literal(k)}, {literal(v)}" for k, v in mapping.items())
-    return f"try_element_at(map({pairs}), {key})"
+    if list(mapping) == list(range(len(mapping))):
+        return f"get(array({', '.join(literal(v) for v in mapping.values())}), cast({key} AS INT))"
+    arms = " ".join(f"WHEN {literal(k)} THEN {literal(v)}" for k, v in mapping.items())
+    return f"CASE {key} {arms} END"
 
 
 def capture(x: str, pattern: str, groups: int) -> str:

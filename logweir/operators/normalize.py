@@ -171,5 +171,6 @@ def _document(df: DataFrame, spec: SourceSpec) -> DataFrame:
 def related(parts: list[str]) -> str:
     """Distinct sorted values of several array expressions; null when there is none."""
     joined = parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})"
-    values = f"array_sort(array_distinct(filter({joined}, v -> v <> '')))"
+    # array_except drops nulls and repeats in one step
+    values = f"sort_array(array_except({joined}, array(cast(null AS STRING))))"
     return f"nullif({values}, cast(array() AS ARRAY<STRING>))"

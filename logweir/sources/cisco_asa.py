@@ -24,7 +24,7 @@ def _pick(built=None, teardown=None, icmp=None, deny=None):
     arms = [("built", "_built", built), ("teardown", "_down", teardown),
             ("icmp", "_icmp", icmp), ("deny", "_deny", deny)]
     return "CASE _variant " + " ".join(
-        f"WHEN '{v}' THEN {strip(f'get({column}, {i})')}" for v, column, i in arms if i is not None) + " END"
+        f"WHEN '{v}' THEN get({column}, {i})" for v, column, i in arms if i is not None) + " END"
 
 
 SPEC = SourceSpec(
@@ -58,7 +58,7 @@ SPEC = SourceSpec(
                       "WHEN _variant IS NOT NULL THEN array('connection', 'end') END",
         "event.outcome": "CASE WHEN _variant = 'deny' THEN 'failure' WHEN _variant IS NOT NULL THEN 'success' END",
         "event.duration": _pick(teardown=8),
-        "event.reason": _pick(teardown=10),
+        "event.reason": strip(_pick(teardown=10)),
         "network.direction": _pick(built=0, icmp=1),
         "network.transport": "CASE WHEN _variant = 'icmp' THEN 'icmp' ELSE "
                              + _pick(built=1, teardown=0, deny=0) + " END",
@@ -73,7 +73,7 @@ SPEC = SourceSpec(
         "destination.nat.port": _pick(built=12),
         "observer.ingress.zone": _pick(built=3, teardown=2, deny=1),
         "observer.egress.zone": _pick(built=8, teardown=5, deny=4),
-        "user.name": _pick(built=13, teardown=11),
+        "user.name": strip(_pick(built=13, teardown=11)),
         "rule.name": _pick(deny=9),
         "log.syslog.priority": "_pri",
         "log.syslog.facility.code": "_pri div 8",

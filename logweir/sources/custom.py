@@ -29,13 +29,12 @@ def _parser(parse: Callable[[str], dict]):
             fields = parse(raw)
             if not isinstance(fields, dict):
                 raise TypeError("parse() must return dict")
-            kept = {k: v if isinstance(v, str) else json.dumps(v) for k, v in fields.items()
-                    if v is not None and v != ""}
-            # Text and JSON values are told apart again when the map is read.
-            kinds = {k: isinstance(fields[k], str) for k in kept}
-            return [(k, v) for k, v in kept.items() if kinds[k]], [(k, v) for k, v in kept.items() if not kinds[k]], None
+            present = {k: v for k, v in fields.items() if v is not None and v != ""}
+            # Text and JSON values are kept apart, to be told apart again later.
+            strings = {k: v for k, v in present.items() if isinstance(v, str)}
+            return strings, {k: json.dumps(v) for k, v in present.items() if k not in strings}, None
         except Exception as e:  # a failing line is data, not a failing job
-            return [], [], f"{type(e).__name__}:{e}"
+            return {}, {}, f"{type(e).__name__}:{e}"
 
     @F.pandas_udf("struct<strings: map<string, string>, others: map<string, string>, error: string>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -4,14 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..functions.sql import code_table, name, text, texts
+from ..functions.sql import code_table, name, text
 
 # Nesting levels that are unfolded; what lies deeper stays JSON under its dotted key.
 DEPTH = 8
 
-_NO_OBJECT = "cast(null AS MAP<STRING, VARIANT>)"
-
-
 def _is_object(v: str) -> str:
     return f"startswith(schema_of_variant({v}), 'OBJECT')"
 
@@ -39,15 +36,15 @@ def json_stages(raw: str = "raw", depth: int = DEPTH) -> tuple[dict[str, str], .
                  "THEN variant_get(_list, '$[0]', 'variant') END"},
         {"_top": "try_cast(_one AS MAP<STRING, VARIANT>)"},
         # Only a line with a brace inside can have nested objects.
-        {"_f": f"map_filter(CASE WHEN instr(substring(ltrim({raw}), 2), '{{') = 0 THEN _top "
-               f"WHEN _top IS NOT NULL THEN {_unfold('map_entries(_top)', depth)} END, "
-               "(k, v) -> NOT is_variant_null(v))",
+        {"_flat": f"CASE WHEN instr(substring(ltrim({raw}), 2), '{{') = 0 THEN _top "
+                  f"WHEN _top IS NOT NULL THEN {_unfold('map_entries(_top)', depth)} END",
          "_json_error": "CASE WHEN _one IS NULL THEN 'JSONDecodeError:invalid JSON' WHEN _top IS NULL THEN "
                         "concat('AttributeError:\\'', CASE WHEN is_variant_null(_one) THEN 'NoneType' ELSE "
                         "coalesce(" + code_table({"STRING": "str", "BIGINT": "int", "BOOLEAN": "bool"},
                                                  "schema_of_variant(_one)")
                         + ", CASE WHEN startswith(schema_of_variant(_one), 'ARRAY') THEN 'list' ELSE 'float' END) END, "
                         "'\\' object has no attribute \\'items\\'') END"},
+        {"_f": f"CASE WHEN instr({raw}, 'null') > 0 THEN map_filter(_flat, (k, v) -> NOT is_variant_null(v)) ELSE _flat END"},
     )
 
 
@@ -67,7 +64,8 @@ def is_true(key: str) -> str:
 
 def rest(consumed, more: str = "false") -> str:
     """The fields that no expression of the source has taken, as JSON text."""
-    return (f"transform_values(map_filter(_f, (k, v) -> NOT (array_contains({texts(consumed)}, k) OR {more})), "
+    keys = ", ".join(text(k) for k in consumed)
+    return (f"transform_values(map_filter(_f, (k, v) -> NOT (k IN ({keys}) OR {more})), "
             "(k, v) -> to_json(v))")
 
 

@@ -116,21 +116,23 @@ def residual_map(staged_df: DataFrame, spec: SourceSpec, failed: dict[str, str]
     could not be coerced.
     """
     types = dict(staged_df.dtypes)
-    entries = []
+    own, back = [], []
     for column, data_type in types.items():
         if not column.startswith(FIELD) or column == FIELD + "*":
             continue
         key = column[len(FIELD):]
         value = as_json(name(column), data_type)
         if target_of(spec, key) is None:
-            entries.append((key, value))
+            own.append((key, value))
         elif failed and key in failed:
-            entries.append((key, f"CASE WHEN {failed[key]} THEN {value} END"))
-    if entries:
-        pairs = ", ".join(f"{text(k)}, {v}" for k, v in entries)
-        own = f"map_filter(map({pairs}), (k, v) -> v IS NOT NULL)"
-    else:
-        own = "cast(map() AS MAP<STRING, STRING>)"
+            # A missing value did not fail.
+            back.append((key, f"{name(column)} IS NOT NULL AND {failed[key]}", value))
+    own = _present_entries(own)
+    if back:
+        # Failed coercions are rare; the map is only widened for lines that have one.
+        some = " OR ".join(f"({condition})" for _, condition, _ in back)
+        more = _present_entries([(k, f"CASE WHEN {condition} THEN {v} END") for k, condition, v in back])
+        own = f"CASE WHEN {some} THEN map_concat({own}, {more}) ELSE {own} END"
     if FIELD + "*" not in types:
         return own
     # Fields found at run time win over declared ones of the same name; none is lost.
@@ -139,6 +141,14 @@ def residual_map(staged_df: DataFrame, spec: SourceSpec, failed: dict[str, str]
     return f"map_concat(map_filter({own}, (k, v) -> NOT coalesce(map_contains_key(`f:*`, k), false)), {extra})"
 
 
+def _present_entries(entries: list[tuple[str, str]]) -> str:
+    """A map of the entries whose value is not null."""
+    if not entries:
+        return "cast(map() AS MAP<STRING, STRING>)"
+    pairs = ", ".join(f"{text(k)}, {v}" for k, v in entries)
+    return f"map_filter(map({pairs}), (k, v) -> v IS NOT NULL)"
+
+
 def source_specs(spark: SparkSession, specs) -> DataFrame:
     """The source definitions as a table, keyed by ``log_type``."""
     rows = [(s.name, s.version, s.module, s.full_dataset, s.provider, s.observer_vendor,

@@ -48,10 +48,12 @@ DNS_FLAGS = ("AA", "TC", "RD", "RA")
 
 
 def _mapped(field_map):
-    """The mapped keys as text; epoch numbers are written as dates straight away."""
+    """The mapped keys as text."""
     out = {key: value(key) for key in field_map}
+    # A number is epoch seconds whatever its size, while number text has to look like a recent date.
     ts = "try_cast(try_element_at(_f, 'ts') AS DOUBLE)"
-    out["ts"] = f"CASE WHEN {json_type('ts')} = 'STRING' THEN {value('ts')} ELSE {coerce_epoch(ts)} END"
+    out["ts"] = (f"CASE WHEN {ts} > 1e9D AND {ts} < 1e11D OR {json_type('ts')} = 'STRING' THEN {value('ts')} "
+                 f"ELSE {coerce_epoch(ts)} END")
     return out
 
 
