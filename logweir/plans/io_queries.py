@@ -61,8 +61,11 @@ def _corpus_scan(spark, sf_dir):
         "cisco_asa.log": corpus(spark, sf_dir).filter("label = 'cisco_asa'").select("line"),
         "zeek_dns.json": table(spark, sf_dir, "supplier").selectExpr("to_json(named_struct('k', s_suppkey, 'n', s_name)) AS line"),
         "notes.txt": table(spark, sf_dir, "nation").selectExpr("n_name AS line"),
+        # Fixed tables of 25 and 5 rows: a JSON document cannot be written in parts.
         "zeek_conn.json": table(spark, sf_dir, "nation").agg(
-            F.expr("concat('{\"kind\":\"x\",\"rows\":', to_json(sort_array(collect_list(named_struct('k', n_nationkey, 'n', n_name)))), '}')").alias("line")),
+            F.expr("to_json(collect_list(named_struct('k', n_nationkey, 'n', n_name)))").alias("line")),
+        "zeek_http.json": table(spark, sf_dir, "region").agg(F.expr(
+            "concat('{\\n\"kind\": \"x\",\\n\"rows\": ', to_json(collect_list(named_struct('k', r_regionkey, 'n', r_name))), '\\n}')").alias("line")),
     }
     for file, df in frames.items():
         parts = f"{folder}-{file}"
@@ -77,7 +80,8 @@ def _corpus_scan(spark, sf_dir):
 _CORPUS_SCAN_SQL = f"""
 SELECT label, line FROM ({_CORPUS_SQL}) WHERE label = 'cisco_asa'
 UNION ALL SELECT 'zeek_dns', '{{"k":' || s_suppkey || ',"n":"' || s_name || '"}}' FROM supplier
-UNION ALL SELECT 'zeek_conn', '{{"k":' || n_nationkey || ',"n":"' || n_name || '"}}' FROM nation"""
+UNION ALL SELECT 'zeek_conn', '{{"k":' || n_nationkey || ',"n":"' || n_name || '"}}' FROM nation
+UNION ALL SELECT 'zeek_http', '{{"k":' || r_regionkey || ',"n":"' || r_name || '"}}' FROM region"""
 
 # --- quarantine review ---------------------------------------------------------------
 _REVIEW = {

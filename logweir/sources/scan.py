@@ -93,7 +93,7 @@ def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
     if not whole:
         return lines.selectExpr(f"{label} AS label", "raw AS line")
     by_line = lines.filter(~F.col("source").isin(whole)).selectExpr(f"{label} AS label", "raw AS line")
-    document = spark.read.option("wholetext", True).text(whole).selectExpr(
+    document = spark.read.text(whole, wholetext=True).selectExpr(
         "make_valid_utf8(value) AS text", f"{_SOURCE.format('_metadata.file_path')} AS source")
     array = ("CASE WHEN ltrim(text) LIKE '[%' THEN text ELSE "
              "filter(map_values(from_json(text, 'map<string,string>')), v -> v LIKE '[%')[0] END")
