@@ -33,6 +33,8 @@ def main() -> None:
              .config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "20g")
              # The tables are single small files: cut the scan so that every core gets rows.
              .config("spark.sql.files.maxPartitionBytes", "1m").config("spark.sql.files.openCostInBytes", "64k")
+             # N-grams multiply a line some hundred times, so small shuffles are not merged into one task.
+             .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
              .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     configure(spark)

@@ -81,8 +81,10 @@ def tfidf_vectors(lines: DataFrame, key: str, text_column: str, terms: DataFrame
                   n_terms: int = MAX_TERMS) -> DataFrame:
     """Sparse vectors of length one as rows ``key, term, weight``."""
     weighted = _line_terms(lines, key, text_column, terms, n_terms)
-    norms = weighted.groupBy(key).agg(F.expr("sqrt(sum(x * x))").alias("norm"))
-    return weighted.join(norms, key).selectExpr(name(key), "term", "x / norm AS weight")
+    # One group per line, so its list is at most the line's own distinct n-grams.
+    per_line = weighted.groupBy(key).agg(F.collect_list(F.struct("term", "x")).alias("xs"),
+                                         F.expr("sqrt(sum(x * x))").alias("norm"))
+    return per_line.selectExpr(name(key), "norm", "inline(xs)").selectExpr(name(key), "term", "x / norm AS weight")
 
 
 def score(lines: DataFrame, key: str, text_column: str, model: LogTypeModel) -> DataFrame:

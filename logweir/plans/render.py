@@ -11,6 +11,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .query import table
+
 YEAR = 2024
 RECEIVED = "timestamp'2026-01-01 00:00:00'"
 RECEIVED_TEXT = "2026-01-01T00:00:00.000+00:00"
@@ -28,7 +30,7 @@ class Rendering:
 
     def lines(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         """``source, seq, raw`` and the facts' ``seq`` for every row of the table."""
-        df = spark.read.parquet(f"{sf_dir}/{self.table}.parquet")
+        df = table(spark, sf_dir, self.table)
         facts = [f"{e} AS {n}" for n, e in self.facts.items()]
         return df.selectExpr(*facts, "*").selectExpr(f"{self.source} AS source", "seq", f"{self.raw} AS raw")
 
@@ -287,7 +289,7 @@ FOREIGN = "concat('1,', date_format(ts, 'yyyy/MM/dd HH:mm:ss'), ',TRAFFIC,', eve
 
 def mixed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events as lines of four formats, with label, probability and candidates."""
-    df = spark.read.parquet(f"{sf_dir}/events.parquet")
+    df = table(spark, sf_dir, "events")
 
     def line(r: Rendering) -> DataFrame:
         return df.selectExpr(*[f"{e} AS {n}" for n, e in r.facts.items()], "*").selectExpr(

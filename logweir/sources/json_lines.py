@@ -14,13 +14,24 @@ def _is_object(v: str) -> str:
 
 
 def _unfold(entries: str, depth: int) -> str:
-    for _ in range(depth):
-        inner = ("transform(map_entries(try_cast(e.value AS MAP<STRING, VARIANT>)), "
-                 "c -> named_struct('key', concat(e.key, '.', c.key), 'value', c.value))")
-        entries = f"flatten(transform({entries}, e -> CASE WHEN {_is_object('e.value')} THEN {inner} ELSE array(e) END))"
-    # A dotted key and a nested one can meet; the last one counts.
-    return (f"transform(array({entries}), es -> map_from_entries(filter(es, (e, i) -> "
-            "NOT exists(slice(es, i + 2, greatest(size(es) - i - 1, 0)), later -> later.key = e.key))))[0]")
+    """The entries with nested objects replaced by their members, as far as there are any."""
+    if depth == 0:
+        return entries
+    es = f"es{depth}"
+    inner = ("transform(map_entries(try_cast(e.value AS MAP<STRING, VARIANT>)), "
+             "c -> named_struct('key', concat(e.key, '.', c.key), 'value', c.value))")
+    level = f"flatten(transform({es}, e -> CASE WHEN {_is_object('e.value')} THEN {inner} ELSE array(e) END))"
+    # Deeper levels run only for lines that have them.
+    return (f"transform(array({entries}), {es} -> CASE WHEN exists({es}, e -> {_is_object('e.value')}) "
+            f"THEN {_unfold(level, depth - 1)} ELSE {es} END)[0]")
+
+
+def _as_map(entries: str) -> str:
+    """Entries to a map. A dotted key and a nested one can meet; then the last one counts."""
+    last = ("filter(es, (e, i) -> NOT exists(slice(es, i + 2, greatest(size(es) - i - 1, 0)), "
+            "later -> later.key = e.key))")
+    return (f"transform(array({entries}), es -> map_from_entries(CASE WHEN "
+            f"size(array_distinct(transform(es, e -> e.key))) = size(es) THEN es ELSE {last} END))[0]")
 
 
 def json_stages(raw: str = "raw", depth: int = DEPTH) -> tuple[dict[str, str], ...]:
@@ -37,7 +48,7 @@ def json_stages(raw: str = "raw", depth: int = DEPTH) -> tuple[dict[str, str], .
         {"_top": "try_cast(_one AS MAP<STRING, VARIANT>)"},
         # Only a line with a brace inside can have nested objects.
         {"_flat": f"CASE WHEN instr(substring(ltrim({raw}), 2), '{{') = 0 THEN _top "
-                  f"WHEN _top IS NOT NULL THEN {_unfold('map_entries(_top)', depth)} END",
+                  f"WHEN _top IS NOT NULL THEN {_as_map(_unfold('map_entries(_top)', depth))} END",
          "_json_error": "CASE WHEN _one IS NULL THEN 'JSONDecodeError:invalid JSON' WHEN _top IS NULL THEN "
                         "concat('AttributeError:\\'', CASE WHEN is_variant_null(_one) THEN 'NoneType' ELSE "
                         "coalesce(" + code_table({"STRING": "str", "BIGINT": "int", "BOOLEAN": "bool"},
