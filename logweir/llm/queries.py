@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import bpe, id_store, quality, shards, token_count, toxicity, url_filter
+from . import bpe, id_store, ngram_join, quality, shards, suffix_dedup, token_count, toxicity, url_filter
 from .columns import table
 
 
@@ -79,13 +79,22 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.remove_repeats(docs).drop("text")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     return quality.judge(docs, quality.log_ratios(docs, trusted)).drop("text")
 
 
-_BUILDERS = [op1_url_filter, op2_id_store, op4_token_counts, op5_sharding, op6_bpe, op7_toxicity, op10_quality]
+_BUILDERS = [op1_url_filter, op2_id_store, op4_token_counts, op5_sharding, op6_bpe, op7_toxicity, op8_ngram_join, op9_suffix_dedup, op10_quality]
 
 
 def _run(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
