@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import bpe, id_store, ngram_join, quality, shards, suffix_dedup, token_count, toxicity, url_filter
+from . import bpe, decontaminate, id_store, ngram_join, quality, shards, suffix_dedup, token_count, toxicity, url_filter
 from .columns import table
 
 
@@ -47,6 +47,11 @@ def op2_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_store.read_back(spark, id_store.write_ids(docs, tokenizer_path("byte_bpe_50k.json")))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_count.count_tokens(docs, tokenizer_path("piece_bpe_32k.model")).drop("text")
@@ -94,7 +99,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.log_ratios(docs, trusted)).drop("text")
 
 
-_BUILDERS = [op1_url_filter, op2_id_store, op4_token_counts, op5_sharding, op6_bpe, op7_toxicity, op8_ngram_join, op9_suffix_dedup, op10_quality]
+_BUILDERS = [op1_url_filter, op2_id_store, op3_decontamination, op4_token_counts, op5_sharding, op6_bpe, op7_toxicity, op8_ngram_join, op9_suffix_dedup, op10_quality]
 
 
 def _run(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
