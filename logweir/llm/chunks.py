@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 from .files import listed, open_folder
 
-PART_BYTES = 16 << 20
+PART_BYTES = 5 << 20
 #: Bytes of compressed text for each hash bucket, and the fewest buckets.
 BUCKET_BYTES, LEAST_BUCKETS = 4 << 20, 64
 PACKED = "bucket int, chunk long, part int, data binary"
@@ -34,33 +34,38 @@ _PACKED = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("part", pa.
 
 @dataclass(frozen=True)
 class Chunks:
-    """A folder of Parquet files; file k is chunk k."""
+    """A folder of Parquet files; file k is chunk k. Columns are called c0, c1 ... in the table's order."""
 
     folder: str
     names: tuple[str, ...]
     buckets: int
+    ident: str
+    text: str
+    columns: tuple[str, ...]
 
     @classmethod
-    def write(cls, df: DataFrame, purpose: str) -> Chunks:
+    def write(cls, df: DataFrame, purpose: str, id_col: str, text_col: str) -> Chunks:
         """Write a working copy of ``df``: no shuffle, one file per task."""
         folder = scratch_path(df.sparkSession, purpose)
-        df.write.parquet(folder)
+        columns = tuple(f"c{i}" for i in range(len(df.columns)))
+        df.toDF(*columns).write.parquet(folder)
         files = listed(folder, ".parquet")
         size = sum(s for _, s in files)
-        return cls(folder, tuple(n for n, _ in files), max(LEAST_BUCKETS, size // BUCKET_BYTES))
+        at = {c: f"c{i}" for i, c in reversed(list(enumerate(df.columns)))}
+        return cls(folder, tuple(n for n, _ in files), max(LEAST_BUCKETS, size // BUCKET_BYTES), at[id_col], at[text_col], columns)
 
     def ids(self, spark: SparkSession) -> DataFrame:
         """One row per chunk, each in a partition of its own."""
         return spark.range(len(self.names), numPartitions=max(len(self.names), 1)).select(F.col("id").alias("chunk"))
 
-    def parts(self, chunk: int, text: str, columns: list[str] | None = None) -> Iterator[pa.Table]:
+    def parts(self, chunk: int, columns: list[str] | None = None) -> Iterator[pa.Table]:
         """The chunk's rows, in parts."""
         files, path = open_folder(self.folder)
         with files.open_input_file(f"{path}/{self.names[chunk]}") as f:
             held, size = [], 0
             for batch in pq.ParquetFile(f).iter_batches(batch_size=256, columns=columns):
                 held.append(batch)
-                size += batch.column(batch.schema.get_field_index(text)).nbytes
+                size += batch.column(batch.schema.get_field_index(self.text)).nbytes
                 if size >= PART_BYTES:
                     yield pa.Table.from_batches(held)
                     held, size = [], 0
@@ -120,5 +125,12 @@ def to_chunks(answers: DataFrame, chunks: Chunks, receive: Callable[[int, list[d
     return answers.repartition(max(len(chunks.names), 1), "chunk").sortWithinPartitions("chunk", "part", "bucket").mapInArrow(run, schema)
 
 
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Write rows to the shared folder and go on from there: no lineage, and sizes that the planner knows."""
+    path = scratch_path(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
