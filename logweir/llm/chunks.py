@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 from .files import listed, open_folder
 
-PART_BYTES = 5 << 20
+PART_BYTES = 3 << 20
 #: Bytes of compressed text for each hash bucket, and the fewest buckets.
-BUCKET_BYTES, LEAST_BUCKETS = 4 << 20, 64
+BUCKET_BYTES, LEAST_BUCKETS = 2 << 20, 64
 PACKED = "bucket int, chunk long, part int, data binary"
 _PACKED = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("part", pa.int32()), ("data", pa.binary())])
 
