@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -26,6 +27,15 @@ HEADLINE = (
 ).split()
 
 
+def dealt(spark: SparkSession, sf_dir: str, files: int) -> str:
+    """The tables with ``files`` files each, as large tables come: one row group is one task, however many cores there are."""
+    folder = tempfile.mkdtemp(prefix="logweir-bench-")
+    for name in sorted(os.listdir(sf_dir)):
+        if name.endswith(".parquet"):
+            spark.read.parquet(f"{sf_dir}/{name}").repartition(files).write.parquet(f"{folder}/{name}")
+    return folder
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -42,10 +52,11 @@ def main() -> None:
     wanted = os.environ.get("BENCH_QUERIES", " ".join(HEADLINE)).split()
     queries["flagship"].run(spark, os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")
                             if os.path.isdir(os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")) else sf_dir).collect()
+    spread = dealt(spark, sf_dir, int(cpus))
     seconds = {}
     for name in wanted:
         start = time.time()
-        queries[name].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
+        queries[name].run(spark, spread).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.time() - start, 3)
         print(f"{name} {seconds[name]}", file=sys.stderr, flush=True)
     events = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()

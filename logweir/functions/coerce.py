@@ -104,6 +104,11 @@ def parse_timestamp(x: str, year_hint: int | None = None, now: str = "current_ti
         f"WHEN {x} RLIKE {text(_PLAIN)} AND {x} RLIKE {text(_PLAIN_SEPARATORS)} THEN try_cast({plain} AS TIMESTAMP) END")
 
 
+def bare(x: str) -> str:
+    """Text without the white space around it."""
+    return f"btrim({x}, ' \\t\\n\\r')"
+
+
 def epoch_timestamp(x: str) -> str:
     """Epoch seconds (double) to TIMESTAMP, rounded to the microsecond."""
     return f"timestamp_micros(try_cast(rint({x} * 1e6D) AS BIGINT))"
@@ -111,7 +116,7 @@ def epoch_timestamp(x: str) -> str:
 
 def coerce_timestamp(x: str, year_hint: int | None = None, now: str = "current_timestamp()") -> str:
     """Date text to ISO-8601 UTC milliseconds; text that is no date passes unchanged."""
-    return f"coalesce({iso_millis(parse_timestamp(x, year_hint, now))}, nullif({x}, ''))"
+    return f"coalesce({iso_millis(parse_timestamp(bare(x), year_hint, now))}, nullif({x}, ''))"
 
 
 def coerce_epoch(x: str) -> str:
@@ -124,7 +129,9 @@ def coerce_duration_ns(x: str) -> str:
     def part(i):
         return f"try_cast(try_element_at(split({x}, ':'), -{i}) AS BIGINT)"
     hours = f"CASE WHEN size(split({x}, ':')) > 2 THEN {part(3)} ELSE 0L END"
-    return (f"CASE WHEN instr({x}, ':') > 0 THEN ({hours} * 3600L + {part(2)} * 60L + {part(1)}) * 1000000000L "
+    # A duration beyond the range of a long is null, as any other text that is none.
+    seconds = f"try_add(try_add(try_multiply({hours}, 3600L), try_multiply({part(2)}, 60L)), {part(1)})"
+    return (f"CASE WHEN instr({x}, ':') > 0 THEN try_multiply({seconds}, 1000000000L) "
             f"WHEN {x} RLIKE {text(_NUMBER)} THEN {seconds_to_ns(f'try_cast({x} AS DOUBLE)')} END")
 
 
@@ -134,11 +141,13 @@ def seconds_to_ns(x: str) -> str:
 
 def coerce_long(x: str) -> str:
     """Whole number, or a decimal cut towards zero; anything else is null."""
-    return f"coalesce(try_cast({x} AS BIGINT), CASE WHEN {x} RLIKE {text(_NUMBER)} THEN try_cast(try_cast({x} AS DOUBLE) AS BIGINT) END)"
+    b = bare(x)
+    return f"coalesce(try_cast({x} AS BIGINT), CASE WHEN {b} RLIKE {text(_NUMBER)} THEN try_cast(try_cast({b} AS DOUBLE) AS BIGINT) END)"
 
 
 def coerce_double(x: str) -> str:
-    return f"CASE WHEN {x} RLIKE {text(_NUMBER)} THEN try_cast({x} AS DOUBLE) END"
+    b = bare(x)
+    return f"CASE WHEN {b} RLIKE {text(_NUMBER)} THEN try_cast({b} AS DOUBLE) END"
 
 
 def coerce_bool(x: str) -> str:

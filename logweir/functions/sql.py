@@ -47,7 +47,7 @@ def code_table(mapping: dict, key: str) -> str:
     def literal(v):
         return text(v) if isinstance(v, str) else f"{v}L"
     if list(mapping) == list(range(len(mapping))):
-        return f"get(array({', '.join(literal(v) for v in mapping.values())}), cast({key} AS INT))"
+        return f"get(array({', '.join(literal(v) for v in mapping.values())}), try_cast({key} AS INT))"
     arms = " ".join(f"WHEN {literal(k)} THEN {literal(v)}" for k, v in mapping.items())
     return f"CASE {key} {arms} END"
 

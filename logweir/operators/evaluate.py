@@ -48,6 +48,9 @@ def classification_report(pred: DataFrame) -> DataFrame:
 def confusion_matrix(pred: DataFrame, labels: list[str]) -> DataFrame:
     """Rows are true labels, columns predicted ones (``as_<label>``)."""
     counts = confusion_counts(pred).groupBy("label").pivot("prediction", labels).agg(F.sum("n"))
+    # A label without a true line has a row too.
+    every = pred.sparkSession.range(1).select(F.explode(F.array(*[F.lit(x) for x in labels])).alias("label"))
+    counts = every.join(counts, "label", "full")
     return counts.select("label", *[F.coalesce(F.col(f"`{x}`"), F.lit(0)).alias(f"as_{x}") for x in labels])
 
 

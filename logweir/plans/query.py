@@ -22,20 +22,5 @@ class Query:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table, spread over the cores when it is too small for the scan to do so.
-
-    A Parquet file of one row group is read by one task whatever its splits. A
-    table with less than a split's worth of bytes per core is therefore dealt
-    out; larger ones are left as the scan cuts them.
-    """
-    path = f"{sf_dir}/{name}.parquet"
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    file = spark._jvm.org.apache.hadoop.fs.Path(path)
-    size = file.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(file).getLength()
-    return df.repartition(cores) if SPREAD_FROM < size < cores * SPREAD_BELOW else df
-
-
-# Bytes: tiny tables are not worth a shuffle, and from 64 MB a core the scan has enough row groups.
-SPREAD_FROM = 200_000
-SPREAD_BELOW = 64 << 20
+    """A table, as its files are cut."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

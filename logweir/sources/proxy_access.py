@@ -63,7 +63,7 @@ SPEC = SourceSpec(
         "source.bytes": _count("tunnel_cs_bytes"),
         "destination.bytes": _count("tunnel_sc_bytes"),
         "network.bytes": f"CASE WHEN _tunnel_cs_bytes IS NOT NULL OR _tunnel_sc_bytes IS NOT NULL THEN "
-                         f"coalesce({_count('tunnel_cs_bytes')}, 0L) + coalesce({_count('tunnel_sc_bytes')}, 0L) END",
+                         f"try_add(coalesce({_count('tunnel_cs_bytes')}, 0L), coalesce({_count('tunnel_sc_bytes')}, 0L)) END",
         "event.duration": f"{_count('tunnel_duration_ms')} / 1000D",
         "event.action": "CASE WHEN _action <> '' THEN concat('proxy_', _action) ELSE 'proxy_request' END",
         "event.outcome": "CASE WHEN _denied OR _status >= 400 THEN 'failure' ELSE 'success' END",

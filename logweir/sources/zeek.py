@@ -60,7 +60,7 @@ def _mapped(field_map):
 def _either(a, b):
     """Sum of two counters where one may be missing; null when both are."""
     return (f"CASE WHEN {value(a)} IS NOT NULL OR {value(b)} IS NOT NULL THEN "
-            f"coalesce({coerce_long(value(a))}, 0L) + coalesce({coerce_long(value(b))}, 0L) END")
+            f"try_add(coalesce({coerce_long(value(a))}, 0L), coalesce({coerce_long(value(b))}, 0L)) END")
 
 
 def _counter_errors(pairs):

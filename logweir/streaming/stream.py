@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..catalogue import DEFAULT_THRESHOLD
+from ..functions.sql import text
 from ..operators.classify import LogTypeModel, classify
 from ..operators.envelope import drop_blank, envelope
 from ..operators.route import normalize_routed, quarantined, route, to_quarantine
@@ -46,8 +47,8 @@ def stream_normalize(spark: SparkSession, path: str, out: str, checkpoint: str,
         if model is not None:
             typed = classify(lines, model, threshold)
         else:
-            typed = lines.selectExpr("*", f"'{log_type}' AS log_type", "1D AS confidence",
-                                     f"array(named_struct('label', '{log_type}', 'p', 1D)) AS candidates")
+            typed = lines.selectExpr("*", f"{text(log_type)} AS log_type", "1D AS confidence",
+                                     f"array(named_struct('label', {text(log_type)}, 'p', 1D)) AS candidates")
         routed = route(typed, source_specs(batch.sparkSession, specs.values())).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             write_jsonl(normalize_routed(routed, specs, year_hint), f"{out}/normalized/batch={batch_id}")

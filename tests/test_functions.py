@@ -104,3 +104,15 @@ def test_ngrams(spark):
     for got, t in zip(apply(spark, gram_counts("x"), texts), texts):
         grams = _python_grams(t, 2, 5)
         assert {g.term: g.tf for g in got} == {g: grams.count(g) for g in grams}
+
+
+def test_values_out_of_range_are_null(spark):
+    from logweir.functions import coerce, sql
+
+    row = spark.range(1).selectExpr(
+        f"{coerce.coerce_duration_ns(sql.text('9999999:00:00'))} AS a", f"{coerce.coerce_duration_ns(sql.text('99999999999999999:00'))} AS b",
+        f"{sql.code_table({0: 'x', 1: 'y'}, sql.text('99999999999'))} AS c", f"{coerce.coerce_long(sql.text(' 12.7 '))} AS d",
+        f"{coerce.coerce_timestamp(sql.text(' 2024-05-14T12:00:00Z '))} AS e", f"{coerce.coerce_timestamp(sql.text(' 1715688013.5 '))} AS f",
+        f"{coerce.coerce_double(sql.text(' 1.5 '))} AS g").first()
+    assert (row.a, row.b, row.c, row.d, row.g) == (None, None, None, 12, 1.5)
+    assert row.e.startswith("2024-05-14T12:00:00.000") and row.f.startswith("2024-05-14T12:00:13.500")
