@@ -83,9 +83,10 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     """One row: ``ratios``, an array of log(p_target / p_raw) by bucket.
 
     ``trusted`` names the target corpus by id. Counts cover all words of all documents.
+    The list of names grows with the corpus, so it is never broadcast, at any size.
     """
     names = trusted.select(col(trusted, id_col).alias("_id")).where("_id IS NOT NULL").distinct().withColumn("_target", F.lit(1))
-    held = docs.select(col(docs, id_col).alias("_id"), col(docs, text_col).alias("_text")).join(names, "_id", "left")
+    held = docs.select(col(docs, id_col).alias("_id"), col(docs, text_col).alias("_text")).join(names.hint("merge"), "_id", "left")
     grams = held.select(F.coalesce("_target", F.lit(0)).alias("_target"),
                         F.explode(ngram_buckets(word_array(F.coalesce("_text", F.lit(""))), buckets)).alias("_b"))
     counted = grams.groupBy("_b").agg(F.count("*").alias("_raw"), F.sum("_target").alias("_hit"))
