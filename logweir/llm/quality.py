@@ -73,9 +73,9 @@ def base_figures(df: DataFrame, text_col: str = "text") -> DataFrame:
 def ngram_buckets(words: Column, buckets: int) -> Column:
     """Buckets of the words and of the neighbouring pairs."""
     ones = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
-    # zip_with pads the shorter side with null: the last word has no pair.
-    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), F.pmod(F.xxhash64(a, b), F.lit(buckets)).cast("int")))
-    return F.concat(ones, F.filter(pairs, lambda x: x.isNotNull()))
+    most = F.greatest(F.size(words) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(words, 1, most), F.slice(words, 2, most), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(buckets)).cast("int"))
+    return F.concat(ones, pairs)
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text",
