@@ -71,6 +71,25 @@ def capture(x: str, pattern: str, groups: int) -> str:
             f"ELSE array('') END")
 
 
+def matches(x: str, pattern: str) -> str:
+    return f"{x} RLIKE {text(pattern)}"
+
+
+def before(x: str, mark: str) -> str:
+    """What stands before the first ``mark``; all of it when there is none."""
+    return f"substring_index({x}, {text(mark)}, 1)"
+
+
+def after(x: str, mark: str) -> str:
+    """What stands after the first ``mark``; empty when there is none."""
+    return f"CASE WHEN instr({x}, {text(mark)}) = 0 THEN '' ELSE substring({x}, instr({x}, {text(mark)}) + {len(mark)}) END"
+
+
+def leading(x: str, pattern: str) -> str:
+    """The part at the start of ``x`` that fits ``pattern``, null when none does."""
+    return f"nullif(regexp_extract({x}, {text('^' + pattern)}, 0), '')"
+
+
 def json_text(x: str) -> str:
     """A string value written as JSON text (quoted and escaped); null stays null."""
     return f"CASE WHEN {x} IS NOT NULL THEN regexp_extract(to_json(array({x})), '(?s)^.(.*).$', 1) END"

@@ -1,31 +1,78 @@
-"""Firewall messages: ``<pri>Mon d hh:mm:ss host %ASA-sev-code: body``."""
+"""Firewall messages: ``<pri>Mon d hh:mm:ss host %ASA-sev-code: body``.
+
+Header and body are taken apart by position: the message tag divides the line, and a
+body's fields stand at fixed words between the keywords of the vendor's message list::
+
+    Built {inbound|outbound} TCP connection 7 for zone:ip/port (ip/port) to zone:ip/port (ip/port) [(user)]
+    Teardown TCP connection 7 for zone:ip/port to zone:ip/port duration h:mm:ss bytes n [reason] [(user)]
+    {Built|Teardown} [inbound|outbound] ICMP connection for faddr ip/n gaddr ip/n laddr ip/n
+    Deny tcp src zone:ip[/port] dst zone:ip[/port] [(type n, code n)] by access-group "name"
+"""
 
 from ..catalogue import SYSLOG_FACILITY_NAME, SYSLOG_SEVERITY_NAME, SYSLOG_SEVERITY_SCALE
-from ..functions.sql import capture, code_table, strip
+from ..functions.sql import after, before, code_table, matches, strip, text
 from .spec import SourceSpec
 
-_ADDR = "([\\d.]+)"
-_END = f"([\\w-]+):{_ADDR}/(\\d+)"
-_NAT = f" \\({_ADDR}/(\\d+)\\)"
-_USER = "(?:\\s+\\(([^)]+)\\))?"
+NUMBER, NAT, PLACE = "^[0-9]+$", "^[(][0-9.]+/[0-9]+[)]$", "^[0-9.]+/[0-9]+"
+ENDPOINT, OPEN_ENDPOINT = "^[A-Za-z0-9_-]+:[0-9.]+/[0-9]+$", "^[A-Za-z0-9_-]+:[0-9.]+(/[0-9]+)?$"
+ICMP_MARK, GROUP_MARK = "ICMP connection for ", ' by access-group "'
+#: A user in brackets at the end of what follows the byte count.
+LAST_BRACKETS = "[ ]+[(]([^)]+)[)]$"
+
+
+def _all(*conditions: str) -> str:
+    return "coalesce(" + " AND ".join(f"({c})" for c in conditions) + ", false)"
+
+
+def _keywords(words: str, at: dict[int, str]) -> str:
+    """The words at given places."""
+    return " AND ".join(f"get({words}, {i}) = {text(w)}" for i, w in at.items())
+
+
+def _at(words: str, i: int, pattern: str) -> str:
+    return matches(f"get({words}, {i})", pattern)
+
+
+def _zone(end: str) -> str:
+    return before(end, ":")
+
+
+def _address(end: str) -> str:
+    """The address of ``zone:ip/port``, ``ip/port`` or ``(ip/port)``."""
+    return f"trim(LEADING '(' FROM substring_index(substring_index({end}, ':', -1), '/', 1))"
+
+
+def _port(end: str) -> str:
+    return f"CASE WHEN instr({end}, '/') > 0 THEN rtrim(')', substring_index({end}, '/', -1)) END"
+
+
+def _from(words: str, first: int) -> str:
+    """The words from ``first`` on as text."""
+    return f"array_join(slice({words}, {first + 1}, greatest(size({words}) - {first}, 0)), ' ')"
 
-HEADER = "(?Ud)^<(\\d+)>(\\w{3}\\s+\\d{1,2}\\s[\\d:]{8})\\s(\\S+)\\s%ASA-(\\d)-(\\d+):\\s(.*)$"
-BUILT = f"(?Ud)^Built (inbound|outbound) (TCP|UDP) connection (\\d+) for {_END}{_NAT} to {_END}{_NAT}{_USER}$"
-TEARDOWN = (f"(?Ud)^Teardown (TCP|UDP) connection (\\d+) for {_END} to {_END} "
-            f"duration (\\d+:\\d{{2}}:\\d{{2}}) bytes (\\d+)(?:\\s+(.+?))?{_USER}$")
-ICMP = (f"(?Ud)^(Built|Teardown) (?:(inbound|outbound) )?ICMP connection for "
-        f"faddr {_ADDR}/(\\d+) gaddr {_ADDR}/\\d+ laddr {_ADDR}/\\d+.*$")
-DENY = ("(?Ud)^Deny (\\w+) src ([\\w-]+):([\\d.]+)(?:/(\\d+))? dst ([\\w-]+):([\\d.]+)(?:/(\\d+))?"
-        "(?: \\(type (\\d+), code (\\d+)\\))? by access-group \"([^\"]+)\".*$")
 
+def _pick(**expressions: str) -> str:
+    """A field's expression by message variant."""
+    return "CASE _variant " + " ".join(f"WHEN '{v}' THEN {e}" for v, e in expressions.items()) + " END"
 
-def _pick(built=None, teardown=None, icmp=None, deny=None):
-    """The captured group that holds a field, by message variant."""
-    arms = [("built", "_built", built), ("teardown", "_down", teardown),
-            ("icmp", "_icmp", icmp), ("deny", "_deny", deny)]
-    return "CASE _variant " + " ".join(
-        f"WHEN '{v}' THEN get({column}, {i})" for v, column, i in arms if i is not None) + " END"
 
+_IS_BUILT = _all(
+    _keywords("_w", {0: "Built", 3: "connection", 5: "for", 8: "to"}), "get(_w, 1) IN ('inbound', 'outbound')",
+    "get(_w, 2) IN ('TCP', 'UDP')", _at("_w", 4, NUMBER), _at("_w", 6, ENDPOINT), _at("_w", 7, NAT),
+    _at("_w", 9, ENDPOINT), _at("_w", 10, NAT), matches(_from("_w", 11), "^([ ]*[(][^)]+[)])?$"))
+_IS_TEARDOWN = _all(
+    _keywords("_w", {0: "Teardown", 2: "connection", 4: "for", 6: "to", 8: "duration", 10: "bytes"}),
+    "get(_w, 1) IN ('TCP', 'UDP')", _at("_w", 3, NUMBER), _at("_w", 5, ENDPOINT), _at("_w", 7, ENDPOINT),
+    _at("_w", 9, "^[0-9]+:[0-9]{2}:[0-9]{2}$"), _at("_w", 11, NUMBER))
+_IS_ICMP = _all(
+    f"instr(_body, {text(ICMP_MARK)}) > 0", "get(_w, 0) IN ('Built', 'Teardown')",
+    "get(_w, 1) = 'ICMP' OR (get(_w, 1) IN ('inbound', 'outbound') AND get(_w, 2) = 'ICMP')",
+    _keywords("_i", {0: "faddr", 2: "gaddr", 4: "laddr"}), _at("_i", 1, PLACE + "$"), _at("_i", 3, PLACE + "$"), _at("_i", 5, PLACE))
+_IS_DENY = _all(
+    _keywords("_d", {0: "Deny", 2: "src", 4: "dst"}), _at("_d", 1, "^[A-Za-z0-9_]+$"), _at("_d", 3, OPEN_ENDPOINT),
+    _at("_d", 5, OPEN_ENDPOINT), "size(_d) = 6 OR (size(_d) = 10 AND "
+    + _keywords("_d", {6: "(type", 8: "code"}) + " AND " + _at("_d", 7, "^[0-9]+,$") + " AND " + _at("_d", 9, "^[0-9]+[)]$") + ")",
+    "instr(_group, '\"') > 1")
 
 SPEC = SourceSpec(
     name="cisco_asa", version="2.0", module="cisco", dataset="cisco.asa", provider="asa",
@@ -33,57 +80,64 @@ SPEC = SourceSpec(
     event_category=("network",), event_type=("info",),
     severity_map=SYSLOG_SEVERITY_SCALE,
     stages=(
-        {"_h": capture("raw", HEADER, 6)},
-        {"_ok": "size(_h) = 6", "_pri": "try_cast(get(_h, 0) AS BIGINT)",
-         "_sev": "try_cast(get(_h, 3) AS BIGINT)", "_body": "get(_h, 5)"},
-        # Variants are told apart by their first word before any pattern runs.
-        {"_built": f"CASE WHEN startswith(_body, 'Built ') THEN {capture('_body', BUILT, 14)} END",
-         "_down": f"CASE WHEN startswith(_body, 'Teardown ') THEN {capture('_body', TEARDOWN, 12)} END",
-         "_icmp": f"CASE WHEN _body LIKE '%ICMP connection for faddr %' THEN {capture('_body', ICMP, 6)} END",
-         "_deny": f"CASE WHEN startswith(_body, 'Deny ') THEN {capture('_body', DENY, 10)} END"},
-        {"_variant": "CASE WHEN size(_built) = 14 THEN 'built' WHEN size(_down) = 12 THEN 'teardown' "
-                     "WHEN size(_icmp) = 6 THEN 'icmp' WHEN size(_deny) = 10 THEN 'deny' END"},
+        {"_priority": f"substring({before('raw', '>')}, 2)", "_head": before(after("raw", ">"), " %ASA-"),
+         "_tag": after("raw", " %ASA-")},
+        {"_host": "substring_index(_head, ' ', -1)", "_codes": f"split({before('_tag', ':')}, '-')",
+         "_body": f"substring({after('_tag', ':')}, 2)", "_gap": f"left({after('_tag', ':')}, 1)"},
+        {"_stamp": "left(_head, greatest(length(_head) - length(_host) - 1, 0))"},
+        {"_day": "split(_stamp, '[ \\\\t]+')"},
+        {"_ok": _all("startswith(raw, '<')", matches("_priority", NUMBER), "_host <> ''", "size(_day) = 3", "length(get(_day, 0)) = 3",
+                     _at("_day", 1, "^[0-9]{1,2}$"), _at("_day", 2, "^[0-9:]{8}$"), "size(_codes) = 2",
+                     _at("_codes", 0, "^[0-9]$"), _at("_codes", 1, NUMBER), "_gap IN (' ', '\\t')"),
+         "_pri": "try_cast(_priority AS BIGINT)", "_sev": "try_cast(get(_codes, 0) AS BIGINT)",
+         "_w": "split(_body, ' ')", "_i": f"split({after('_body', ICMP_MARK)}, ' ')",
+         "_d": f"split({before('_body', GROUP_MARK)}, ' ')", "_group": after("_body", GROUP_MARK)},
+        {"_variant": "CASE get(_w, 0) "
+                     f"WHEN 'Built' THEN CASE WHEN {_IS_BUILT} THEN 'built' WHEN {_IS_ICMP} THEN 'icmp' END "
+                     f"WHEN 'Teardown' THEN CASE WHEN {_IS_TEARDOWN} THEN 'teardown' WHEN {_IS_ICMP} THEN 'icmp' END "
+                     f"WHEN 'Deny' THEN CASE WHEN {_IS_DENY} THEN 'deny' END END",
+         "_rest": strip(_from("_w", 12))},
     ),
     fields={
-        "@timestamp": "get(_h, 1)",
+        "@timestamp": "_stamp",
         "message": "_body",
-        "observer.hostname": "get(_h, 2)",
-        "host.name": "get(_h, 2)",
-        "event.code": "get(_h, 4)",
+        "observer.hostname": "_host",
+        "host.name": "_host",
+        "event.code": "get(_codes, 1)",
         "event.severity": "_sev",
-        "event.action": "CASE WHEN _variant = 'icmp' THEN lower(get(_icmp, 0)) ELSE _variant END",
-        "event.type": "CASE WHEN _variant = 'built' OR (_variant = 'icmp' AND get(_icmp, 0) = 'Built') "
+        "event.action": "CASE WHEN _variant = 'icmp' THEN lower(get(_w, 0)) ELSE _variant END",
+        "event.type": "CASE WHEN _variant = 'built' OR (_variant = 'icmp' AND get(_w, 0) = 'Built') "
                       "THEN array('connection', 'start') "
                       "WHEN _variant = 'deny' THEN array('connection', 'denied') "
                       "WHEN _variant IS NOT NULL THEN array('connection', 'end') END",
         "event.outcome": "CASE WHEN _variant = 'deny' THEN 'failure' WHEN _variant IS NOT NULL THEN 'success' END",
-        "event.duration": _pick(teardown=8),
-        "event.reason": strip(_pick(teardown=10)),
-        "network.direction": _pick(built=0, icmp=1),
-        "network.transport": "CASE WHEN _variant = 'icmp' THEN 'icmp' ELSE "
-                             + _pick(built=1, teardown=0, deny=0) + " END",
-        "network.bytes": _pick(teardown=9),
-        "source.ip": _pick(built=4, teardown=3, icmp=2, deny=2),
-        "source.port": _pick(built=5, teardown=4, deny=3),
-        "source.nat.ip": _pick(built=6),
-        "source.nat.port": _pick(built=7),
-        "destination.ip": _pick(built=9, teardown=6, icmp=5, deny=5),
-        "destination.port": _pick(built=10, teardown=7, deny=6),
-        "destination.nat.ip": _pick(built=11, icmp=4),
-        "destination.nat.port": _pick(built=12),
-        "observer.ingress.zone": _pick(built=3, teardown=2, deny=1),
-        "observer.egress.zone": _pick(built=8, teardown=5, deny=4),
-        "user.name": strip(_pick(built=13, teardown=11)),
-        "rule.name": _pick(deny=9),
+        "event.duration": _pick(teardown="get(_w, 9)"),
+        "event.reason": strip(_pick(teardown=f"nullif(regexp_replace(_rest, {text(LAST_BRACKETS)}, ''), '')")),
+        "network.direction": _pick(built="get(_w, 1)", icmp="CASE WHEN get(_w, 1) <> 'ICMP' THEN get(_w, 1) END"),
+        "network.transport": _pick(built="get(_w, 2)", teardown="get(_w, 1)", icmp="'icmp'", deny="get(_d, 1)"),
+        "network.bytes": _pick(teardown="get(_w, 11)"),
+        "source.ip": _pick(built=_address("get(_w, 6)"), teardown=_address("get(_w, 5)"), icmp=_address("get(_i, 1)"), deny=_address("get(_d, 3)")),
+        "source.port": _pick(built=_port("get(_w, 6)"), teardown=_port("get(_w, 5)"), deny=_port("get(_d, 3)")),
+        "source.nat.ip": _pick(built=_address("get(_w, 7)")),
+        "source.nat.port": _pick(built=_port("get(_w, 7)")),
+        "destination.ip": _pick(built=_address("get(_w, 9)"), teardown=_address("get(_w, 7)"), icmp=_address("get(_i, 5)"), deny=_address("get(_d, 5)")),
+        "destination.port": _pick(built=_port("get(_w, 9)"), teardown=_port("get(_w, 7)"), deny=_port("get(_d, 5)")),
+        "destination.nat.ip": _pick(built=_address("get(_w, 10)"), icmp=_address("get(_i, 3)")),
+        "destination.nat.port": _pick(built=_port("get(_w, 10)")),
+        "observer.ingress.zone": _pick(built=_zone("get(_w, 6)"), teardown=_zone("get(_w, 5)"), deny=_zone("get(_d, 3)")),
+        "observer.egress.zone": _pick(built=_zone("get(_w, 9)"), teardown=_zone("get(_w, 7)"), deny=_zone("get(_d, 5)")),
+        "user.name": strip(_pick(built=f"nullif(trim(BOTH '() ' FROM {_from('_w', 11)}), '')",
+                                 teardown=f"nullif(regexp_extract(_rest, {text(LAST_BRACKETS)}, 1), '')")),
+        "rule.name": _pick(deny=before("_group", '"')),
         "log.syslog.priority": "_pri",
         "log.syslog.facility.code": "_pri div 8",
         "log.syslog.facility.name": code_table(SYSLOG_FACILITY_NAME, "_pri div 8"),
         "log.syslog.severity.code": "_sev",
         "log.syslog.severity.name": code_table(SYSLOG_SEVERITY_NAME, "_sev"),
-        "connection_id": _pick(built=2, teardown=1),
-        "icmp_id": _pick(icmp=3),
-        "icmp_type": _pick(deny=7),
-        "icmp_code": _pick(deny=8),
+        "connection_id": _pick(built="get(_w, 4)", teardown="get(_w, 3)"),
+        "icmp_id": _pick(icmp=_port("get(_i, 1)")),
+        "icmp_type": _pick(deny="rtrim(',', get(_d, 7))"),
+        "icmp_code": _pick(deny="rtrim(')', get(_d, 9))"),
     },
     error="CASE WHEN NOT _ok THEN 'ValueError:ASA header mismatch' END",
 )

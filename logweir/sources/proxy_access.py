@@ -1,8 +1,8 @@
 """Proxy access log: combined format and an optional quoted list of ``key=value`` words."""
 
-from ..functions.sql import capture, json_text, nil, texts
+from ..functions.sql import json_text, matches, nil, texts
 from ..functions.textual import url_stages
-from .access import COMBINED, REQUEST_FIELDS, request_stage
+from .access import NOTHING_MORE, REQUEST_FIELDS, request_stages
 from .spec import SourceSpec
 
 # --- fixed values: proxy actions and statuses that mean the request was denied ------
@@ -31,9 +31,9 @@ SPEC = SourceSpec(
     observer_vendor="Squid", observer_product="Squid", observer_type="proxy",
     event_category=("web", "network"), event_type=("access",),
     stages=(
-        {"_m": capture("raw", COMBINED + "(?: \"([^\"]*)\")?\\s*$", 12)},
-        {**request_stage(12), "_user": nil("get(_m, 2)"),
-         "_words": "filter(split(get(_m, 11), '(?U)\\\\s+'), w -> instr(w, '=') > 0)"},
+        *request_stages(f"({NOTHING_MORE}) OR (size(_quoted) = 8 AND get(_quoted, 5) = ' ' AND {matches('get(_quoted, 7)', '^[ ]*$')})"),
+        {"_user": nil("get(_who, 2)"),
+         "_words": "filter(split(coalesce(get(_quoted, 6), ''), '(?U)\\\\s+'), w -> instr(w, '=') > 0)"},
         {"_tunnel": "_method = 'CONNECT'", "_action": _value("proxy_action"),
          **{f"_{k}": _value(k) for k in COUNTERS},
          "_target": "CASE WHEN _method <> 'CONNECT' THEN _url END"},

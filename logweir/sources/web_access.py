@@ -1,8 +1,8 @@
 """Web-server access log (combined format)."""
 
-from ..functions.sql import capture, nil
+from ..functions.sql import nil
 from ..functions.textual import url_stages
-from .access import COMBINED, REQUEST_FIELDS, request_stage
+from .access import NOTHING_MORE, REQUEST_FIELDS, request_stages
 from .spec import SourceSpec
 
 SPEC = SourceSpec(
@@ -10,13 +10,12 @@ SPEC = SourceSpec(
     observer_vendor="Apache", observer_product="httpd", observer_type="web-server",
     event_category=("web",), event_type=("access",),
     stages=(
-        {"_m": capture("raw", COMBINED + "\\s*$", 11)},
-        request_stage(11),
+        *request_stages(NOTHING_MORE),
         *url_stages("_l", "_url"),
     ),
     fields={
         **REQUEST_FIELDS,
-        "user.name": nil("get(_m, 2)"),
+        "user.name": nil("get(_who, 2)"),
         "url.path": "coalesce(nullif(_l_path, ''), _url)",
         "url.query": "_l_query",
         "url.domain": "_l_host",
