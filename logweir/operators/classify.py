@@ -20,9 +20,6 @@ MAX_TERMS = 300_000
 INVERSE_REGULARIZATION = 5.0
 MAX_ITERATIONS = 2000
 
-# Training rows a task is worth.
-ROWS_PER_TASK = 2_000
-
 
 @dataclass(frozen=True)
 class LogTypeModel:
@@ -142,9 +139,11 @@ def classify(df: DataFrame, model: LogTypeModel, threshold: float = DEFAULT_THRE
 
 def train(lines: DataFrame, label: str = "label", text_column: str = "line",
           min_df: int = MIN_DF, max_terms: int = MAX_TERMS, c: float = INVERSE_REGULARIZATION,
-          max_iter: int = MAX_ITERATIONS, tolerance: float = 1e-5) -> LogTypeModel:
+          max_iter: int = MAX_ITERATIONS, tolerance: float = 1e-5, partitions: int | None = None) -> LogTypeModel:
     """Fit the classifier on labelled lines (cap them per class first).
 
+    Every solver step is a job of ``partitions`` tasks (as many as shuffles have, by default).
+
     The weight table comes back through the driver: classes times terms, at
     most 300,000 terms.
     """
@@ -169,8 +168,7 @@ def train(lines: DataFrame, label: str = "label", text_column: str = "line",
         features = (weighted.groupBy("_id").agg(F.collect_list(F.struct("at", "x")).alias("pairs"))
                     .select("_id", vector("pairs").alias("features")))
         position = F.array_position(F.lit(list(classes)), F.col("label")) - 1
-        # Every solver step is a job over all rows, so a small corpus should not be cut fine.
-        parts = max(1, min(n // ROWS_PER_TASK, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
         data = (keyed.join(features, "_id").select("features", position.cast("double").alias("target"))
                 .repartition(parts).persist())
         fitted = LogisticRegression(

@@ -19,8 +19,10 @@ def perturbed_scores(sample: DataFrame, model: LogTypeModel, seed: int = 0) -> D
     scored = score(keyed, "_key", "line", model).selectExpr(
         "_key", f"{best_class('probabilities', model.classes)} AS prediction",
         "array_max(probabilities) AS confidence")
-    wide = scored.selectExpr("substring_index(_key, ':', 2) AS _id", "substring_index(_key, ':', 1) AS label",
-                             "substring_index(_key, ':', -1) AS form", "prediction", "confidence")
+    # A label may hold colons; the digest of 64 characters and the form after it do not.
+    wide = scored.selectExpr("substring_index(_key, ':', -1) AS form", "prediction", "confidence",
+                             "left(_key, length(_key) - length(substring_index(_key, ':', -1)) - 1) AS _id")
+    wide = wide.selectExpr("*", "left(_id, length(_id) - 65) AS label")
     return wide.groupBy("_id", "label").agg(
         *[_pick(form, column).alias(alias) for form, column, alias in (
             ("line", "prediction", "prediction"), ("line", "confidence", "confidence"),

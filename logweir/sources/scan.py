@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import logging
+import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,9 +13,6 @@ from ..operators.envelope import drop_blank
 
 log = logging.getLogger(__name__)
 
-# Numbering offsets (about 150 bytes a row) are broadcast up to this many file blocks.
-MAX_BROADCAST_BLOCKS = 200_000
-
 # The text reader's path is a URI; local files are known by their plain path.
 _SOURCE = "regexp_replace(url_decode(replace({0}, '+', '%2B')), '^file:/+', '/')"
 
@@ -54,24 +53,48 @@ def with_seq(lines: DataFrame) -> DataFrame:
     earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select("_file", "_block", "_first",
                             F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    if len(lines.inputFiles()) + lines.rdd.getNumPartitions() <= MAX_BROADCAST_BLOCKS:
-        offsets = F.broadcast(offsets)
-    return at.join(offsets, ["_file", "_block"]).selectExpr(
+    # One row of some 150 bytes per file block: 0.12 GB for the 800,000 blocks of 100 TB.
+    return at.join(F.broadcast(offsets), ["_file", "_block"]).selectExpr(
         f"{_SOURCE.format('_file')} AS source", "_before + _at - _first + 1 AS seq",
         "make_valid_utf8(value) AS raw")
 
 
+def _literal(paths: list[str]) -> list[str]:
+    """Paths whose names are no patterns for the reader."""
+    return [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in paths]
+
+
+def _readings(paths: list[str]) -> list[list[str]]:
+    """The paths dealt so that no file is read twice at once; a repeated one goes to the next reading."""
+    readings: list[tuple[list[str], set[str], set[str]]] = []
+    for p in paths:
+        plain = re.sub("^file:/+", "/", p).rstrip("/")
+        folder = plain.rpartition("/")[0]
+        fit = next((r for r in readings if plain not in r[1] and folder not in r[1] and plain not in r[2]), None)
+        if fit is None:
+            fit = ([], set(), set())
+            readings.append(fit)
+        fit[0].append(p)
+        fit[1].add(plain)
+        fit[2].add(folder)
+    return [r[0] for r in readings]
+
+
 def read_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """Log files to ``source, seq, raw``: one row per line that is not blank.
 
-    Blank lines use up a number; bytes that are not UTF-8 become U+FFFD.
+    Blank lines use up a number; bytes that are not UTF-8 become U+FFFD. A file that is
+    named twice, or beside its folder, is read twice, and numbered from 1 each time.
     """
     paths = resolve(spark, [paths] if isinstance(paths, str) else list(paths))
     if not paths:
         return spark.createDataFrame([], "source string, seq bigint, raw string")
-    lines = spark.read.text(paths).selectExpr(
-        "value", "_metadata.file_path AS _file", "_metadata.file_block_start AS _block")
-    return drop_blank(with_seq(lines))
+    parts = []
+    for reading in _readings(paths):
+        lines = spark.read.text(_literal(reading)).selectExpr(
+            "value", "_metadata.file_path AS _file", "_metadata.file_block_start AS _block")
+        parts.append(drop_blank(with_seq(lines)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
@@ -93,11 +116,17 @@ def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
     if not whole:
         return lines.selectExpr(f"{label} AS label", "raw AS line")
     by_line = lines.filter(~F.col("source").isin(whole)).selectExpr(f"{label} AS label", "raw AS line")
-    document = spark.read.text(whole, wholetext=True).selectExpr(
+    document = spark.read.text(_literal(whole), wholetext=True).selectExpr(
         "make_valid_utf8(value) AS text", f"{_SOURCE.format('_metadata.file_path')} AS source")
-    array = ("CASE WHEN ltrim(text) LIKE '[%' THEN text ELSE "
-             "filter(map_values(from_json(text, 'map<string,string>')), v -> v LIKE '[%')[0] END")
-    records = document.selectExpr("source", f"explode(from_json({array}, 'array<string>')) AS raw")
+    # A document that is no JSON, or has no list, is one line as it stands: it is seen and not lost.
+    parsed = document.selectExpr("source", "text", "try_parse_json(text) AS _doc").selectExpr(
+        "source", "text", "_doc", "try_cast(_doc AS MAP<STRING, VARIANT>) AS _members").selectExpr("source", "text", (
+            # The members in the order of the document, which a variant does not keep.
+            "CASE WHEN startswith(schema_of_variant(_doc), 'ARRAY') THEN _doc ELSE get(filter(transform(map_keys("
+            "from_json(text, 'map<string,string>')), k -> try_element_at(_members, k)), "
+            "v -> startswith(schema_of_variant(v), 'ARRAY')), 0) END AS _list"))
+    records = parsed.selectExpr("source", "explode(CASE WHEN _list IS NULL THEN array(text) ELSE "
+                                "transform(try_cast(_list AS ARRAY<VARIANT>), v -> to_json(v)) END) AS raw")
     return by_line.unionByName(records.selectExpr(f"{label} AS label", "raw AS line"))
 
 
