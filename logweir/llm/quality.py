@@ -33,12 +33,19 @@ def word_array(text: Column) -> Column:
     return F.filter(F.split(F.translate(text, SPACES, " " * len(SPACES)), " "), lambda w: w != "")
 
 
+def once(x: Column, f) -> Column:
+    """``f`` of a value that is computed once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def repeated_words(hashes: Column, width: int = WINDOW) -> Column:
     """Words covered by windows of ``width`` words that occur twice or more; from the words' hashes."""
     count = F.size(hashes) - width + 1
     windows = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(width)]))
-    # Equal windows are neighbours in the sorted array.
-    ordered = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+
+    def ordered(w: Column) -> Column:
+        """Equal windows are neighbours in the sorted array."""
+        return F.sort_array(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
     def places(a: Column) -> Column:
         again = F.filter(F.transform(a, lambda x, k: F.when((F.get(a, k - 1)["h"] == x["h"]) | (F.get(a, k + 1)["h"] == x["h"]), x["i"])), lambda i: i.isNotNull())
@@ -47,34 +54,41 @@ def repeated_words(hashes: Column, width: int = WINDOW) -> Column:
     def covered(a: Column) -> Column:
         return F.aggregate(F.transform(a, lambda i, k: F.least(F.lit(width), F.coalesce(F.get(a, k + 1) - i, F.lit(width)))), F.lit(0), lambda s, x: s + x)
 
-    def once(x: Column, f) -> Column:
-        """``f`` of a value that is computed once."""
-        return F.get(F.transform(F.array(x), f), F.lit(0))
+    def in_windows(w: Column) -> Column:
+        many = once(ordered(w), lambda a: once(places(a), covered))
+        return F.when(F.size(F.array_distinct(w)) == count, 0).otherwise(many)
+
+    return F.when(count < 2, 0).otherwise(once(windows, in_windows)).cast("long")
 
-    many = once(ordered, lambda a: once(places(a), covered))
-    return F.when(count < 2, 0).when(F.size(F.array_distinct(windows)) == count, 0).otherwise(many).cast("long")
 
+def word_hashes(text: Column) -> Column:
+    """The words of a text by their hashes, in order; all later steps work on these."""
+    return F.transform(word_array(F.coalesce(text, F.lit(""))), lambda w: F.xxhash64(w))
 
-def base_figures(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
-    text = F.coalesce(col(df, text_col), F.lit(""))
-    hashes = free_name(df, "_hashes")
-    held = df.select("*", F.transform(word_array(text), lambda w: F.xxhash64(w)).alias(hashes))
+
+def base_figures(df: DataFrame, text_col: str = "text", hashes: str | None = None) -> DataFrame:
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed.
+
+    ``hashes`` names a column of ``word_hashes`` that is there already; it stays.
+    """
+    text, own = F.coalesce(col(df, text_col), F.lit("")), hashes is None
+    hashes = hashes or free_name(df, "_hashes")
+    held = df.select("*", word_hashes(text).alias(hashes)) if own else df
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
     chars = F.length(F.translate(text, SPACES, ""))
     out = with_result(held, n_words=F.size(F.col(hashes)).cast("long"), word_chars=chars.cast("long"),
                       n_symbols=(F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-                      n_dup_lines=(F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+                      n_dup_lines=once(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
                       n_repeat_words=repeated_words(F.col(hashes)))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return with_result(out.drop(hashes), base_failed=failed)
+    return with_result(out.drop(hashes) if own else out, base_failed=failed)
 
 
-def ngram_buckets(words: Column, buckets: int) -> Column:
-    """Buckets of the words and of the neighbouring pairs."""
-    ones = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
-    most = F.greatest(F.size(words) - 1, F.lit(0))
-    pairs = F.zip_with(F.slice(words, 1, most), F.slice(words, 2, most), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(buckets)).cast("int"))
+def ngram_buckets(hashes: Column, buckets: int) -> Column:
+    """Buckets of the words and of the neighbouring pairs, from the words' hashes."""
+    ones = F.transform(hashes, lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
+    most = F.greatest(F.size(hashes) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(hashes, 1, most), F.slice(hashes, 2, most), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(buckets)).cast("int"))
     return F.concat(ones, pairs)
 
 
@@ -87,8 +101,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     """
     names = trusted.select(col(trusted, id_col).alias("_id")).where("_id IS NOT NULL").distinct().withColumn("_target", F.lit(1))
     held = docs.select(col(docs, id_col).alias("_id"), col(docs, text_col).alias("_text")).join(names.hint("merge"), "_id", "left")
-    grams = held.select(F.coalesce("_target", F.lit(0)).alias("_target"),
-                        F.explode(ngram_buckets(word_array(F.coalesce("_text", F.lit(""))), buckets)).alias("_b"))
+    hashed = held.select(F.coalesce("_target", F.lit(0)).alias("_target"), word_hashes(F.col("_text")).alias("_hashes"))
+    grams = hashed.select("_target", F.explode(ngram_buckets(F.col("_hashes"), buckets)).alias("_b"))
     counted = grams.groupBy("_b").agg(F.count("*").alias("_raw"), F.sum("_target").alias("_hit"))
     # One row per bucket from here on.
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("_b"))
@@ -101,13 +115,13 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
 
 def judge(docs: DataFrame, ratios: DataFrame, text_col: str = "text", buckets: int = BUCKETS, threshold: float = -0.25) -> DataFrame:
     """Adds the base figures, llr_score (mean log ratio) and kept."""
-    weights, words = free_name(docs, "_weights"), free_name(docs, "_words")
+    weights, hashes = free_name(docs, "_weights"), free_name(docs, "_hashes")
     one = ratios.select(F.col("ratios").alias(weights))
-    held = base_figures(docs, text_col).crossJoin(F.broadcast(one))  # a single row
-    held = held.select("*", word_array(F.coalesce(col(held, text_col), F.lit(""))).alias(words))
-    w, a = F.col(weights), F.col(words)
+    hashed = docs.select("*", word_hashes(col(docs, text_col)).alias(hashes))
+    held = base_figures(hashed, text_col, hashes).crossJoin(F.broadcast(one))  # a single row
+    w, a = F.col(weights), F.col(hashes)
     total = F.aggregate(ngram_buckets(a, buckets), F.lit(0.0), lambda s, b: s + F.get(w, b))
     n = F.greatest(2 * F.size(a) - 1, F.lit(1))
     scored = with_result(held, llr_score=total / n)
-    scored = scored.drop(weights, words)
+    scored = scored.drop(weights, hashes)
     return with_result(scored, kept=~F.col("base_failed") & (F.col("llr_score") >= threshold))
