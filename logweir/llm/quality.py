@@ -38,10 +38,12 @@ def once(x: Column, f) -> Column:
     return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
-def repeated_words(hashes: Column, width: int = WINDOW) -> Column:
-    """Words covered by windows of ``width`` words that occur twice or more; from the words' hashes."""
+def repeated_words(hashes: Column, pairs: Column, width: int = WINDOW) -> Column:
+    """Words covered by windows of ``width`` words that occur twice or more; from the hashes of words and pairs."""
     count = F.size(hashes) - width + 1
-    windows = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(width)]))
+    # A window is hashed from the pairs side by side in it, and the last word if one is left.
+    window = lambda i: [*[F.get(pairs, i + k) for k in range(0, width - 1, 2)], *[F.get(hashes, i + width - 1)] * (width % 2)]
+    windows = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.xxhash64(*window(i)))
 
     def ordered(w: Column) -> Column:
         """Equal windows are neighbours in the sorted array."""
@@ -66,30 +68,39 @@ def word_hashes(text: Column) -> Column:
     return F.transform(word_array(F.coalesce(text, F.lit(""))), lambda w: F.xxhash64(w))
 
 
-def base_figures(df: DataFrame, text_col: str = "text", hashes: str | None = None) -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed.
+def pair_hashes(hashes: Column) -> Column:
+    """Hashes of the neighbouring pairs, from the words' hashes."""
+    most = F.greatest(F.size(hashes) - 1, F.lit(0))
+    return F.zip_with(F.slice(hashes, 1, most), F.slice(hashes, 2, most), lambda a, b: F.xxhash64(a, b))
 
-    ``hashes`` names a column of ``word_hashes`` that is there already; it stays.
-    """
-    text, own = F.coalesce(col(df, text_col), F.lit("")), hashes is None
-    hashes = hashes or free_name(df, "_hashes")
-    held = df.select("*", word_hashes(text).alias(hashes)) if own else df
+
+def with_hashes(df: DataFrame, text_col: str) -> tuple[DataFrame, str, str]:
+    """``df`` with the hashes of words and pairs, and these columns' names."""
+    words, pairs = free_name(df, "_hashes"), free_name(df, "_pairs")
+    out = df.select("*", word_hashes(col(df, text_col)).alias(words))
+    return out.select("*", pair_hashes(F.col(words)).alias(pairs)), words, pairs
+
+
+def base_figures(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
+    held, words, pairs = with_hashes(df, text_col)
+    return _figures(held, text_col, words, pairs).drop(words, pairs)
+
+
+def _figures(held: DataFrame, text_col: str, words: str, pairs: str) -> DataFrame:
+    text = F.coalesce(col(held, text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
     chars = F.length(F.translate(text, SPACES, ""))
-    out = with_result(held, n_words=F.size(F.col(hashes)).cast("long"), word_chars=chars.cast("long"),
+    out = with_result(held, n_words=F.size(F.col(words)).cast("long"), word_chars=chars.cast("long"),
                       n_symbols=(F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
                       n_dup_lines=once(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-                      n_repeat_words=repeated_words(F.col(hashes)))
+                      n_repeat_words=repeated_words(F.col(words), F.col(pairs)))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return with_result(out.drop(hashes) if own else out, base_failed=failed)
+    return with_result(out, base_failed=failed)
 
 
-def ngram_buckets(hashes: Column, buckets: int) -> Column:
-    """Buckets of the words and of the neighbouring pairs, from the words' hashes."""
-    ones = F.transform(hashes, lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
-    most = F.greatest(F.size(hashes) - 1, F.lit(0))
-    pairs = F.zip_with(F.slice(hashes, 1, most), F.slice(hashes, 2, most), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(buckets)).cast("int"))
-    return F.concat(ones, pairs)
+def bucket(h: Column, buckets: int) -> Column:
+    return F.pmod(h, F.lit(buckets)).cast("int")
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -101,8 +112,9 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     """
     names = trusted.select(col(trusted, id_col).alias("_id")).where("_id IS NOT NULL").distinct().withColumn("_target", F.lit(1))
     held = docs.select(col(docs, id_col).alias("_id"), col(docs, text_col).alias("_text")).join(names.hint("merge"), "_id", "left")
-    hashed = held.select(F.coalesce("_target", F.lit(0)).alias("_target"), word_hashes(F.col("_text")).alias("_hashes"))
-    grams = hashed.select("_target", F.explode(ngram_buckets(F.col("_hashes"), buckets)).alias("_b"))
+    hashed, words, pairs = with_hashes(held, "_text")
+    grams = hashed.select(F.coalesce("_target", F.lit(0)).alias("_target"), F.explode(F.concat(words, pairs)).alias("_h"))
+    grams = grams.select("_target", bucket(F.col("_h"), buckets).alias("_b"))
     counted = grams.groupBy("_b").agg(F.count("*").alias("_raw"), F.sum("_target").alias("_hit"))
     # One row per bucket from here on.
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("_b"))
@@ -115,13 +127,12 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
 
 def judge(docs: DataFrame, ratios: DataFrame, text_col: str = "text", buckets: int = BUCKETS, threshold: float = -0.25) -> DataFrame:
     """Adds the base figures, llr_score (mean log ratio) and kept."""
-    weights, hashes = free_name(docs, "_weights"), free_name(docs, "_hashes")
+    hashed, words, pairs = with_hashes(docs, text_col)
+    weights = free_name(hashed, "_weights")
     one = ratios.select(F.col("ratios").alias(weights))
-    hashed = docs.select("*", word_hashes(col(docs, text_col)).alias(hashes))
-    held = base_figures(hashed, text_col, hashes).crossJoin(F.broadcast(one))  # a single row
-    w, a = F.col(weights), F.col(hashes)
-    total = F.aggregate(ngram_buckets(a, buckets), F.lit(0.0), lambda s, b: s + F.get(w, b))
-    n = F.greatest(2 * F.size(a) - 1, F.lit(1))
-    scored = with_result(held, llr_score=total / n)
-    scored = scored.drop(weights, hashes)
+    held = _figures(hashed, text_col, words, pairs).crossJoin(F.broadcast(one))  # a single row
+    add = lambda s, h: s + F.get(F.col(weights), bucket(h, buckets))
+    total = F.aggregate(F.col(pairs), F.aggregate(F.col(words), F.lit(0.0), add), add)
+    n = F.greatest(2 * F.size(F.col(words)) - 1, F.lit(1))
+    scored = with_result(held, llr_score=total / n).drop(weights, words, pairs)
     return with_result(scored, kept=~F.col("base_failed") & (F.col("llr_score") >= threshold))
