@@ -6,49 +6,48 @@ from pyspark.sql import DataFrame
 
 from ..functions.sql import code_table, name, text
 
-# Nesting levels that are unfolded; what lies deeper stays JSON under its dotted key.
-DEPTH = 8
 
 def _is_object(v: str) -> str:
     return f"startswith(schema_of_variant({v}), 'OBJECT')"
 
 
-def _unfold(entries: str, depth: int) -> str:
-    """The entries with nested objects replaced by their members, as far as there are any."""
-    if depth == 0:
-        return entries
-    es = f"es{depth}"
+def _unfold(entries: str, most: str) -> str:
+    """The entries with nested objects replaced by their members, level by level until none is left.
+
+    ``most`` is a bound on the levels; a line stops at its own last one.
+    """
     inner = ("transform(map_entries(try_cast(e.value AS MAP<STRING, VARIANT>)), "
              "c -> named_struct('key', concat(e.key, '.', c.key), 'value', c.value))")
-    level = f"flatten(transform({es}, e -> CASE WHEN {_is_object('e.value')} THEN {inner} ELSE array(e) END))"
-    # Deeper levels run only for lines that have them.
-    return (f"transform(array({entries}), {es} -> CASE WHEN exists({es}, e -> {_is_object('e.value')}) "
-            f"THEN {_unfold(level, depth - 1)} ELSE {es} END)[0]")
+    level = f"flatten(transform(s.es, e -> CASE WHEN {_is_object('e.value')} THEN {inner} ELSE array(e) END))"
+    return (f"aggregate(sequence(1, {most}), named_struct('es', {entries}, 'more', true), "
+            f"(s, i) -> CASE WHEN NOT s.more THEN s WHEN exists(s.es, e -> {_is_object('e.value')}) "
+            f"THEN named_struct('es', {level}, 'more', true) ELSE named_struct('es', s.es, 'more', false) END, s -> s.es)")
 
 
 def _as_map(entries: str) -> str:
-    """Entries to a map. A dotted key and a nested one can meet; then the last one counts."""
+    """Entries to a map. A dotted key and a nested one can meet; then the last one in key order counts."""
     last = ("filter(es, (e, i) -> NOT exists(slice(es, i + 2, greatest(size(es) - i - 1, 0)), "
             "later -> later.key = e.key))")
     return (f"transform(array({entries}), es -> map_from_entries(CASE WHEN "
             f"size(array_distinct(transform(es, e -> e.key))) = size(es) THEN es ELSE {last} END))[0]")
 
 
-def json_stages(raw: str = "raw", depth: int = DEPTH) -> tuple[dict[str, str], ...]:
+def json_stages(raw: str = "raw") -> tuple[dict[str, str], ...]:
     """Stages that turn a JSON line into ``_f``, a map from dotted key to value.
 
     ``_f`` has no entry for JSON nulls and is null when the line is not one JSON
     object; ``_json_error`` then says why. Wrapping the line in brackets makes
     the parser see text that follows the object.
     """
+    braces = f"(length({raw}) - length(replace({raw}, '{{', '')))"
     return (
         {"_list": f"try_parse_json(concat('[', {raw}, ']'))"},
         {"_one": "CASE WHEN variant_get(_list, '$[1]', 'variant') IS NULL "
                  "THEN variant_get(_list, '$[0]', 'variant') END"},
         {"_top": "try_cast(_one AS MAP<STRING, VARIANT>)"},
-        # Only a line with a brace inside can have nested objects.
+        # Only a line with a brace inside can have nested objects, and no more levels than braces.
         {"_flat": f"CASE WHEN instr(substring(ltrim({raw}), 2), '{{') = 0 THEN _top "
-                  f"WHEN _top IS NOT NULL THEN {_as_map(_unfold('map_entries(_top)', depth))} END",
+                  f"WHEN _top IS NOT NULL THEN {_as_map(_unfold('map_entries(_top)', braces))} END",
          "_json_error": "CASE WHEN _one IS NULL THEN 'JSONDecodeError:invalid JSON' WHEN _top IS NULL THEN "
                         "concat('AttributeError:\\'', CASE WHEN is_variant_null(_one) THEN 'NoneType' ELSE "
                         "coalesce(" + code_table({"STRING": "str", "BIGINT": "int", "BOOLEAN": "bool"},
@@ -80,11 +79,11 @@ def rest(consumed, more: str = "false") -> str:
             "(k, v) -> to_json(v))")
 
 
-def flatten_json(df: DataFrame, column: str = "raw", depth: int = DEPTH) -> DataFrame:
+def flatten_json(df: DataFrame, column: str = "raw") -> DataFrame:
     """Adds ``flat``: MAP from dotted key to JSON text; null when the text is no JSON object."""
     carried = [name(c) for c in df.columns]
     helpers: list[str] = []
-    for stage in json_stages(name(column), depth):
+    for stage in json_stages(name(column)):
         df = df.selectExpr(*carried, *helpers, *[f"{e} AS {name(c)}" for c, e in stage.items()])
         helpers += [name(c) for c in stage]
     # A filter on the result stays above the unfolding (see ``spec.staged``).

@@ -119,6 +119,15 @@ def test_flatten(spark):
     assert set(rows["{"]) == {"a.b.c", "a.d", "g"} and rows["{"]["g"] == "0.000956"
 
 
+def test_flatten_has_no_deepest_level(spark):
+    """Any number of levels is unfolded; braces in texts and lists open none; of two equal keys the last in key order counts."""
+    deep = lambda n: '{"k":' * n + "1" + "}" * n
+    cases = {deep(n): {".".join("k" * n): "1"} for n in (1, 2, 8, 9, 40, 200)}
+    cases |= {'{"t":"{{{","l":[{"x":{"y":1}}]}': {"t": '"{{{"', "l": '[{"x":{"y":1}}]'}, '{"a.b":1,"a":{"b":2}}': {"a.b": "1"}, '{"a":{"b":{}}}': {}}
+    got = flatten_json(spark.createDataFrame([(c,) for c in cases], "raw string")).collect()
+    assert {r.raw: r.flat for r in got} == cases
+
+
 def test_review_counts_all_lines_of_a_hot_template(spark):
     q = spark.range(1000).selectExpr("'low_confidence' AS kind", "'d' AS detail", "concat('line ', id) AS raw",
                                      "'u' AS log_type", "'f' AS source", "id AS seq")
