@@ -4,20 +4,21 @@ A document is contaminated by an item when some stretch of it is within
 ``max_ratio`` (10 %) of the item's length in edit distance, both lower-cased and with
 white space runs as one space.
 
-1. Windows. A stretch with few edits keeps most ``Q``-grams of the item, so windows of an
-   item's size of which less than a share of ``SHARE`` starts a ``Q``-gram of some item are
-   passed over. No stretch with up to about 6 % of edits is lost, wherever they stand (an
-   edit touches ``Q`` grams); at 10 % of edits at random places 28 % of the grams are
-   expected to survive. The first of them must lie in the window's first half. Windows start
-   at words.
+1. Windows. An edit touches ``q`` grams, so a stretch with at most k edits keeps at least
+   m - q + 1 - q k of the grams of an item of m characters. ``q`` is at most m / (k + 1) in
+   every length class (and at most ``Q``), so at least one is left at the full 10 %, wherever
+   the edits stand. A gram at place j of an item and p of the text puts the item's start at
+   p - j; in such a stretch these starts differ by at most k. Windows start there, at any
+   character, where enough grams of the same item agree. Nothing within 10 % is passed over.
 2. Embedding. The random walk of Chakraborty, Goldenberg and Koucky copies the
    character under a cursor that random bits, by step and character, move on or hold;
    edit distance becomes Hamming distance. Windows walk as far as the items of their
    length class. Each of ``WALKS`` walks has ``TABLES`` hash tables over ``BITS`` sampled
-   steps; windows and items that share a key are candidates. The numbers are set for a
-   recall above 0.9 at the largest distance (measured in the tests), and near 1 below.
+   steps; windows and items that share a key are candidates. Alone it would find 0.9 of the
+   stretches at the largest distance, so an item whose grams gave the window is one as well.
 3. Verification. A bit-parallel automaton finds the smallest distance between the item
-   and any stretch around the window; only distances within the limit count.
+   and any stretch around the window; only distances within the limit count. No stretch
+   within the limit is lost.
 
 All of this is one Arrow pass over whole texts. Items are taken in blocks of at most
 ``ITEM_BLOCK``, so what is sent to the tasks is bounded; each block is one such pass.
@@ -41,12 +42,12 @@ from . import hashing as H
 from .columns import col, free_name
 
 MAX_RATIO = 0.1
-Q = 12
-SHARE = 0.12
+Q = 8
 WALKS, TABLES, BITS = 6, 32, 7
 ITEM_BLOCK = 5000
 CLASS_RATIO = 1.25
 _SLOTS = 1 << 22
+_ENTRIES = 1 << 21
 _VALUES = np.random.default_rng(11).integers(1, 1 << 63, 1 << 16, dtype=np.uint64)
 
 
@@ -58,9 +59,22 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
 
 
-def gram_slots(points: np.ndarray) -> np.ndarray:
-    """Table slots of all ``Q``-grams, by start."""
-    return (H.window_hash(H.prefix_sums(_VALUES[points & 0xFFFF]), Q) % np.uint64(_SLOTS)).astype(np.int64)
+def gram_sums(points: np.ndarray) -> np.ndarray:
+    """Prefix sums for ``hashing.window_hash``, from which the hashes of all q-grams follow."""
+    return H.prefix_sums(_VALUES[points & 0xFFFF])
+
+
+def slots(grams: np.ndarray) -> np.ndarray:
+    return (grams & np.uint64(_SLOTS - 1)).astype(np.int64)
+
+
+def dense(at: np.ndarray, need: int, span: int) -> np.ndarray:
+    """Those of the sorted places that are among ``need`` places within ``span``."""
+    if len(at) < need:
+        return at[:0]
+    first = np.flatnonzero(at[need - 1 :] - at[: len(at) - need + 1] <= span)
+    edge = np.bincount(first, minlength=len(at) + 1) - np.bincount(first + need, minlength=len(at) + 1)
+    return at[np.cumsum(edge[:-1]) > 0]
 
 
 def best_stretch(pattern: str, text: str) -> tuple[int, int]:
@@ -91,7 +105,11 @@ class LengthClass:
     high: int
     items: np.ndarray
     steps: int
-    need: int  # fewest q-grams of items in a window that can match
+    q: int
+    span: int  # between the first and the last gram of a stretch
+    grams: np.ndarray  # sorted hashes of the items' q-grams
+    first: np.ndarray  # by gram, where its entries start (one more than grams)
+    entries: np.ndarray  # by entry: the item and the place in it
     moves: np.ndarray  # by step, then walk and character: does the cursor move on
     picks: np.ndarray  # by walk and table: the sampled steps
     keys: list[tuple[np.ndarray, np.ndarray]]  # by walk and table: sorted keys, items in that order
@@ -119,9 +137,11 @@ class ItemIndex:
     def __init__(self, ids: list, texts: list[str | None], max_ratio: float = MAX_RATIO, seed: int = 3):
         kept = [(i, t) for i, t in ((i, normalize(t)) for i, t in zip(ids, texts)) if t]
         self.ids, self.texts, self.max_ratio = [i for i, _ in kept], [t for _, t in kept], max_ratio
-        self.marked = np.zeros(_SLOTS, np.uint64)  # the length classes, as bits, whose items have a gram there
+        self.marked: dict[int, np.ndarray] = {}  # by q and slot: the length classes, as bits, whose items have a gram there
         rng = np.random.default_rng(seed)
         lengths = np.array([len(t) for t in self.texts], np.int64)
+        self.edits = (max_ratio * lengths).astype(np.int64)
+        self.need = np.zeros(len(lengths), np.int64)  # fewest q-grams of an item in a stretch that can match
         self.classes: list[LengthClass] = []
         left = lengths
         while len(left):
@@ -130,13 +150,17 @@ class ItemIndex:
             items = np.flatnonzero((lengths >= low) & (lengths <= high))
             left = left[left > high]
             steps = 2 * low
-            c = LengthClass(low, high, items, steps, max(0, int(SHARE * low) - 2),
+            q = int(min(Q, (lengths[items] // (self.edits[items] + 1)).min()))
+            self.need[items] = lengths[items] - q + 1 - q * self.edits[items]
+            grams = [H.window_hash(gram_sums(code_points(self.texts[i])), q) for i in items]
+            entries = np.stack((np.repeat(items, [len(g) for g in grams]), np.concatenate([np.arange(len(g)) for g in grams])))
+            grams = np.concatenate(grams)
+            order = np.argsort(grams, kind="stable")
+            grams, first = np.unique(grams[order], return_index=True)
+            c = LengthClass(low, high, items, steps, q, int((lengths[items] + self.edits[items]).max()) - q, grams, np.append(first, len(order)), entries[:, order],
                             rng.integers(0, 2, (steps, WALKS * 256)), rng.integers(0, steps, (WALKS, TABLES, BITS)), [])
+            self.marked.setdefault(q, np.zeros(_SLOTS, np.uint64))[slots(grams)] |= np.uint64(1) << np.uint64(min(len(self.classes), 63))
             # Items stand side by side with room behind them, as windows do at a text's end.
-            bit = np.uint64(1) << np.uint64(min(len(self.classes), 63))
-            for i in items:
-                slots = gram_slots(code_points(self.texts[i]))
-                self.marked[slots] |= bit
             room = "\x00" * (steps + 1)
             points = code_points("".join(self.texts[i] + room for i in items))
             starts = np.cumsum([0, *(len(self.texts[i]) + len(room) for i in items[:-1])])
@@ -163,51 +187,73 @@ class ItemIndex:
     def _find(self, normal: list[str], out: list[list[tuple]], base: int) -> None:
         points = code_points("\n".join([*normal, ""]))
         starts = np.cumsum([0, *(len(t) + 1 for t in normal)])
-        marks = self.marked[gram_slots(points)] if len(points) >= Q else np.zeros(0, np.uint64)
-        hits = np.flatnonzero(marks)
-        marks = marks[hits]
-        words = np.flatnonzero(np.concatenate(([True], (points[:-1] == 32) | (points[:-1] == 10))) & (points != 10))
-        if not len(words):
-            return
-        padded = np.concatenate((points, np.zeros(1, np.uint32)))
-        pairs = set()
-        for number, c in enumerate(self.classes):
-            some = words if c.need < 1 else words[self.near(words, hits[marks >> np.uint64(min(number, 63)) & np.uint64(1) == 1], c)]
-            for a in range(0, len(some), 5000):
-                window = some[a : a + 5000]
-                for (keys, items), key in zip(c.keys, c.keys_of(padded, window)):
-                    x, y = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-                    for i in np.flatnonzero(y > x).tolist():
-                        pairs.update((int(window[i]), int(item)) for item in items[x[i] : y[i]])
-        self.verify(normal, starts, sorted(pairs), out, base)
-
-    def near(self, words: np.ndarray, hits: np.ndarray, c: LengthClass) -> np.ndarray:
-        """Words at which a window of the class has enough hits, the first of them in its first half."""
-        if len(hits) < c.need:
-            return np.zeros(0, np.int64)
-        window = c.high + int(self.max_ratio * c.high)
-        first, last = hits[: len(hits) - c.need + 1], hits[c.need - 1 :]
-        dense = last + Q - first <= window
-        low, high = np.maximum(last[dense] + Q - window, first[dense] - c.low // 2), first[dense]
-        a, b = np.searchsorted(words, low, "left"), np.searchsorted(words, high, "right")
-        edge = np.zeros(len(words) + 1, np.int64)
-        np.add.at(edge, a, 1)
-        np.add.at(edge, b, -1)
-        return np.flatnonzero(np.cumsum(edge[:-1]) > 0)
-
-    def verify(self, normal: list[str], starts: np.ndarray, pairs: list[tuple[int, int]], out: list[list[tuple]], base: int) -> None:
+        sums, padded = gram_sums(points), np.concatenate((points, np.zeros(1, np.uint32)))
+        pairs: set[tuple[int, int, int]] = set()
+        for q, marked in self.marked.items():
+            grams = H.window_hash(sums, q)
+            marks = marked[slots(grams)]
+            hits = np.flatnonzero(marks)
+            marks = marks[hits]
+            for number, c in enumerate(self.classes):
+                if c.q == q:
+                    at = hits[marks >> np.uint64(min(number, 63)) & np.uint64(1) == 1]
+                    for doc, item, begin in self.aligned(c, grams, at, starts):
+                        places = begin - starts[doc]
+                        pairs.update(zip(doc.tolist(), places.tolist(), item.tolist()))
+                        windows = np.unique(np.stack((doc, places)), axis=1)
+                        for a in range(0, windows.shape[1], 5000):
+                            docs, place = windows[:, a : a + 5000]
+                            for (keys, items), key in zip(c.keys, c.keys_of(padded, starts[docs] + np.maximum(place, 0))):
+                                x, y = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+                                for i in np.flatnonzero(y > x).tolist():
+                                    pairs.update((int(docs[i]), int(place[i]), int(j)) for j in items[x[i] : y[i]])
+        self.verify(normal, sorted(pairs), out, base)
+
+    def aligned(self, c: LengthClass, grams: np.ndarray, at: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(text, item, start): where as many of an item's grams as a match must keep agree on its start, within its edits."""
+        need, width = int(self.need[c.items].min()), int(self.edits[c.items].max()) + 1
+        at = dense(at, need, c.span)
+        gram = np.minimum(np.searchsorted(c.grams, grams[at]), len(c.grams) - 1)
+        at = dense(at[c.grams[gram] == grams[at]], need, c.span)
+        gram = np.searchsorted(c.grams, grams[at])
+        count = c.first[gram + 1] - c.first[gram]
+        total, a = np.cumsum(count), 0
+        while a < len(at):
+            # So many entries at a time, but a stretch at least; the next part starts a stretch earlier.
+            b = max(int(np.searchsorted(total, (total[a - 1] if a else 0) + _ENTRIES)), int(np.searchsorted(at, at[a] + 2 * c.span + 2)))
+            n = count[a:b]
+            entry = np.repeat(c.first[gram[a:b]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            item, place = c.entries[:, entry]
+            p = np.repeat(at[a:b], n)
+            begin = p - place
+            # Counts by item and run of starts: agreeing starts lie in two neighbouring runs. Others in the same slot only add.
+            slot = item * 1000003 + begin // width & _SLOTS - 1
+            held = np.bincount(slot, minlength=_SLOTS)
+            some = held[slot] + np.maximum(held[slot - 1], held[slot + 1 & _SLOTS - 1]) >= self.need[item]
+            item, begin, doc = item[some], begin[some], np.searchsorted(starts, p[some], "right") - 1
+            order = np.lexsort((begin, item, doc))
+            item, begin, doc = item[order], begin[order], doc[order]
+            first = np.arange(len(item))
+            last = first + self.need[item] - 1
+            first, last = first[last < len(item)], last[last < len(item)]
+            first = first[(item[last] == item[first]) & (doc[last] == doc[first]) & (begin[last] - begin[first] <= self.edits[item[first]])]
+            yield doc[first], item[first], begin[first]
+            if b >= len(at):
+                return
+            a = int(np.searchsorted(at, at[b] - c.span))
+
+    def verify(self, normal: list[str], pairs: list[tuple[int, int, int]], out: list[list[tuple]], base: int) -> None:
         best: dict[tuple[int, object], tuple[int, int]] = {}
         seen: dict[tuple[int, int], int] = {}
-        for at, item in pairs:
-            doc = int(np.searchsorted(starts, at, "right")) - 1
-            pattern, place = self.texts[item], at - int(starts[doc])
-            edits = int(self.max_ratio * len(pattern))
+        for doc, place, item in pairs:
+            pattern, edits = self.texts[item], int(self.edits[item])
             # A stretch looked at from a window just before is not looked at again.
-            if place < seen.get((doc, item), -1) or best.get((doc, self.ids[item]), (1, 0))[0] == 0:
+            if place <= seen.get((doc, item), place - 1) or best.get((doc, self.ids[item]), (1, 0))[0] == 0:
                 continue
-            first = max(0, place - edits - 8)
-            stretch = normal[doc][first : place + len(pattern) + edits + 8]
-            seen[doc, item] = place + 8
+            # The stretch starts up to ``edits`` before or after the window, and so it does for windows just behind.
+            first = max(0, place - edits)
+            stretch = normal[doc][first : place + len(pattern) + 3 * edits]
+            seen[doc, item] = place + edits
             exact = stretch.find(pattern)
             distance, end = (0, exact + len(pattern)) if exact >= 0 else best_stretch(pattern, stretch)
             key = doc, self.ids[item]
