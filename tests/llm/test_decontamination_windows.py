@@ -1,10 +1,12 @@
-"""Windows of the decontamination: texts without spaces and repetitive texts."""
+"""Windows of the decontamination: texts without spaces, edits wherever they stand, repetitive texts."""
 
 import random
 
+import numpy as np
 import pytest
 
 from logweir.llm import decontaminate
+from test_pairs_and_repeats import edited
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 CHINESE = [chr(c) for c in range(0x4E00, 0x4F00)]
@@ -14,6 +16,10 @@ def noise(rng, n, letters=LETTERS):
     return "".join(rng.choice(letters) for _ in range(n))
 
 
+def prose(rng, n):
+    return " ".join(noise(rng, rng.randint(2, 8)) for _ in range(n))[:n].strip()
+
+
 @pytest.mark.parametrize("letters", [LETTERS, CHINESE])
 def test_copies_in_unspaced_text(letters):
     rng = random.Random(1)
@@ -24,6 +30,36 @@ def test_copies_in_unspaced_text(letters):
     assert [row[0][2] for row in index.find(texts)] == [700 + len(q) for q in items]
 
 
+def substituted(text, places):
+    out = list(text)
+    for p in places:
+        out[p] = "#"
+    return "".join(out)
+
+
+@pytest.mark.parametrize("m, edits", [(120, 6), (120, 9), (120, 12), (200, 20), (394, 19), (394, 31), (394, 39)])
+def test_spread_and_front_loaded_edits(m, edits):
+    rng = random.Random(m + edits)
+    items = [noise(rng, n) for n in (315, m, m, 90)]
+    index = decontaminate.ItemIndex(list(range(4)), items)
+    for places in (np.linspace(0, m - 1, edits).astype(int), np.arange(edits) * min(12, m // edits), m - 1 - np.arange(edits) * min(12, m // edits)):
+        got = index.find([noise(rng, 500) + " " + substituted(items[1], places) + " " + noise(rng, 500)])
+        assert [(i, d) for i, d, _ in got[0]] == [(1, edits)]
+
+
+def test_no_stretch_within_the_limit_is_lost(monkeypatch):
+    monkeypatch.setattr(decontaminate, "_ENTRIES", 50)
+    rng = random.Random(3)
+    items = [decontaminate.normalize(prose(rng, n)) for n in [*range(5, 60, 3), *range(60, 400, 11)]]
+    index, found = decontaminate.ItemIndex(list(range(len(items))), items), 0
+    for i, q in enumerate(items):
+        text = decontaminate.normalize(prose(rng, 300) + " " + edited(rng, q, int(0.1 * len(q))) + " " + prose(rng, 300))
+        want = {(j, decontaminate.best_stretch(p, text)[0]) for j, p in enumerate(items)}
+        assert {(j, d) for j, d, _ in index.find([text])[0]} == {(j, d) for j, d in want if d <= int(0.1 * len(items[j]))}
+        found += 1
+    assert found == len(items)
+
+
 def test_repetitive_texts(monkeypatch):
     monkeypatch.setattr(decontaminate, "_ENTRIES", 1000)
     index = decontaminate.ItemIndex([1, 2, 3], ["x" * 100, "ab" * 60, "a"])
