@@ -20,25 +20,31 @@ def tokenizer_path(name: str) -> str:
 
 RULES = [url_filter.Rule("org/", "allow"), url_filter.Rule("example.org/es/", "block"), url_filter.Rule("example.org/en/1", "block"),
          url_filter.Rule("com/fr/", "allow"), url_filter.Rule("com/de/", "block")]
-#: The small labelled URL table: unwanted and wanted kinds of site, by name, in several languages.
-UNWANTED = "adult casino porn xxx bet gambling warez malware phishing spam escort viagra".split()
+#: The small labelled URL table: unwanted and wanted kinds of site, by name, and neutral names, which are wanted by themselves.
+UNWANTED = "adult casino porn xxx bet gambling warez malware phishing spam escort viagra pills".split()
 WANTED = "news blog wiki docs school library museum science weather recipes forum travel".split()
+NEUTRAL = ("anderson brookfield castello dunmore ellery fairhaven gruber hawthorne iverson jansen keller lindholm moreau norwood olivera "
+           "petersen quintero rothman sandoval tremont underhill vasquez whitmore yardley thorne terhune hannon rethel onder trentin "
+           "sterling fielding harding keating browning manning smith heath garth southworth strathmore athens thatcher platt wyatt "
+           "northing worthing reading thurston thomson").split()
+DOMAINS, LANGUAGES = ("com", "net", "org"), ("en", "de", "fr", "es")
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    rows = [(f"https://{prefix}{name}{suffix}.example.{end}/{lang}/{1000 + 37 * k}", int(kind is UNWANTED))
-            for kind in (UNWANTED, WANTED) for k, name in enumerate(kind) for prefix in ("", "www.", "m.") for suffix in ("", "-x", "s")
-            for end, lang in (("net", "en"), ("com", "fr"), ("net", "de"), ("com", "es"))]
+    """Labels depend on the kind of site alone: either label has the same domains, language paths, prefixes and page names."""
+    hosts = [(name + suffix, label) for names, label in ((UNWANTED, 1), (WANTED, 0)) for name in names for suffix in ("", "-x", "s")]
+    hosts += [(host, label) for names, label in ((UNWANTED, 1), (WANTED, 0)) for k, name in enumerate(names)
+              for host in (f"{name}-{NEUTRAL[k]}", f"{NEUTRAL[-1 - k]}-{name}")]
+    hosts += [(name + suffix, 0) for name in NEUTRAL for suffix in ("", "s")]
+    tails = [(end, lang) for end in DOMAINS for lang in LANGUAGES]
+    rows = [(f"https://{('', 'www.', 'm.', 'blog.')[(k + t) % 4]}{host}.example.{end}/{lang}/{7 + (37 * k + 101 * t) % 1990}", label)
+            for k, (host, label) in enumerate(hosts) for t, (end, lang) in enumerate(tails)]
     return spark.createDataFrame(rows, "url string, label int")
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    # What the rules say about the pages themselves is labelled too: names from there, in the proportions of the table.
-    found = url_filter.longest_rule(url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url")), RULES)
-    ruled = pages.select("url", (found["verdict"] == "block").cast("int").alias("label"), F.xxhash64("url").alias("h")).where("label IS NOT NULL")
-    sample = ruled.orderBy("h", "url").limit(2000).select("url", "label")
-    model = url_filter.train(labelled_urls(spark).unionByName(sample))
+    model = url_filter.train(labelled_urls(spark))
     return url_filter.judge_urls(pages, RULES, model).select("page_id", "host", "path", "rule", "verdict", "block_probability")
 
 
