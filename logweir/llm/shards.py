@@ -58,7 +58,8 @@ def rebalance(old: list[int], sizes: dict[int, tuple[int, int]], shards: int, sl
     """Edit a map for new sizes or another shard count, moving only slots that must move.
 
     Slots of shards that no longer exist move first; then shards above the mean by
-    more than ``slack`` give slots to those that have the fewest bytes.
+    more than ``slack`` give slots to those that have the fewest bytes. A shard that then has
+    less than half the mean, as slots are coarse, gets slots from any that has more by their size.
     """
     out, size = list(old), [sizes.get(s, (0, 0))[0] for s in range(len(old))]
     held = [0] * shards
@@ -78,7 +79,17 @@ def rebalance(old: list[int], sizes: dict[int, tuple[int, int]], shards: int, sl
     for slot in sorted(moving, key=lambda s: (-size[s], s)):
         h, shard = heapq.heappop(load)
         out[slot] = shard
-        heapq.heappush(load, (h + size[slot], shard))
+        held[shard] = h + size[slot]
+        heapq.heappush(load, (held[shard], shard))
+    for _ in out:
+        least = min(range(shards), key=lambda s: (held[s], s))
+        fit = [s for s, shard in enumerate(out) if 0 < size[s] < held[shard] - held[least]]
+        if held[least] * 2 >= high / (1 + slack) or not fit:
+            break
+        slot = min(fit, key=lambda s: (max(held[out[s]] - size[s], held[least] + size[s]) - held[out[s]], s))
+        held[out[slot]] -= size[slot]
+        held[least] += size[slot]
+        out[slot] = least
     return out
 
 
@@ -98,26 +109,35 @@ def stored_map(spark: SparkSession, path: str, version: int) -> DataFrame:
 
 
 def assign(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS,
-           map_path: str | None = None, version: int = 1) -> DataFrame:
+           map_path: str | None = None, version: int = 1, grown: int | None = None) -> DataFrame:
     """Adds size, text_crc32, virtual_slot, shard and slot (the place in the shard)."""
-    return assign_slotted(with_slots(df, id_col, text_col, slots), shards, id_col, slots, map_path, version)
+    return assign_slotted(with_slots(df, id_col, text_col, slots), shards, id_col, slots, map_path, version, grown)
 
 
 def assign_slotted(slotted: DataFrame, shards: int, id_col: str = "doc_id", slots: int = SLOTS,
-                   map_path: str | None = None, version: int = 1) -> DataFrame:
-    """As ``assign``, for records that have their slots: only the columns given are shuffled."""
+                   map_path: str | None = None, version: int = 1, grown: int | None = None) -> DataFrame:
+    """As ``assign``, for records that have their slots: only the columns given are shuffled.
+
+    With ``grown``, the map edited for that many shards is stored as the next version, and grown_shard is the shard it gives.
+    """
     spark = slotted.sparkSession
     sizes = slot_sizes(slotted)
     path = map_path or scratch_path(spark, "slot-map")
-    store_map(spark, new_map(sizes, shards, slots), version, path)
+    slot_map = new_map(sizes, shards, slots)
+    store_map(spark, slot_map, version, path)
     counts = json.dumps([sizes.get(s, (0, 0))[1] for s in range(slots)])
     # ``slots`` rows: the map, and where each slot's places begin in its shard.
     counted = stored_map(spark, path, version).select("virtual_slot", "shard", F.get(F.from_json(F.lit(counts), "array<long>"), F.col("virtual_slot")).alias("_n"))
+    if grown is not None:
+        store_map(spark, rebalance(slot_map, sizes, grown), version + 1, path)
+        counted = counted.join(stored_map(spark, path, version + 1).withColumnRenamed("shard", "_grown"), "virtual_slot")
     before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
-    begin, place = free_name(slotted, "_begin"), free_name(slotted, "_shard")
-    places = counted.select(F.col("virtual_slot"), F.col("shard").alias(place), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(begin))
+    begin, place, next_place = free_name(slotted, "_begin"), free_name(slotted, "_shard"), free_name(slotted, "_grown_shard")
+    places = counted.select(F.col("virtual_slot"), F.col("shard").alias(place), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(begin),
+                            *([] if grown is None else [F.col("_grown").alias(next_place)]))
     rank = Window.partitionBy("virtual_slot").orderBy(col(slotted, id_col), "text_crc32", "size")
     ranked = slotted.withColumn(free_name(slotted, "_rank"), F.row_number().over(rank)).join(F.broadcast(places), "virtual_slot")
-    kept = [c for c in slotted.columns if c.lower() not in ("shard", "slot")]
+    kept = [c for c in slotted.columns if c.lower() not in ("shard", "slot", *([] if grown is None else ["grown_shard"]))]
     return ranked.select(*[col(ranked, c) for c in kept], F.col(place).cast("int").alias("shard"),
-                         (F.col(begin) + F.col(free_name(slotted, "_rank")) - 1).cast("long").alias("slot"))
+                         (F.col(begin) + F.col(free_name(slotted, "_rank")) - 1).cast("long").alias("slot"),
+                         *([] if grown is None else [F.col(next_place).cast("int").alias("grown_shard")]))
