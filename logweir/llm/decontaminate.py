@@ -25,7 +25,7 @@ All of this is one Arrow pass over whole texts. Items are taken in blocks of at
 
 Defined results. Null and empty texts, and items without a word, match nothing.
 Repeated rows are judged each for itself; items that share an id count as one item,
-by the smaller distance. An empty table on either side gives no contamination.
+by the smaller distance, and so do those without an id, whose item_id is null. An empty table on either side gives no contamination.
 """
 
 from __future__ import annotations
@@ -265,7 +265,7 @@ class ItemIndex:
 
 def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text", block: int = ITEM_BLOCK) -> Iterator[ItemIndex]:
     """Indexes of at most ``block`` items each; the driver holds one block at a time."""
-    rows = items.select(col(items, id_col).cast("long").alias("i"), col(items, text_col).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").orderBy("i", "t")
+    rows = items.select(col(items, id_col).cast("long").alias("i"), col(items, text_col).alias("t")).where("t IS NOT NULL").orderBy("i", "t")
     ids, texts = [], []
     for r in rows.toLocalIterator():
         ids.append(r.i)

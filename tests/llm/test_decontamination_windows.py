@@ -65,3 +65,12 @@ def test_repetitive_texts(monkeypatch):
     index = decontaminate.ItemIndex([1, 2, 3], ["x" * 100, "ab" * 60, "a"])
     got = index.find(["y" * 50 + "x" * 2000, "ab" * 900, "x" * 89, None, "", "z a"])
     assert [[x[:2] for x in row] for row in got] == [[(1, 0)], [(2, 0), (3, 0)], [], [], [], [(3, 0)]]
+
+
+def test_items_without_id_count(spark):
+    q = "a passage of the benchmark that nobody has given a number but that must not stay in the corpus"
+    items = spark.createDataFrame([(None, q), (None, "some other passage without a number, also to be found"), (1, "a numbered passage of another kind")], "item_id long, text string")
+    df = spark.createDataFrame([(1, f"x {q} y"), (2, "clean"), (3, "this is a numbered passage of another kind")], "doc_id long, text string")
+    got = decontaminate.contamination(df, items).select("doc_id", "item_id", "distance").collect()
+    assert sorted(map(tuple, got)) == [(1, None, 0), (3, 1, 0)]
+    assert [r.doc_id for r in decontaminate.decontaminated(df, items).collect()] == [2]
