@@ -13,6 +13,12 @@ white space: the vocabulary's pre-tokenizer starts a pre-token there whatever co
 before, and its only look-ahead (white space before a character) lies behind the cut.
 Merges never cross pre-tokens, so parts between safe cuts encode independently.
 
+Remembered ids are found by a hash, which two byte strings may share. The vocabulary loses
+no byte, so ids spell what they were made of: every batch is spelled out and compared with
+its bytes, and a piece that differs is encoded again. Tables and batches are small and freed
+at the end of a partition, since a worker lives on for later stages. A text longer than a
+batch is a batch of its own: its memory is some dozen times its length.
+
 Defined results. A null text counts as empty: no ids, empty text. Special strings in a
 text are matched as the library does by default. Rows are encoded each for itself, an
 empty table gives no rows, and extra columns pass through; result columns replace input
@@ -33,10 +39,11 @@ from pyspark.sql import functions as F
 
 from . import hashing as H
 from .columns import col, free_name, utf8, with_result
+from .memory import trim
 
 CHUNK_BITS = 8
-REMEMBERED_IDS = 8_000_000
-BATCH = 4 << 20
+REMEMBERED_IDS = 2_000_000
+BATCH = 1 << 19
 
 
 def ragged(pool: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -119,8 +126,8 @@ class ChunkCodec:
                 out[i] = ids[a:b]
         return np.concatenate(out), np.array([len(x) for x in out], np.int64)
 
-    def encode_batch(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts joined, number of ids of each)."""
+    def encode_batch(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all texts joined, number of ids of each, the bytes that the ids spell)."""
         buf, starts = H.flatten(raw)
         begin, end = starts[:-1], starts[1:] - 1
         sums = H.prefix_sums(H.BYTE_VALUES[buf])
@@ -158,21 +165,49 @@ class ChunkCodec:
             return ids, np.add.reduceat(size, at)
 
         if not len(pieces):
-            return np.zeros(0, np.uint32), np.zeros(len(raw), np.int64)
+            return np.zeros(0, np.uint32), np.zeros(len(raw), np.int64), np.zeros(0, np.uint8)
         ids, size = self.chunks.ids(H.range_hash(sums, pieces, piece_end), words_of)
+        spelled, source = self.spell(ids), ragged(buf, pieces, piece_end - pieces)
+        if len(spelled) != len(source) or not np.array_equal(spelled, source):
+            ids, size = self.mended(ids, size, [buf[x:y].tobytes() for x, y in zip(pieces.tolist(), piece_end.tolist())])
+            spelled = self.spell(ids)
         text = np.searchsorted(starts, pieces, "right") - 1
-        return ids, np.bincount(text, size, len(raw)).astype(np.int64)
-
-    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        """Ids of each text."""
+        return ids, np.bincount(text, size, len(raw)).astype(np.int64), spelled
+
+    def mended(self, ids: np.ndarray, size: np.ndarray, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, where those that spell other bytes than their piece are made anew."""
+        parts = np.split(ids, np.cumsum(size)[:-1])
+        wrong = [k for k, (p, own) in enumerate(zip(parts, pieces)) if self.spell(p).tobytes() != own]
+        fresh, n = self.library_ids([pieces[k] for k in wrong])
+        for k, p in zip(wrong, np.split(fresh, np.cumsum(n)[:-1])):
+            parts[k] = p
+        return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+
+    def encode(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, bytes]]:
+        """Ids of each text, and the bytes that they spell."""
         raw = [utf8(t) for t in texts]
         for a, b in H.batches(raw, BATCH):
-            ids, size = self.encode_batch(raw[a:b])
-            yield from np.split(ids, np.cumsum(size)[:-1])
+            ids, size, spelled = self.encode_batch(raw[a:b])
+            end = np.cumsum(size)
+            stop = np.concatenate(([0], np.cumsum(self.piece_size[ids])))[end]
+            for i, j, x, y in zip((end - size).tolist(), end.tolist(), [0, *stop.tolist()], stop.tolist()):
+                yield ids[i:j], spelled[x:y].tobytes()
+
+    def spell(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of ids, joined."""
+        return ragged(self.piece_pool, self.piece_first[ids], self.piece_size[ids])
 
     def decode(self, ids: np.ndarray) -> str:
         """As the library's decode(ids, skip_special_tokens=False)."""
-        return ragged(self.piece_pool, self.piece_first[ids], self.piece_size[ids]).tobytes().decode("utf-8", "replace")
+        return self.spell(ids).tobytes().decode("utf-8", "replace")
+
+    def forget(self) -> None:
+        """Drop the tables and the memory of the last batches."""
+        self.words.clear()
+        self.chunks.clear()
+        trim()
+
+
 
 
 _SPACES = frozenset(b" \t\n\x0b\x0c\r")
@@ -230,11 +265,11 @@ def encode_decode(df: DataFrame, tokenizer_file: str, text_col: str = "text", wi
         coder = codec(tokenizer_file)
         for texts in batches:
             rows = []
-            for ids in coder.encode(list(texts)):
-                text = coder.decode(ids)
-                rows.append((len(ids), hashlib.sha256(ids.astype("<u4")).hexdigest(), hashlib.sha256(text.encode("utf-8")).hexdigest(),
-                             *((ids.astype(np.int32), text) if with_ids else ())))
+            for ids, spelled in coder.encode(list(texts)):
+                rows.append((len(ids), hashlib.sha256(ids.astype("<u4")).hexdigest(), hashlib.sha256(spelled).hexdigest(),
+                             *((ids.astype(np.int32), spelled.decode("utf-8", "replace")) if with_ids else ())))
             yield pd.DataFrame(rows, columns=names)
+        coder.forget()
 
     hidden = free_name(df, "_bpe")
     held = df.withColumn(hidden, run(col(df, text_col)))

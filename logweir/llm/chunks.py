@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from .files import listed, open_folder
+from .memory import trim
 
 PART_BYTES = 3 << 20
 #: Bytes of compressed text for each hash bucket, and the fewest buckets.
@@ -87,6 +88,7 @@ def from_chunks(chunks: Chunks, spark: SparkSession, send: Callable[[int], Itera
             for chunk in batch.column(0).to_pylist():
                 for rows in send(chunk):
                     yield packed(rows)
+        trim()
 
     return chunks.ids(spark).mapInArrow(run, PACKED)
 
@@ -111,6 +113,7 @@ def in_buckets(sent: DataFrame, answer: Callable[[list[dict]], list[tuple]], par
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in grouped(batches, "bucket"):
             yield packed(answer(rows))
+        trim()
 
     return sent.repartition(partitions, "bucket").sortWithinPartitions("bucket", "chunk", "part").mapInArrow(run, PACKED)
 
@@ -121,6 +124,7 @@ def to_chunks(answers: DataFrame, chunks: Chunks, receive: Callable[[int, list[d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, rows in grouped(batches, "chunk"):
             yield from receive(chunk, rows)
+        trim()
 
     return answers.repartition(max(len(chunks.names), 1), "chunk").sortWithinPartitions("chunk", "part", "bucket").mapInArrow(run, schema)
 

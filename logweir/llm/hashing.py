@@ -82,6 +82,29 @@ def window_hash(sums: np.ndarray, length: int) -> np.ndarray:
     return mix((sums[length:] - sums[:n]) * powers(len(sums))[1][:n]) if n > 0 else np.zeros(0, np.uint64)
 
 
+def tree_hash(symbols: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of the ranges [first, last), by mixing halves level by level.
+
+    Prefix sums modulo 2**64 collide by construction on texts that double their own complement
+    (Thue-Morse words of some 1,000 symbols), whatever base and byte values are. Here every
+    level passes through ``mix``, so no algebra of the symbols survives. A range is the two
+    windows of the largest power of two that fits, at its ends, and its length; levels up to the
+    longest range are built, each as long as ``symbols``.
+    """
+    size = last - first
+    out = mix(size.astype(np.uint64))
+    rank = np.frexp(size.astype(np.float64))[1] - 1
+    top = int(rank.max()) if len(rank) else -1
+    level, width = mix(symbols), 1
+    for k in range(top + 1):
+        at = np.flatnonzero(rank == k)
+        out[at] = mix(mix(level[first[at]] * _BASE + level[last[at] - width]) + size[at].astype(np.uint64) * _STEP)
+        if k < top:
+            level = mix(level[:-width] * _BASE + level[width:])
+            width *= 2
+    return out
+
+
 def words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words."""
     gap = SEPARATORS[buf]
@@ -101,17 +124,16 @@ def shingles(texts: list[bytes], width: int, lower: bool = True) -> tuple[np.nda
     first, last = words(buf)
     if not len(first):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    word = range_hash(prefix_sums(BYTE_VALUES[buf]), first, last)
+    word = tree_hash(BYTE_VALUES[buf], first, last)
     owner = np.searchsorted(starts, first, "right") - 1
     count = np.bincount(owner, minlength=len(texts))
     begin = np.cumsum(count) - count
-    sums = prefix_sums(word)
     # One shingle per word that has width-1 more behind it, or one per short text.
     number = np.where(count > 0, np.maximum(count - width + 1, 1), 0)
     doc = np.repeat(np.arange(len(texts)), number)
     at = np.repeat(begin - (np.cumsum(number) - number), number) + np.arange(number.sum())
     end = at + np.minimum(count, width)[doc]
-    hashes = range_hash(sums, at, end) + np.minimum(count, width)[doc].astype(np.uint64)
+    hashes = tree_hash(word, at, end)
     order = np.lexsort((hashes, doc))
     doc, hashes = doc[order], hashes[order]
     new = np.ones(len(doc), bool)

@@ -203,7 +203,7 @@ def write_ids(df: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_c
         keys, held, size, out = [], [], 0, []
         for batch in batches:
             keys += batch.column(0).to_pylist()
-            for ids in coder.encode(batch.column(1).to_pylist()):
+            for ids, _ in coder.encode(batch.column(1).to_pylist()):
                 held.append(np.append(ids, np.uint32(end_id)).astype(f"<u{width}"))
                 size += len(held[-1])
                 if size >= shard_ids:
@@ -211,6 +211,7 @@ def write_ids(df: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_c
                     keys, held, size = keys[len(held) :], [], 0
         if held:
             out.append(write_shard(folder, keys, held, width))
+        coder.forget()
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()

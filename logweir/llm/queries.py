@@ -66,7 +66,8 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shards.with_slots(table(spark, sf_dir, "documents").select("doc_id", "text"))
     placed = shards.assign_slotted(docs.drop("text"), 40, grown=41)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", "grown_shard", "virtual_slot")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+                         F.col("grown_shard").alias("rebalanced_shard"), "virtual_slot")
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,9 @@ def test_grown_shard_follows_the_edited_map(spark, sf_dir):
     sizes, old, new = Counter(), {}, {}
     for r in rows:
         sizes[r.virtual_slot] += r.size
-        assert old.setdefault(r.virtual_slot, r.shard) == r.shard and new.setdefault(r.virtual_slot, r.grown_shard) == r.grown_shard
+        assert old.setdefault(r.virtual_slot, r.shard) == r.shard and new.setdefault(r.virtual_slot, r.rebalanced_shard) == r.rebalanced_shard
+        # The law is `bytes`: only law `key` gives a grown shard.
+        assert r.law == "bytes" and r.grown_shard is None
     held = {s: (n, 1) for s, n in sizes.items()}
     first = shards.new_map(held, 40)
     second = shards.rebalance(first, held, 41)
