@@ -3,9 +3,10 @@
 Terms are lower-cased words and their first four to six letters, hashed into 2**20
 columns. From a bounded sample of labelled documents the ``terms`` columns whose
 document frequency differs most between the labels are kept (their share of the
-log-likelihood); a document is the set of its kept terms. The machine scores a set by
+log-likelihood), and so are pairs of frequent terms that tell more together than both
+alone, whatever each does by itself; a document is the set of its kept terms. The machine scores a set by
 bias + linear weights + pairwise interactions through ``rank`` factors, so a pair such
-as an insult and a group's name can weigh more than both alone. Training runs on the
+as an insult and a group's name can weigh more than both alone, or the other way than both. Training runs on the
 driver over at most ``max_rows`` labelled documents, whose terms are found in tasks.
 
 Scoring is one Arrow pass over whole texts without a shuffle.
@@ -34,6 +35,9 @@ COLUMNS = 1 << 20
 LETTER = np.zeros(256, bool)
 LETTER[97:123] = LETTER[128:] = True
 PREFIXES = (4, 5, 6)
+#: So many frequent terms are tried in pairs; a pair counts from this gain in log-likelihood over both terms (chance reaches
+#: it in about one of 10**10 pairs), and at most so many pairs are kept.
+FREQUENT, PAIR_GAIN, PAIRS = 1024, 20.0, 500
 
 
 def term_columns(texts: list[str | None], used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -104,13 +108,19 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
         return FactorizationMachine(none.astype(np.int64), -35.0, none, np.zeros((0, rank)))
     y = sample.column("y").to_numpy().astype(float)
     lists = sample.column("x").combine_chunks()
-    owner = np.repeat(np.arange(len(y)), lists.value_lengths().to_numpy())
-    flat = lists.flatten().to_numpy().astype(np.int64)
+    owner = np.repeat(np.arange(len(y), dtype=np.int32), lists.value_lengths().to_numpy())
+    flat = lists.flatten().to_numpy()
     if y.min() == y.max():
         return FactorizationMachine(none.astype(np.int64), 35.0 if y[0] else -35.0, none, np.zeros((0, rank)))
-    columns = telling_columns(owner, flat, y, terms)
-    here = np.isin(flat, columns)
+    paired = paired_columns(owner, flat, y)
+    columns = np.union1d(telling_columns(owner, flat, y, terms), paired)
+    used = np.zeros(COLUMNS, bool)
+    used[columns] = True
+    here = used[flat]
     owner, index = owner[here], np.searchsorted(columns, flat[here])
+    # Factors of screened pairs have to grow from nothing to what their linear weights cannot say.
+    pace = np.where(np.isin(columns, paired), 0.5, 0.05)[:, None] * rate
+    del sample, lists, flat, here
     n, k = len(y), len(columns)
     linear, factors = np.zeros(k), np.random.default_rng(7).normal(0, 0.02, (k, rank))
     bias = float(np.log(y.mean() / (1 - y.mean())))
@@ -125,29 +135,70 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
         slope = slope + decay * linear / k
         seen, seen_f, seen_b = seen + slope**2, seen_f + slope_f**2, seen_b + error.sum() ** 2
         linear = linear - rate * slope / np.sqrt(seen)
-        factors = factors - 0.05 * rate * slope_f / np.sqrt(seen_f)
+        factors = factors - pace * slope_f / np.sqrt(seen_f)
         bias -= rate * error.sum() / np.sqrt(seen_b)
     return FactorizationMachine(columns, float(bias), linear, factors)
 
 
+def _gain(k: np.ndarray, n: float, share: np.ndarray) -> np.ndarray:
+    """What k of n documents say against their expected share, in nats."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(k > 0, k * np.log(k / np.maximum(n * share, 1e-12)), 0)
+
+
 def telling_columns(owner: np.ndarray, flat: np.ndarray, y: np.ndarray, terms: int) -> np.ndarray:
     """The columns in which the labels differ most (likelihood-ratio statistic), at least in 3 documents each."""
     n1, n0 = y.sum(), len(y) - y.sum()
-    some, back = np.unique(flat, return_inverse=True)
-    a = np.bincount(back, y[owner])
-    b = np.bincount(back) - a
+    both = np.bincount(flat, minlength=COLUMNS).astype(float)
+    a = np.bincount(flat[y[owner] > 0], minlength=COLUMNS).astype(float)
+    some = np.flatnonzero(both >= 3)
+    a, b = a[some], both[some] - a[some]
     share = (a + b) / len(y)
-
-    def part(k, n):
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return np.where(k > 0, k * np.log(k / (n * share)), 0) + np.where(n - k > 0, (n - k) * np.log(np.maximum((n - k) / np.maximum(n * (1 - share), 1e-12), 1e-12)), 0)
-
-    gain = np.where(a + b >= 3, part(a, n1) + part(b, n0), -1)
+    gain = _gain(a, n1, share) + _gain(n1 - a, n1, 1 - share) + _gain(b, n0, share) + _gain(n0 - b, n0, 1 - share)
     # Chance differences carry no information: 6.6 is the 0.1 % point of the statistic's half.
     best = np.argsort(-gain, kind="stable")[:terms]
     return np.sort(some[best[gain[best] > 6.6]])
 
 
+def paired_columns(owner: np.ndarray, flat: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Columns of the frequent terms' pairs that say more about the label together than both say alone."""
+    n, n1 = len(y), y.sum()
+    held = np.bincount(flat, minlength=COLUMNS)
+    # A term in almost every document says as little as one in almost none.
+    frequent = np.sort(np.argsort(-np.minimum(held, n - held), kind="stable")[:FREQUENT])
+    frequent = frequent[np.minimum(held, n - held)[frequent] >= 5]
+    k = len(frequent)
+    if k < 2:
+        return frequent[:0]
+    place = np.full(COLUMNS, -1, np.int32)
+    place[frequent] = np.arange(k)
+    at = place[flat]
+    rows, at = owner[at >= 0], at[at >= 0]
+    together = np.zeros((2, k, k), np.float32)
+    for first in range(0, n, 1000):
+        a, b = np.searchsorted(rows, [first, first + 1000])
+        x = np.zeros((min(1000, n - first), k), np.float32)
+        x[rows[a:b] - first, at[a:b]] = 1
+        label = y[first : first + 1000] > 0
+        together[1] += x[label].T @ x[label]
+        together[0] += x[~label].T @ x[~label]
+    alone = [np.diagonal(t).astype(float) for t in together]
+    total, share = alone[0] + alone[1], n1 / n
+    single = sum(_gain(c, m, p) for m, p, c in ((total, 1 - share, alone[0]), (total, share, alone[1]),
+                                                  (n - total, 1 - share, n - n1 - alone[0]), (n - total, share, n1 - alone[1])))
+    found = []
+    for i in range(k - 1):
+        js = slice(i + 1, k)
+        gain = -single[i] - single[js]
+        cells = [(t[i, js].astype(float), c[i], c[js], m) for t, c, m in zip(together, alone, (n - n1, n1))]
+        split = [(b, ci - b, cj - b, m - ci - cj + b) for b, ci, cj, m in cells]
+        for off, on in zip(*split):
+            gain = gain + _gain(off, off + on, 1 - share) + _gain(on, off + on, share)
+        found += [(-g, i, i + 1 + j) for j, g in zip(np.flatnonzero(gain > PAIR_GAIN).tolist(), gain[gain > PAIR_GAIN].tolist())]
+    best = sorted(found)[:PAIRS]
+    return np.unique(frequent[[c for _, i, j in best for c in (i, j)]]) if best else frequent[:0]
+
+
 def score(df: DataFrame, model: FactorizationMachine, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """Adds score (0 to 1) and predicted (1 if score >= ``threshold``)."""
 
