@@ -74,3 +74,24 @@ def test_items_without_id_count(spark):
     got = decontaminate.contamination(df, items).select("doc_id", "item_id", "distance").collect()
     assert sorted(map(tuple, got)) == [(1, None, 0), (3, 1, 0)]
     assert [r.doc_id for r in decontaminate.decontaminated(df, items).collect()] == [2]
+
+
+def test_lsh_alone_reaches_its_recall(monkeypatch):
+    """Candidates come from shared keys only: recall by distance, edits spread evenly, and none at all without keys."""
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 9))) for _ in range(2000)]
+    items = [" ".join(rng.choice(words, n)) for n in rng.integers(6, 60, 150)]
+    index = decontaminate.ItemIndex(list(range(len(items))), items)
+    for ratio, least in ((0, 1.0), (0.05, 0.98), (0.08, 0.95), (0.1, 0.9)):
+        docs = []
+        for t in items:
+            k, letters = int(ratio * len(t)), list(t)
+            for p in np.linspace(0, len(t) - 1, k).astype(int)[::-1].tolist():
+                kind = rng.integers(3)
+                letters[p : p + (kind != 1)] = [] if kind == 2 else [chr(97 + rng.integers(26))]
+            docs.append(" ".join([*rng.choice(words, 20), "".join(letters), *rng.choice(words, 20)]))
+        found = index.find(docs)
+        assert np.mean([any(i == k for i, _, _ in row) for k, row in enumerate(found)]) >= least
+    for c in index.classes:
+        c.keys = [(key[:0], those[:0]) for key, those in c.keys]
+    assert index.find(items) == [[] for _ in items]
