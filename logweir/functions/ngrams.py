@@ -19,18 +19,4 @@ def char_ngrams(x: str, low: int = NGRAM_RANGE[0], high: int = NGRAM_RANGE[1]) -
     return f"flatten(transform(transform({words}, w -> concat(' ', w, ' ')), p -> {grams}))"
 
 
-def gram_counts(x: str, low: int = NGRAM_RANGE[0], high: int = NGRAM_RANGE[1]) -> str:
-    """The distinct n-grams of a text with their counts: ``array<struct<term, tf>>``.
-
-    Counting inside the row (sort, then run lengths) keeps the per-line term
-    counts out of any shuffle.
-    """
-    runs = ("transform(array(filter(sequence(1, size(s)), i -> i = 1 OR s[i - 1] <> s[greatest(i - 2, 0)])), b -> "
-            "transform(b, (at, k) -> named_struct('term', s[at - 1], "
-            "'tf', cast(coalesce(get(b, k + 1), size(s) + 1) - at AS BIGINT))))[0]")
-    none = "cast(array() AS ARRAY<STRUCT<term: STRING, tf: BIGINT>>)"
-    return (f"transform(array(sort_array({char_ngrams(x, low, high)})), "
-            f"s -> CASE WHEN size(s) > 0 THEN {runs} ELSE {none} END)[0]")
-
-
 _SPACES = "'[" + "".join(f"\\\\x{{{ord(c):x}}}" for c in WHITESPACE) + "]+'"

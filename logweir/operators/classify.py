@@ -1,17 +1,29 @@
-"""Log-type classifier: TF-IDF over character n-grams and multinomial logistic regression."""
+"""Log-type classifier: TF-IDF over character n-grams and multinomial logistic regression.
+
+Scoring needs no key and no shuffle: every Arrow batch of lines meets the term table, which has at
+most 300,000 terms and is broadcast as arrays, in the task that reads it, and a line's probabilities stand
+in a new column beside it. So repeated lines and keys cannot mix.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..catalogue import DEFAULT_THRESHOLD
-from ..functions.ngrams import gram_counts
+from ..functions import gramwise
 from ..functions.sql import name, texts
+from ..session import scratch_path
+from .ranking import largest
 from .route import confidence_filter
 
 # --- fixed values of the model ------------------------------------------------------
@@ -25,8 +37,8 @@ MAX_ITERATIONS = 2000
 class LogTypeModel:
     """Classes, one intercept each, and a term table ``term, idf, weights ARRAY<DOUBLE>``.
 
-    ``n_terms`` bounds the term table: training keeps at most 300,000 terms, so
-    the table (tens of MB) may be broadcast.
+    ``n_terms`` is the size of the term table. More than 300,000 terms, which training never
+    keeps, are refused, so what is broadcast has a known bound (tens of MB).
     """
 
     classes: tuple[str, ...]
@@ -34,6 +46,19 @@ class LogTypeModel:
     terms: DataFrame
     n_terms: int
 
+    def __post_init__(self):
+        if self.n_terms > MAX_TERMS:
+            raise ValueError(f"{self.n_terms} terms; a model has at most {MAX_TERMS}")
+
+    @cached_property
+    def shared(self):
+        """The vocabulary, the weights by class and the intercepts, as tasks get them."""
+        table = self.terms.select("term", "idf", "weights").limit(MAX_TERMS).toArrow()
+        flat = table.column("weights").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        weights = np.ascontiguousarray(flat.reshape(table.num_rows, len(self.classes)).T)
+        vocabulary = gramwise.Vocabulary(table.column("term").to_pylist(), table.column("idf").to_numpy())
+        return self.terms.sparkSession.sparkContext.broadcast((vocabulary, weights, np.array(self.intercepts)))
+
     def save(self, path: str) -> None:
         spark = self.terms.sparkSession
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
@@ -50,61 +75,99 @@ class LogTypeModel:
 
 
 def term_statistics(lines: DataFrame, text_column: str = "line") -> DataFrame:
-    """Per n-gram: ``cf``, its count in the corpus, and ``df``, the lines it occurs in."""
-    return (lines.selectExpr(f"explode({gram_counts(name(text_column))}) AS g")
-            .groupBy(F.col("g.term").alias("term"))
-            .agg(F.sum("g.tf").alias("cf"), F.count("*").alias("df")))
+    """Per n-gram: ``cf``, its count in the corpus, and ``df``, the lines it occurs in.
+
+    A task counts the terms of a batch before it gives them out, so the shuffle carries
+    a batch's distinct terms, not its lines' terms.
+    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield gramwise.counted(batch.column(0).to_pylist())
+
+    return (lines.select(F.col(name(text_column))).mapInArrow(count, "term string, cf long, df long")
+            .groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df")))
 
 
 def tfidf_terms(lines: DataFrame, text_column: str = "line", min_df: int = MIN_DF,
                 max_terms: int = MAX_TERMS) -> DataFrame:
-    """The vocabulary: the commonest terms in at least ``min_df`` lines, with their smoothed idf."""
+    """The vocabulary: the commonest terms in at least ``min_df`` lines, with their smoothed idf.
+
+    Fitting it runs jobs: the terms are counted and written out once, and the cut to
+    ``max_terms`` is found from counts per value range, not by sorting them.
+    """
+    spark = lines.sparkSession
+    path = scratch_path(spark, "terms")
+    term_statistics(lines, text_column).filter(F.col("df") >= min_df).write.parquet(path)
+    kept = largest(spark.read.parquet(path), "cf", "term", max_terms)
     n = lines.agg(F.count("*").alias("n_lines"))
-    return (term_statistics(lines, text_column).filter(F.col("df") >= min_df)
-            .orderBy(F.desc("cf"), "term").limit(max_terms)
-            .join(F.broadcast(n), F.lit(True))  # one row
+    return (kept.join(F.broadcast(n), F.lit(True))  # one row
             .selectExpr("term", "cf", "df", "ln((1D + n_lines) / (1D + df)) + 1D AS idf"))
 
 
-def _line_terms(lines: DataFrame, key: str, text_column: str, terms: DataFrame, n_terms: int) -> DataFrame:
-    """Each line's terms with the vocabulary's columns and ``x`` = (1 + ln tf) * idf."""
-    grams = lines.selectExpr(name(key), f"inline({gram_counts(name(text_column))}) AS (term, tf)")
-    if n_terms <= MAX_TERMS:
-        terms = F.broadcast(terms)
-    return grams.join(terms, "term").withColumn("x", F.expr("(1D + ln(tf)) * idf"))
+def vocabulary(terms: DataFrame) -> gramwise.Vocabulary:
+    """A term table (at most 300,000 rows are taken to the driver), in the order of the terms."""
+    table = terms.select("term", "idf").orderBy("term").limit(MAX_TERMS + 1).toArrow()
+    if table.num_rows > MAX_TERMS:
+        raise ValueError(f"more than {MAX_TERMS} terms")
+    return gramwise.Vocabulary(table.column("term").to_pylist(), table.column("idf").to_numpy())
 
 
-def tfidf_vectors(lines: DataFrame, key: str, text_column: str, terms: DataFrame,
-                  n_terms: int = MAX_TERMS) -> DataFrame:
-    """Sparse vectors of length one as rows ``key, term, weight``."""
-    weighted = _line_terms(lines, key, text_column, terms, n_terms)
-    # One group per line, so its list is at most the line's own distinct n-grams.
-    per_line = weighted.groupBy(key).agg(F.collect_list(F.struct("term", "x")).alias("xs"),
-                                         F.expr("sqrt(sum(x * x))").alias("norm"))
-    return per_line.selectExpr(name(key), "norm", "inline(xs)").selectExpr(name(key), "term", "x / norm AS weight")
+def vector_column(column: str, known: gramwise.Vocabulary, spark: SparkSession) -> Column:
+    """Sparse vectors of length one, as ``array<struct<place, weight>>``; places follow ``known.terms``."""
+    shared = spark.sparkContext.broadcast(known)
 
+    @F.arrow_udf("array<struct<place:int,weight:double>>")
+    def vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lines in batches:
+            ends, places, weights = gramwise.vectors(lines.to_pylist(), shared.value)
+            entries = pa.StructArray.from_arrays([pa.array(places.astype(np.int32)), pa.array(weights)], ["place", "weight"])
+            yield pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), entries)
 
-def score(lines: DataFrame, key: str, text_column: str, model: LogTypeModel) -> DataFrame:
-    """Class probabilities of every line: ``key, probabilities ARRAY<DOUBLE>`` in class order.
+    return vectors(F.col(name(column)))
 
-    The dot product as a join: the line's terms meet the broadcast weights and
-    are summed per line inside the task that read it (partial aggregation), so
-    the shuffle carries one row of class sums per line, not the terms.
-    """
-    weighted = _line_terms(lines, key, text_column, model.terms, model.n_terms)
-    n = len(model.classes)
-    sums = [F.expr(f"sum(x * weights[{i}])").alias(f"_s{i}") for i in range(n)]
-    dots = weighted.groupBy(key).agg(F.expr("sqrt(sum(x * x))").alias("_norm"), *sums)
-    margins = "array(" + ", ".join(
-        f"coalesce(_s{i} / _norm, 0D) + {b!r}D" for i, b in enumerate(model.intercepts)) + ")"
-    # A line none of whose terms is known has the intercepts alone.
-    scored = lines.select(key).join(dots, key, "left").selectExpr(name(key), f"{margins} AS _m")
-    return scored.selectExpr(name(key), f"{softmax('_m')} AS probabilities")
 
+def tfidf_vectors(lines: DataFrame, key: str, text_column: str, terms: DataFrame) -> DataFrame:
+    """Sparse vectors of length one as rows ``key, term, weight``; every line gives its own."""
+    known = vocabulary(terms)
+    spark = lines.sparkSession
+    held = lines.select(F.col(name(key)), vector_column(text_column, known, spark).alias("_v"))
+    named = spark.sparkContext.broadcast(known.terms)
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = pa.array(named.value, pa.string())
+        for batch in batches:
+            lists = batch.column(1)
+            entries = lists.flatten()
+            keys = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))))
+            yield pa.RecordBatch.from_arrays([keys, words.take(entries.field("place")), entries.field("weight")], names=[key, "term", "weight"])
+
+    schema = StructType([held.schema[key], *StructType.fromDDL("term string, weight double")])
+    return held.mapInArrow(spell, schema)
+
+
+def probability_column(column: str, model: LogTypeModel) -> Column:
+    """The class probabilities of a text column, in class order."""
+    shared = model.shared
+
+    @F.arrow_udf("array<double>")
+    def score_lines(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known, weights, intercepts = shared.value
+        for lines in batches:
+            p = gramwise.probabilities(lines.to_pylist(), known, weights, intercepts)
+            ends = np.arange(len(p) + 1, dtype=np.int32) * p.shape[1]
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(p.ravel()))
+
+    return score_lines(F.col(name(column)))
 
-def softmax(margins: str) -> str:
-    exps = f"transform({margins}, m -> exp(m - array_max({margins})))"
-    return (f"transform(array({exps}), e -> transform(e, v -> v / aggregate(e, 0D, (a, b) -> a + b)))[0]")
+
+def with_probabilities(lines: DataFrame, text_column: str, model: LogTypeModel, out: str = "probabilities") -> DataFrame:
+    """Adds ``probabilities ARRAY<DOUBLE>``, in class order; rows stay where they are."""
+    return lines.withColumn(out, probability_column(text_column, model))
+
+
+def score(lines: DataFrame, key: str, text_column: str, model: LogTypeModel) -> DataFrame:
+    """``key, probabilities`` of every line; keys may repeat."""
+    return with_probabilities(lines, text_column, model).select(F.col(name(key)), "probabilities")
 
 
 def top2_candidates(probabilities: str, classes) -> str:
@@ -126,60 +189,41 @@ def predictions(scored: DataFrame, classes) -> DataFrame:
                              f"{top2_candidates('probabilities', classes)} AS candidates")
 
 
-def classify(df: DataFrame, model: LogTypeModel, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
-    """Lines with ``event_id`` and ``raw`` gain ``log_type``, ``confidence`` and ``candidates``.
-
-    Lines are placed by event id once; scoring and the join back to the line
-    both use that placement.
-    """
-    placed = df.repartition("event_id")
-    predicted = predictions(score(placed, "event_id", "raw", model), model.classes)
-    return confidence_filter(placed.join(predicted, "event_id"), threshold).drop("label")
+def classify(df: DataFrame, model: LogTypeModel, threshold: float = DEFAULT_THRESHOLD, text_column: str = "raw") -> DataFrame:
+    """Lines gain ``log_type``, ``confidence`` and ``candidates``, without a shuffle."""
+    scored = predictions(with_probabilities(df, text_column, model, "probabilities"), model.classes)
+    return confidence_filter(scored, threshold).drop("label")
 
 
 def train(lines: DataFrame, label: str = "label", text_column: str = "line",
           min_df: int = MIN_DF, max_terms: int = MAX_TERMS, c: float = INVERSE_REGULARIZATION,
           max_iter: int = MAX_ITERATIONS, tolerance: float = 1e-5, partitions: int | None = None) -> LogTypeModel:
-    """Fit the classifier on labelled lines (cap them per class first).
+    """Fit the classifier on labelled lines (cap them per class first); repeated lines count as often as they stand.
 
-    Every solver step is a job of ``partitions`` tasks (as many as shuffles have, by default).
+    Vectors are made per Arrow batch and written out once, so a lost executor costs the files it was
+    reading. Every solver step is a job of ``partitions`` tasks (as many as shuffles have, by default).
 
     The weight table comes back through the driver: classes times terms, at
     most 300,000 terms.
     """
     spark = lines.sparkSession
-    keyed = lines.selectExpr(f"{name(label)} AS label", f"{name(text_column)} AS line",
-                             f"sha2(concat_ws(':', {name(label)}, {name(text_column)}), 256) AS _id").persist()
-    try:
-        terms = (tfidf_terms(keyed, "line", min_df, max_terms)
-                 .withColumn("at", F.row_number().over(Window.orderBy("term")) - 1).persist())
-        vocabulary = [r.term for r in terms.orderBy("at").select("term").collect()]
-        classes = sorted(r.label for r in keyed.select("label").distinct().collect())
-        n = keyed.count()
-        size = len(vocabulary)
-
-        @F.udf(VectorUDT())
-        def vector(pairs):
-            # At most the distinct n-grams of one line.
-            norm = sum(x * x for _, x in pairs) ** 0.5
-            return Vectors.sparse(size, sorted((at, x / norm) for at, x in pairs))
-
-        weighted = _line_terms(keyed, "_id", "line", terms.select("term", "idf", "at"), size)
-        features = (weighted.groupBy("_id").agg(F.collect_list(F.struct("at", "x")).alias("pairs"))
-                    .select("_id", vector("pairs").alias("features")))
-        position = F.array_position(F.lit(list(classes)), F.col("label")) - 1
-        parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        data = (keyed.join(features, "_id").select("features", position.cast("double").alias("target"))
-                .repartition(parts).persist())
-        fitted = LogisticRegression(
-            featuresCol="features", labelCol="target", family="multinomial", standardization=False,
-            maxIter=max_iter, tol=tolerance, regParam=1.0 / (c * n)).fit(data)
-        data.unpersist()
-        matrix = fitted.coefficientMatrix.toArray().T
-        idf = {r.term: r.idf for r in terms.select("term", "idf").collect()}
-        rows = [(t, float(idf[t]), [float(w) for w in matrix[i]]) for i, t in enumerate(vocabulary)]
-        table = spark.createDataFrame(rows, "term string, idf double, weights array<double>")
-        terms.unpersist()
-        return LogTypeModel(tuple(classes), tuple(float(b) for b in fitted.interceptVector), table, size)
-    finally:
-        keyed.unpersist()
+    labelled = lines.select(F.col(name(label)).alias("label"), F.col(name(text_column)).alias("line"))
+    known = vocabulary(tfidf_terms(labelled, "line", min_df, max_terms))
+    classes = sorted(r.label for r in labelled.select("label").distinct().collect())
+    size = len(known.terms)
+    position = F.array_position(F.lit(list(classes)), F.col("label")) - 1
+    # The columns of a sparse vector as the solver stores it; reading them back by its type makes them one.
+    sparse = "named_struct('type', 0Y, 'size', {}, 'indices', transform(_v, e -> e.place), 'values', transform(_v, e -> e.weight))"
+    path = scratch_path(spark, "vectors")
+    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (labelled.select(vector_column("line", known, spark).alias("_v"), position.cast("double").alias("target"))
+     .selectExpr(f"{sparse.format(size)} AS features", "target").repartition(parts).write.parquet(path))
+    data = spark.read.schema(StructType([StructField("features", VectorUDT()), StructField("target", DoubleType())])).parquet(path)
+    n = data.count()
+    fitted = LogisticRegression(
+        featuresCol="features", labelCol="target", family="multinomial", standardization=False,
+        maxIter=max_iter, tol=tolerance, regParam=1.0 / (c * n)).fit(data)
+    weights = fitted.coefficientMatrix.toArray().T
+    table = pa.table({"term": pa.array(known.terms, pa.string()), "idf": pa.array(known.idf),
+                      "weights": pa.ListArray.from_arrays(pa.array(np.arange(size + 1, dtype=np.int32) * len(classes)), pa.array(weights.ravel()))})
+    return LogTypeModel(tuple(classes), tuple(float(b) for b in fitted.interceptVector), spark.createDataFrame(table), size)

@@ -80,21 +80,41 @@ def normalize(df: DataFrame, spec: SourceSpec, year_hint: int | None = None,
               now: str = "current_timestamp()") -> DataFrame:
     """Lines of one source with their envelope to event documents.
 
-    Lines that fail to parse are left out; :func:`parse_failures` gives those.
-    The result has one column per top-level schema field (structs nest by
+    Lines that fail to parse are left out; :func:`parse_failures` gives those, and
+    :func:`parsed` both at once. The result has one column per top-level schema field (structs nest by
     dotted path), ``residual_ns`` and ``unmapped`` for everything without a
     place in the schema, ``event_ts`` as a real timestamp, and ``log_type``.
     """
     df = _with_defaults(df)
     keep = tuple(c for c in (*ENVELOPE, "confidence") if c in df.columns)
     out = place_fields(staged(df, spec).filter("parse_error IS NULL"), spec, year_hint, now, keep)
-    return _document(out, spec)
+    return out.selectExpr(*_document(out, spec))
+
+
+def parsed(df: DataFrame, spec: SourceSpec, year_hint: int | None = None,
+           now: str = "current_timestamp()") -> DataFrame:
+    """All lines of one source as documents, parsed once: ``reason`` is null for those that parsed.
+
+    ``candidates`` are carried along; a failed line's document holds the line, its ids and
+    its source, so that the quarantine needs nothing else.
+    """
+    df = _with_defaults(df)
+    out = place_fields(staged(df, spec, fenced=False), spec, year_hint, now, (*ENVELOPE, "confidence", "candidates", "parse_error"))
+    return out.selectExpr(*_document(out, spec), "candidates", "concat('parse_error:', parse_error) AS reason")
+
+
+def unparsed(df: DataFrame) -> DataFrame:
+    """Lines that no source takes, in the shape :func:`parsed` gives; ``reason`` is the one they have."""
+    df = _with_defaults(df)
+    values = {**_origin(), "pipeline.classification.log_type": "log_type", "pipeline.classification.confidence": "confidence",
+              "pipeline.ingest.source": "source", "pipeline.ingest.seq": "seq"}
+    return df.selectExpr(*_columns(values), "cast(null AS STRING) AS residual_ns", "cast(null AS MAP<STRING, STRING>) AS unmapped",
+                         "cast(null AS TIMESTAMP) AS event_ts", "log_type", "candidates", "reason")
 
 
 def _with_defaults(df: DataFrame) -> DataFrame:
-    if "confidence" not in df.columns:
-        df = df.selectExpr("*", "cast(null AS DOUBLE) AS confidence")
-    return df
+    missing = {"confidence": "DOUBLE", "candidates": "ARRAY<STRUCT<label: STRING, p: DOUBLE>>"}
+    return df.selectExpr("*", *[f"cast(null AS {t}) AS {c}" for c, t in missing.items() if c not in df.columns])
 
 
 def parse_failures(df: DataFrame, spec: SourceSpec) -> DataFrame:
@@ -104,7 +124,25 @@ def parse_failures(df: DataFrame, spec: SourceSpec) -> DataFrame:
             .selectExpr(*carried, "concat('parse_error:', parse_error) AS reason"))
 
 
-def _document(df: DataFrame, spec: SourceSpec) -> DataFrame:
+def _origin() -> dict[str, str]:
+    """What every event says of where it came from."""
+    return {
+        "event.original": "raw", "event.id": "event_id", "event.hash": "event_hash", "event.ingested": "received_at",
+        # A source with a scheme is a network address, anything else a file.
+        "log.source.address": "CASE WHEN instr(source, '://') > 0 THEN source END",
+        "log.file.path": "CASE WHEN instr(source, '://') = 0 THEN source END",
+    }
+
+
+def _columns(values: dict[str, str]) -> list[str]:
+    """A document's columns: the values in their places, and typed nulls for every other field."""
+    every = {**EVENT_FIELDS, **METADATA_FIELDS}
+    typed = {p: values.get(p) or f"cast(null AS {SQL_TYPE[t]})" for p, t in every.items()
+             if p != "pipeline.classification.candidates"}
+    return [f"{e} AS {name(top)}" for top, e in nest(typed).items()]
+
+
+def _document(df: DataFrame, spec: SourceSpec) -> list[str]:
     have = {c[2:] for c in df.columns if c.startswith("t:")}
 
     def got(path):
@@ -117,17 +155,13 @@ def _document(df: DataFrame, spec: SourceSpec) -> DataFrame:
 
     values: dict[str, str] = {p: got(p) for p in EVENT_FIELDS if got(p)}
     values.update({
+        **_origin(),
         "@timestamp": default("@timestamp", "received_at"),
-        "event.original": "raw", "event.id": "event_id", "event.hash": "event_hash",
-        "event.ingested": "received_at",
         "event.kind": default("event.kind", text(spec.event_kind)),
         "event.category": default("event.category", texts(spec.event_category)),
         "event.type": default("event.type", texts(spec.event_type)),
         "event.outcome": default("event.outcome", "'unknown'"),
         "event.module": text(spec.module), "event.dataset": text(spec.full_dataset),
-        # A source with a scheme is a network address, anything else a file.
-        "log.source.address": "CASE WHEN instr(source, '://') > 0 THEN source END",
-        "log.file.path": "CASE WHEN instr(source, '://') = 0 THEN source END",
     })
     for path, literal in (("event.provider", spec.provider), ("observer.vendor", spec.observer_vendor),
                           ("observer.product", spec.observer_product), ("observer.type", spec.observer_type)):
@@ -157,15 +191,10 @@ def _document(df: DataFrame, spec: SourceSpec) -> DataFrame:
         "pipeline.classification.confidence": "confidence",
         "pipeline.ingest.source": "source", "pipeline.ingest.seq": "seq",
     })
-    every = {**EVENT_FIELDS, **METADATA_FIELDS}
-    typed = {p: values.get(p) or f"cast(null AS {SQL_TYPE[t]})" for p, t in every.items()
-             if p != "pipeline.classification.candidates"}
     ts = values["@timestamp"]
-    return df.selectExpr(
-        *[f"{e} AS {name(top)}" for top, e in nest(typed).items()],
-        f"{text(spec.residual_namespace)} AS residual_ns", "unmapped",
-        f"CASE WHEN {ts} RLIKE '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T' THEN try_cast({ts} AS TIMESTAMP) END AS event_ts",
-        f"{text(spec.name)} AS log_type")
+    return [*_columns(values), f"{text(spec.residual_namespace)} AS residual_ns", "unmapped",
+            f"CASE WHEN {ts} RLIKE '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T' THEN try_cast({ts} AS TIMESTAMP) END AS event_ts",
+            f"{text(spec.name)} AS log_type"]
 
 
 def related(parts: list[str]) -> str:

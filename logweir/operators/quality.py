@@ -82,10 +82,19 @@ def self_test(samples: DataFrame, specs: dict[str, SourceSpec]) -> DataFrame:
         F.count("*").alias("n"), F.count("parse_error").alias("failed"), F.min("parse_error").alias("first_error"))
 
 
-def usable_specs(samples: DataFrame, specs: dict[str, SourceSpec]) -> dict[str, SourceSpec]:
-    """The sources that pass their self test; lines of the others go to quarantine as ``no_plugin``."""
-    bad = {r.log_type for r in self_test(samples, specs).filter("failed > 0").select("log_type").collect()}
-    return {n: s for n, s in specs.items() if n not in bad}
+def source_errors(samples: DataFrame, specs: dict[str, SourceSpec], specs_table: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """``log_type, error`` of the sources that must not be used: a sample that does not parse, or a faulty definition."""
+    failed = self_test(samples, specs).filter("failed > 0").selectExpr("log_type", "concat('self-test: ', first_error) AS error")
+    faulty = (validate_specs(specs_table, catalogue).groupBy("log_type")
+              .agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(" ", "field", "value"))), ", ").alias("faults"))
+              .selectExpr("log_type", "concat('not in the schema: ', faults) AS error"))
+    return failed.unionByName(faulty).groupBy("log_type").agg(F.array_join(F.array_sort(F.collect_set("error")), "; ").alias("error"))
+
+
+def usable_specs(specs_table: DataFrame, errors: DataFrame) -> DataFrame:
+    """The source table without the sources that have an error: :func:`..route.route` gives their lines ``no_plugin``."""
+    # Both are tables of a row per source.
+    return specs_table.join(F.broadcast(errors.select("log_type")), "log_type", "left_anti")
 
 
 def field_coverage(events: DataFrame, paths: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.textual import mask_template
+from ..sources.sinks import ROWS_PER_FILE
 from .ranking import first_per_group, number_all
 
 # --- fixed values of the review report ------------------------------------------
@@ -61,12 +62,28 @@ def cluster_samples(q: DataFrame, n: int = SAMPLES) -> DataFrame:
         "template", "cast(rank AS BIGINT) AS rank", f"substring(raw, 1, {SAMPLE_LENGTH}) AS sample")
 
 
-def export_clusters(q: DataFrame, path: str) -> None:
+def parse_error_samples(q: DataFrame, top: int | None = TOP_CLUSTERS, n: int = SAMPLES) -> DataFrame:
+    """The ``top`` groups of parse failures (all for None) with their first lines, cut to 150 characters."""
+    groups = parse_error_groups(q)
+    if top is not None:
+        groups = groups.limit(top)
+    lines = q.filter("kind = 'parse_error'").select(
+        "log_type", F.substring("detail", 1, MESSAGE_LENGTH).alias("message"), "raw", "source", "seq")
+    # A group's lines are cut to ``n`` in every task before they are shuffled.
+    keyed = lines.withColumn("_group", F.struct("log_type", "message"))
+    first = first_per_group(keyed, "_group", ["source", "seq"], n).selectExpr(
+        "log_type", "message", "cast(rank AS BIGINT) AS rank", f"substring(raw, 1, {SAMPLE_LENGTH}) AS sample")
+    return first.join(groups.withColumnRenamed("n", "group_size"), ["log_type", "message"])
+
+
+def export_clusters(q: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE) -> None:
     """Write the raw lines of every cluster to ``<path>/cluster=<number>/`` as text.
 
-    Lines meet their cluster's number in a join on the template; a template
-    that holds a large share of the lines is split by the skew-join rule.
+    A cluster's size says how many tasks write it: its lines are dealt over that many
+    shares by the hash of their place, so a dominant one is not gathered by the writer. In the join before, a
+    template with a large share of the lines is split by the skew-join rule.
     """
-    ranked = cluster_rank(q, None).selectExpr("template", "rank AS cluster")
-    (with_template(q).select("template", F.col("raw").alias("value")).join(ranked, "template")
-     .select("cluster", "value").write.mode("overwrite").partitionBy("cluster").text(path))
+    ranked = cluster_rank(q, None).selectExpr("template", "rank AS cluster", f"cast(ceil(n / {rows_per_file}) AS INT) AS shares")
+    lines = with_template(q).selectExpr("template", "raw AS value", "xxhash64(source, seq) AS _spread")
+    placed = lines.join(ranked, "template").selectExpr("cluster", "value", "cast(pmod(_spread, shares) AS INT) AS _share")
+    placed.repartition("cluster", "_share").drop("_share").write.mode("overwrite").partitionBy("cluster").text(path)

@@ -4,34 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..functions.sql import text, texts
+from ..functions.sql import texts
 from ..functions.textual import perturb
-from .classify import LogTypeModel, best_class, predictions, score
+from .classify import LogTypeModel, best_class, predictions, with_probabilities
 from .evaluate import robustness_report
 
 
 def perturbed_scores(sample: DataFrame, model: LogTypeModel, seed: int = 0) -> DataFrame:
-    """Best class and confidence of every line and of its perturbed form, in one scoring pass."""
-    both = sample.selectExpr(
-        "label", "inline(array(named_struct('form', 'line', 'line', line), "
-                 f"named_struct('form', 'p', 'line', {perturb('line', seed)})))", "sha2(line, 256) AS _line_id")
-    keyed = both.selectExpr("label", "line", "form", "concat_ws(':', label, _line_id, form) AS _key", "_line_id")
-    scored = score(keyed, "_key", "line", model).selectExpr(
-        "_key", f"{best_class('probabilities', model.classes)} AS prediction",
-        "array_max(probabilities) AS confidence")
-    # A label may hold colons; the digest of 64 characters and the form after it do not.
-    wide = scored.selectExpr("substring_index(_key, ':', -1) AS form", "prediction", "confidence",
-                             "left(_key, length(_key) - length(substring_index(_key, ':', -1)) - 1) AS _id")
-    wide = wide.selectExpr("*", "left(_id, length(_id) - 65) AS label")
-    return wide.groupBy("_id", "label").agg(
-        *[_pick(form, column).alias(alias) for form, column, alias in (
-            ("line", "prediction", "prediction"), ("line", "confidence", "confidence"),
-            ("p", "prediction", "p_prediction"), ("p", "confidence", "p_confidence"))])
-
-
-def _pick(form, column):
-    from pyspark.sql import functions as F
-    return F.expr(f"max(CASE WHEN form = {text(form)} THEN {column} END)")
+    """Best class and confidence of every line and of its perturbed form, side by side: a line counts as often as it stands."""
+    both = sample.selectExpr("label", "line", f"{perturb('line', seed)} AS _changed")
+    scored = with_probabilities(with_probabilities(both, "line", model, "_own"), "_changed", model, "_p")
+    return scored.selectExpr(
+        "label", f"{best_class('_own', model.classes)} AS prediction", "array_max(_own) AS confidence",
+        f"{best_class('_p', model.classes)} AS p_prediction", "array_max(_p) AS p_confidence")
 
 
 def robustness(sample: DataFrame, model: LogTypeModel, seed: int = 0) -> DataFrame:
@@ -45,6 +30,5 @@ def ood_probe(lines: DataFrame, model: LogTypeModel, known=()) -> DataFrame:
     Lines whose ``label`` is one of ``known`` are left out.
     """
     foreign = lines.filter(f"NOT array_contains({texts(known)}, label)") if known else lines
-    keyed = foreign.selectExpr("label AS origin", "line", "sha2(concat_ws(':', label, line), 256) AS _key")
-    return keyed.join(predictions(score(keyed.dropDuplicates(["_key"]), "_key", "line", model), model.classes),
-                      "_key").drop("_key")
+    scored = with_probabilities(foreign.selectExpr("label AS origin", "line"), "line", model)
+    return predictions(scored, model.classes)

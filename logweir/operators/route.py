@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..catalogue import DEFAULT_THRESHOLD, PIPELINE_VERSION
 from ..functions.sql import name, text
 from ..sources.spec import SourceSpec
-from .normalize import normalize, parse_failures
+from .normalize import normalize, parse_failures, parsed, unparsed
 
 
 def confidence_filter(df: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
@@ -57,6 +57,34 @@ def quarantined(df: DataFrame, specs: dict[str, SourceSpec]) -> DataFrame:
     return union_all([unroutable, *failures])
 
 
+def outcomes(df: DataFrame, specs: dict[str, SourceSpec], year_hint: int | None = None,
+             now: str = "current_timestamp()") -> DataFrame:
+    """Every routed line once, as a document with its ``reason`` (null: normalized).
+
+    Each source's patterns stand in the plan once. Store the result (it has ``outcome`` to partition it
+    by), and let :func:`normalized_of` and :func:`quarantine_of` read the table.
+    """
+    parts = [unparsed(df.filter("reason IS NOT NULL"))]
+    parts += [parsed(df.filter((F.col("log_type") == n) & F.col("reason").isNull()), s, year_hint, now) for n, s in specs.items()]
+    # A source that is known but not given here takes no line.
+    other = df.filter(F.col("reason").isNull() & ~F.col("log_type").isin(list(specs)))
+    parts.append(unparsed(other.withColumn("reason", F.concat(F.lit("no_plugin:"), "log_type"))))
+    return union_all(parts).withColumn("outcome", F.expr("CASE WHEN reason IS NULL THEN 'normalized' ELSE 'quarantined' END"))
+
+
+def normalized_of(stored: DataFrame) -> DataFrame:
+    """The event documents among stored outcomes."""
+    return stored.filter("outcome = 'normalized'").drop("candidates", "reason", "outcome", "part")
+
+
+def quarantine_of(stored: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
+    """The quarantine documents among stored outcomes."""
+    return to_quarantine(stored.filter("outcome = 'quarantined'").selectExpr(
+        "event.original AS raw", "event.id AS event_id", "event.hash AS event_hash", "event.ingested AS received_at",
+        "pipeline.ingest.source AS source", "pipeline.ingest.seq AS seq", "log_type",
+        "pipeline.classification.confidence AS confidence", "candidates", "reason"), threshold)
+
+
 def to_quarantine(df: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
     """Quarantine documents: error type and message from ``reason``, the raw line, full classification."""
     kind = "substring_index(reason, ':', 1)"

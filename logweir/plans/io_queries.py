@@ -149,19 +149,24 @@ def _write_quarantine(spark, sf_dir):
 
 
 def _write_metrics(spark, sf_dir):
-    from ..operators.summary import run_summary
+    """The record of counters taken while the outcomes of the mixed lines are written."""
+    from .pipeline import write_outcomes
+    from .record_queries import MIXED_SOURCES, routed
     path = scratch_path(spark, "metrics")
-    sinks.write_metrics(run_summary(events(spark, sf_dir), quarantine(spark, sf_dir)), path, ["/logs/mixed.log"], 0.6,
-                        ["web_access", "snort_alert", "zeek_dns"])
-    return spark.read.json(path).selectExpr(
+    _, counters = write_outcomes(routed(spark, sf_dir), f"{path}-outcomes", MIXED_SOURCES, ["miscellaneous"], render.YEAR)
+    sinks.write_metrics(spark, sinks.metrics_record(counters, None, ["/logs/mixed.log"], 0.6, MIXED_SOURCES), path)
+    return sinks.read_metrics(spark, path).selectExpr(
         "events_total", "normalized", "quarantined", "success_rate", "threshold", "array_join(sources, ',') AS sources",
-        "array_join(inputs, ',') AS inputs")
+        "array_join(inputs, ',') AS inputs", "per_type_ok['zeek_dns'] AS dns", "quarantine.by_reason['parse_error'] AS parse_errors",
+        "quarantine.by_type['unknown'] AS unknown", "quarantine.total AS total_bad")
 
 
 _WRITE_METRICS_SQL = f"""
 SELECT count(*) AS events_total, count(*) FILTER (kind IS NULL) AS normalized, count(*) FILTER (kind IS NOT NULL) AS quarantined,
   round(count(*) FILTER (kind IS NULL) / count(*), 4) AS success_rate, CAST(0.6 AS DOUBLE) AS threshold,
-  'snort_alert,web_access,zeek_dns' AS sources, '/logs/mixed.log' AS inputs FROM ({mixed_sql()})"""
+  'snort_alert,web_access,zeek_dns' AS sources, '/logs/mixed.log' AS inputs,
+  nullif(count(*) FILTER (kind IS NULL AND label = 'zeek_dns'), 0) AS dns, nullif(count(*) FILTER (kind = 'parse_error'), 0) AS parse_errors,
+  nullif(count(*) FILTER (log_type = 'unknown'), 0) AS unknown, count(*) FILTER (kind IS NOT NULL) AS total_bad FROM ({mixed_sql()})"""
 
 
 def _write_parquet(spark, sf_dir):
@@ -192,9 +197,14 @@ SELECT unnest(['jsonl', 'parquet']) AS sink, n, n AS n_ids FROM (SELECT count(*)
 # --- streaming ---------------------------------------------------------------------------
 def _stream(spark, sf_dir, log_type):
     """Rendered lines as files, streamed to the end; both outputs by batch."""
-    from ..streaming import stream_normalize
-    source, out, state = (scratch_path(spark, n) for n in ("stream-in", "stream-out", "stream-state"))
+    source = scratch_path(spark, "stream-in")
     RENDERINGS[log_type].lines(spark, sf_dir).select("raw").repartition(4).write.text(source)
+    return _streamed(spark, source, log_type)
+
+
+def _streamed(spark, source, log_type):
+    from ..streaming import stream_normalize
+    out, state = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-state")
     query = stream_normalize(spark, source, out, state, log_type=log_type, year_hint=render.YEAR,
                              specs={log_type: _source(log_type)}, trigger={"availableNow": True}, max_files=2)
     query.awaitTermination()
@@ -255,6 +265,36 @@ _STREAM_COUNTERS_SQL = f"""
 SELECT log_type, CASE WHEN log_type = 'unknown' THEN 'low_confidence' WHEN log_type = 'miscellaneous' THEN 'no_plugin' ELSE 'normalized' END AS kind,
   count(*) AS n FROM ({mixed_sql()}) GROUP BY 1, 2"""
 
+
+def _stream_totals(spark, sf_dir):
+    """Totals of the ledger after a stream whose first batch is played again: it counts once, and its files are replaced."""
+    from ..streaming import committed, normalize_batch, stream_totals
+    source = scratch_path(spark, "stream-in")
+    RENDERINGS["snort_alert"].lines(spark, sf_dir).select("raw").repartition(4).write.text(source)
+    out = _streamed(spark, source, "snort_alert")
+    files = sorted(f for f in spark.read.text(source).inputFiles())[:1]
+    again = spark.read.text(files).selectExpr("value", "_metadata.file_path AS _file", "_metadata.file_block_start AS _block")
+    for _ in range(2):
+        normalize_batch(again, 99, out, log_type="snort_alert", year_hint=render.YEAR, specs={"snort_alert": _source("snort_alert")})
+    # A batch whose record was never written does not count.
+    for kind in ("ledger", "normalized", "quarantine"):
+        _remove(spark, f"{out}/{kind}/batch=99")
+    lines = union_all([committed(spark, out, kind).selectExpr(f"'{kind} lines' AS counter") for kind in ("normalized", "quarantine")])
+    return union_all([stream_totals(spark, out), lines.groupBy("counter").agg(F.count("*").alias("n"))])
+
+
+def _remove(spark, path):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+_STREAM_TOTALS_SQL = f"""
+WITH r AS (SELECT broken FROM ({RENDERINGS['snort_alert'].facts_sql()}))
+SELECT 'total' AS counter, count(*) AS n FROM r UNION ALL SELECT 'normalized', count(*) FILTER (NOT broken) FROM r
+UNION ALL SELECT 'ok:snort_alert', count(*) FILTER (NOT broken) FROM r UNION ALL SELECT 'bad:snort_alert', count(*) FILTER (broken) FROM r
+UNION ALL SELECT 'reason:parse_error', count(*) FILTER (broken) FROM r
+UNION ALL SELECT 'normalized lines', count(*) FILTER (NOT broken) FROM r UNION ALL SELECT 'quarantine lines', count(*) FILTER (broken) FROM r"""
+
 QUERIES = [
     Query("read_lines", _read_lines, f"SELECT {_LINE} AS raw FROM orders WHERE o_orderkey % 10 < 9"),
     Query("line_numbers", _line_numbers,
@@ -268,6 +308,9 @@ QUERIES = [
           f"SELECT detail AS log_type, count(*) AS n FROM ({_REVIEW_SQL}) WHERE kind = 'no_plugin' GROUP BY detail"),
     Query("parse_error_groups", lambda s, d: review.parse_error_groups(review_rows(s, d)),
           f"SELECT log_type, substr(detail, 1, 80) AS message, count(*) AS n FROM ({_REVIEW_SQL}) WHERE kind = 'parse_error' GROUP BY 1, 2"),
+    Query("parse_error_samples", lambda s, d: review.parse_error_samples(review_rows(s, d), None),
+          f"SELECT log_type, message, r AS rank, substr(raw, 1, 150) AS sample, group_size FROM (SELECT *, row_number() OVER (PARTITION BY log_type, message ORDER BY source, seq) AS r, "
+          f"count(*) OVER (PARTITION BY log_type, message) AS group_size FROM (SELECT *, substr(detail, 1, 80) AS message FROM ({_REVIEW_SQL}) WHERE kind = 'parse_error')) WHERE r <= 2"),
     Query("template_clusters", lambda s, d: review.cluster(review_rows(s, d)).selectExpr(
         "template", "n", "first.source AS source", "first.seq AS seq"),
         f"SELECT template, count(*) AS n, min(source) AS source, arg_min(seq, (source, seq)) AS seq FROM ({_CLUSTERED_SQL}) GROUP BY template"),
@@ -288,4 +331,5 @@ QUERIES = [
     Query("stream_normalize", _stream_normalize, _STREAM_NORMALIZE_SQL),
     Query("stream_dual_sink", _stream_dual, _STREAM_DUAL_SQL),
     Query("stream_counters", _stream_counters, _STREAM_COUNTERS_SQL),
+    Query("stream_totals", _stream_totals, _STREAM_TOTALS_SQL),
 ]

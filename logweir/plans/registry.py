@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import coercion_queries, extraction, io_queries, model_queries, record_queries
+from . import coercion_queries, extraction, io_queries, model_queries, record_queries, run_queries
 from .flagship import FLAGSHIP_SQL, flagship
 from .query import Query
 
@@ -17,5 +17,5 @@ def extraction_queries() -> list[Query]:
 
 def all_queries() -> dict[str, Query]:
     every = [Query("flagship", flagship, FLAGSHIP_SQL), *extraction_queries(), *coercion_queries.QUERIES,
-             *record_queries.QUERIES, *model_queries.QUERIES, *io_queries.QUERIES]
+             *record_queries.QUERIES, *model_queries.QUERIES, *io_queries.QUERIES, *run_queries.QUERIES]
     return {q.name: q for q in every}

@@ -3,10 +3,11 @@
 from . import cisco_asa, proxy_access, snort_alert, syslog, web_access, zeek
 from .custom import custom_source
 from .json_lines import flatten_json
+from .samples import SAMPLES
 from .spec import SourceSpec, extract, source_specs
 
 SOURCES: dict[str, SourceSpec] = {
-    s.name: s for s in (cisco_asa.SPEC, proxy_access.SPEC, snort_alert.SPEC, syslog.SPEC,
+    s.name: s.with_changes(samples=SAMPLES[s.name]) for s in (cisco_asa.SPEC, proxy_access.SPEC, snort_alert.SPEC, syslog.SPEC,
                         web_access.SPEC, zeek.CONN, zeek.DNS, zeek.HTTP)
 }
 

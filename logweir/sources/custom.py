@@ -5,9 +5,9 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.sql import name, text
 from .spec import FIELD, SourceSpec
@@ -23,8 +23,8 @@ def custom_source(parse: Callable[[str], dict], **identity) -> SourceSpec:
     return SourceSpec(parse=parse, **identity)
 
 
-def _parser(parse: Callable[[str], dict]):
-    def one(raw: str):
+def _reader(parse: Callable[[str], dict]):
+    def one(raw: str | None):
         try:
             fields = parse(raw)
             if not isinstance(fields, dict):
@@ -32,23 +32,30 @@ def _parser(parse: Callable[[str], dict]):
             present = {k: v for k, v in fields.items() if v is not None and v != ""}
             # Text and JSON values are kept apart, to be told apart again later.
             strings = {k: v for k, v in present.items() if isinstance(v, str)}
-            return strings, {k: json.dumps(v) for k, v in present.items() if k not in strings}, None
+            return {"strings": list(strings.items()), "others": [(k, json.dumps(v)) for k, v in present.items() if k not in strings], "error": None}
         except Exception as e:  # a failing line is data, not a failing job
-            return {}, {}, f"{type(e).__name__}:{e}"
+            return {"strings": [], "others": [], "error": f"{type(e).__name__}:{e}"}
 
-    @F.pandas_udf("struct<strings: map<string, string>, others: map<string, string>, error: string>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for raw in batches:
-            yield pd.DataFrame([one(r) for r in raw], columns=["strings", "others", "error"])
+    kind = pa.struct([("strings", pa.map_(pa.string(), pa.string())), ("others", pa.map_(pa.string(), pa.string())), ("error", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column(batch.schema.get_field_index("raw")).to_pylist()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([one(r) for r in raw], kind)], names=[*batch.schema.names, "_p"])
 
     return run
 
 
 def staged_python(df: DataFrame, spec: SourceSpec) -> DataFrame:
-    """The same columns the expression sources give, from the user's function."""
+    """The same columns the expression sources give, from the user's function.
+
+    The function runs in an Arrow stage of its own, which takes the lines with all their columns: no
+    filter on its result moves below it, so it is called once a line.
+    """
     from ..catalogue import EVENT_FIELDS
     carried = [name(c) for c in df.columns]
-    parsed = df.select("*", _parser(spec.parse)("raw").alias("_p"))
+    schema = StructType([*df.schema, *StructType.fromDDL("_p struct<strings: map<string, string>, others: map<string, string>, error: string>")])
+    parsed = df.mapInArrow(_reader(spec.parse), schema)
     placed = [*EVENT_FIELDS, *[k for k in spec.field_map if k not in EVENT_FIELDS]]
 
     def read(key):

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.sql import json_text, name, text
+from ..session import scratch_path, settle
 
 
 def _present(path: str, kind) -> str:
@@ -70,28 +72,78 @@ def write_quarantine(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     quarantine_json(df).write.mode(mode).text(path)
 
 
-def write_metrics(summary: DataFrame, path: str, inputs=(), threshold: float | None = None,
-                  sources=(), source_errors: dict[str, str] | None = None) -> None:
-    """The run summary with the run's inputs and settings, as one JSON record."""
-    spark = summary.sparkSession
-    settings = spark.createDataFrame(
-        [(list(inputs), threshold, sorted(sources), source_errors or {})],
-        "inputs array<string>, threshold double, sources array<string>, source_errors map<string,string>")
-    # One summary row and one settings row.
-    summary.join(F.broadcast(settings), F.lit(True)).coalesce(1).write.mode("overwrite").json(path)
+def metrics_record(counters: dict[str, int], seconds: float | None = None, inputs=(), threshold: float | None = None,
+                   sources=(), source_errors: dict[str, str] | None = None, missing_sources=()) -> dict:
+    """The run's metrics from its counters (see :func:`..operators.summary.run_counters`)."""
+    def part(prefix):
+        return {k[len(prefix):]: n for k, n in counters.items() if k.startswith(prefix) and n}
 
+    total, ok = counters["total"], counters["normalized"]
+    record = {
+        "events_total": total, "normalized": ok, "quarantined": total - ok, "success_rate": round(ok / total, 4) if total else None,
+        "per_type_ok": part("ok:"), "quarantine": {"total": total - ok, "by_reason": part("reason:"), "by_type": part("bad:")},
+        "inputs": list(inputs), "threshold": threshold, "sources": sorted(sources),
+        "source_errors": dict(source_errors or {}), "missing_sources": sorted(missing_sources)}
+    if seconds is not None:
+        elapsed = max(seconds, 1e-9)
+        record |= {"seconds": round(elapsed, 2), "eps": int(total / elapsed)}
+    return record
 
-def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Normalized events by log type and event date, so readers prune on both."""
-    (df.withColumn("event_date", F.to_date("event_ts"))
+
+METRICS_SCHEMA = """
+events_total bigint, normalized bigint, quarantined bigint, success_rate double, per_type_ok map<string, bigint>,
+quarantine struct<total: bigint, by_reason: map<string, bigint>, by_type: map<string, bigint>>,
+inputs array<string>, threshold double, sources array<string>, source_errors map<string, string>,
+missing_sources array<string>, seconds double, eps bigint
+"""
+
+
+def write_metrics(spark: SparkSession, record: dict, path: str) -> None:
+    """The run's metrics as one JSON record."""
+    (spark.createDataFrame([(json.dumps(record),)], "value string").coalesce(1).write.mode("overwrite").text(path))
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(METRICS_SCHEMA).json(path)
+
+
+#: Rows of a group that one file takes.
+ROWS_PER_FILE = 1_000_000
+
+
+def sized(df: DataFrame, keys: list[str], spread: str, rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
+    """Rows dealt so that each value of ``keys`` is written by as many tasks as its size asks for.
+
+    Give a stored table: it is counted by key first. A value's rows go to partitions of their
+    own, dealt by the hash of ``spread``; a small value has one, so it becomes one file, and a
+    large one is never gathered in one task.
+    """
+    taken = [f"_k{i}" for i in range(len(keys))]
+    sizes = df.groupBy(*[F.col(name(k)).alias(t) for k, t in zip(keys, taken)]).agg(F.count("*").alias("_n"))
+    shares = sizes.withColumn("_shares", F.ceil(F.col("_n") / rows_per_file).cast("int"))
+    # One row per value of the keys.
+    before = Window.orderBy(*taken).rowsBetween(Window.unboundedPreceding, -1)
+    planned = settle(shares.withColumn("_first", F.coalesce(F.sum("_shares").over(before), F.lit(0)).cast("int")).drop("_n"))
+    total = planned.agg(F.sum("_shares")).first()[0] or 1
+    same = reduce(lambda a, b: a & b, [df[name(k)].eqNullSafe(planned[t]) for k, t in zip(keys, taken)])
+    place = F.col("_first") + F.pmod(F.xxhash64(F.expr(spread)), F.col("_shares")).cast("int")
+    return df.join(planned, same).repartitionById(int(total), place).drop(*taken, "_shares", "_first")
+
+
+def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", rows_per_file: int = ROWS_PER_FILE) -> None:
+    """Normalized events by log type and event date, so readers prune on both; ``df`` is best a stored table."""
+    dated = df.withColumn("event_date", F.to_date("event_ts"))
+    (sized(dated, ["log_type", "event_date"], "event.id", rows_per_file)
      .write.mode(mode).partitionBy("log_type", "event_date").parquet(path))
 
 
 def fan_out(df: DataFrame, writers: list[Callable[[DataFrame], None]]) -> None:
-    """Give the same rows to several sinks, computing them once."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        for write in writers:
-            write(df)
-    finally:
-        df.unpersist()
+    """Give the same rows to several sinks: they are written once to the shared folder, and every sink reads that table.
+
+    A lost executor costs the files it was reading or writing, no row is computed twice.
+    """
+    path = scratch_path(df.sparkSession, "fan-out")
+    df.write.parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    for write in writers:
+        write(table)

@@ -45,6 +45,8 @@ class SourceSpec:
     residual: str | None = None
     error: str = "cast(null AS STRING)"
     parse: Callable[[str], dict] | None = None
+    #: Lines of the source that have to parse before it is used in a run.
+    samples: tuple[str, ...] = ()
 
     @property
     def full_dataset(self) -> str:
@@ -60,8 +62,11 @@ class SourceSpec:
         return replace(self, **changes)
 
 
-def staged(df: DataFrame, spec: SourceSpec) -> DataFrame:
-    """The lines with every extracted field as a column ``f:<key>``, plus ``parse_error``."""
+def staged(df: DataFrame, spec: SourceSpec, fenced: bool = True) -> DataFrame:
+    """The lines with every extracted field as a column ``f:<key>``, plus ``parse_error``.
+
+    ``fenced``: a filter on ``parse_error`` follows in the same plan.
+    """
     if spec.parse is not None:
         from .custom import staged_python
         return staged_python(df, spec)
@@ -73,10 +78,11 @@ def staged(df: DataFrame, spec: SourceSpec) -> DataFrame:
     # A filter on parse_error must not move below the stages: the optimizer would
     # write every stage out again inside the condition and run its patterns twice.
     # It never moves below a column that is not deterministic.
-    df = df.selectExpr(*carried, *helpers, "rand(0) AS _fence")
+    if fenced:
+        df = df.selectExpr(*carried, *helpers, "rand(0) AS _fence")
     fields = [f"{e} AS {name(FIELD + key)}" for key, e in spec.fields.items()]
     extra = [f"{spec.residual} AS `f:*`"] if spec.residual else []
-    error = f"CASE WHEN _fence < 2 THEN ({spec.error}) END"
+    error = f"CASE WHEN _fence < 2 THEN ({spec.error}) END" if fenced else f"({spec.error})"
     return df.selectExpr(*carried, *fields, *extra, f"{error} AS parse_error")
 
 

@@ -1,5 +1,5 @@
-"""Structured Streaming: the batch pipeline on files as they arrive."""
+"""Structured Streaming entry points."""
 
-from .stream import stream_counters, stream_normalize
+from .stream import committed, normalize_batch, read_ledger, stream_counters, stream_lines, stream_normalize, stream_totals
 
-__all__ = ["stream_counters", "stream_normalize"]
+__all__ = ["committed", "normalize_batch", "read_ledger", "stream_counters", "stream_lines", "stream_normalize", "stream_totals"]
