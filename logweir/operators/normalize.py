@@ -8,7 +8,7 @@ from ..catalogue import (EVENT_FIELDS, METADATA_FIELDS, PIPELINE_VERSION, RELATE
                          SQL_TYPE)
 from ..functions.coerce import coerce
 from ..functions.sql import code_table, name, text, texts
-from ..sources.spec import FIELD, SourceSpec, residual_map, staged, target_of
+from ..sources.spec import FIELD, PATHS, SourceSpec, is_field, residual_map, staged, target_of
 
 # What an event needs to carry into normalization.
 ENVELOPE = ("raw", "source", "seq", "event_id", "event_hash", "received_at")
@@ -40,14 +40,15 @@ def place_fields(df: DataFrame, spec: SourceSpec, year_hint: int | None = None,
     """Coerce staged fields and put each at its schema path (columns ``t:<path>``).
 
     Of several fields for one path the last one that coerces counts. A value
-    that does not coerce stays in ``unmapped`` under its own key.
+    that does not coerce stays in ``unmapped`` under its own key. A path that the line
+    itself names as a key counts before a key that is mapped to it, and behind what the source derives.
     """
     types = dict(df.dtypes)
     by_target: dict[str, list[tuple[str, str]]] = {}
     failed: dict[str, str] = {}
     typed, seen = [], {}
     for column, data_type in types.items():
-        if not column.startswith(FIELD) or column == FIELD + "*":
+        if not is_field(column):
             continue
         key = column[len(FIELD):]
         target = target_of(spec, key)
@@ -67,13 +68,34 @@ def place_fields(df: DataFrame, spec: SourceSpec, year_hint: int | None = None,
         by_target.setdefault(target, []).append(key)
     fields = [name(c) for c in types if c.startswith(FIELD)]
     carried = [name(c) for c in keep]
-    df = df.selectExpr(*carried, *fields, *typed)
+    named = _named_paths(year_hint, now) if PATHS in types else {}
+    df = df.selectExpr(*carried, *fields, *typed, *[f"{e} AS {name(c)}" for c, (_, e) in named.items()])
+    at_run_time = {p: c for c, (paths, _) in named.items() for p in paths}
     placed = []
-    for target, keys in by_target.items():
-        options = [name("c:" + k) for k in reversed(keys)]
+    for target in [*by_target, *[p for p in at_run_time if p not in by_target]]:
+        keys = by_target.get(target, [])
+        options = [name("c:" + k) for k in reversed(keys) if k == target]
+        if target in at_run_time and target not in keys:
+            options.append(f"try_element_at({name(at_run_time[target])}, {text(target)})")
+        options += [name("c:" + k) for k in reversed(keys) if k != target]
         e = options[0] if len(options) == 1 else f"coalesce({', '.join(options)})"
         placed.append(f"{e} AS {name('t:' + target)}")
-    return df.selectExpr(*carried, *placed, f"{residual_map(df, spec, failed)} AS unmapped")
+    return df.selectExpr(*carried, *placed, f"{residual_map(df, spec, failed, [name(c) for c in named])} AS unmapped")
+
+
+def _named_paths(year_hint: int | None, now: str) -> dict[str, tuple[list[str], str]]:
+    """Per kind of field: column -> (the paths of that kind, the map of those that a line names and that coerce).
+
+    One expression per kind does for all paths of it, and none runs for a line that names no path.
+    """
+    out = {}
+    for kind in sorted({k for k in EVENT_FIELDS.values() if not k.startswith("object")}):
+        paths = [p for p, k in EVENT_FIELDS.items() if k == kind]
+        listed = kind.endswith("[]")
+        value = coerce(kind, "coalesce(pv.list, array(pv.text))" if listed else "pv.text", "array<string>" if listed else "string", year_hint, now)
+        mine = f"map_filter({name(PATHS)}, (pk, pv) -> pk IN ({', '.join(map(text, paths))}) AND pv.text IS NOT NULL)"
+        out["n:" + kind] = (paths, f"CASE WHEN {name(PATHS)} IS NOT NULL THEN map_filter(transform_values({mine}, (pk, pv) -> {value}), (pk, pv) -> pv IS NOT NULL) END")
+    return out
 
 
 def normalize(df: DataFrame, spec: SourceSpec, year_hint: int | None = None,

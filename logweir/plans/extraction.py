@@ -175,6 +175,10 @@ EXPECTED: dict[str, dict[str, tuple[str, str]]] = {
         "quantity": ("unmapped['tags.q']", "CAST(CAST(l_quantity AS BIGINT) AS VARCHAR)"),
         "line_no": ("unmapped['tags.line.no']", "CAST(l_linenumber AS VARCHAR)"),
         "history": ("unmapped['history']", "'\"ShAD\"'"),
+        "user_name": ("user.name", "who"), "related_user": (_join("related.user"), "who"),
+        "zone": ("observer.ingress.zone", "zone"), "nat_port": ("source.nat.port", "CAST(NULL AS BIGINT)"),
+        "bad_port": ("try_element_at(unmapped, 'source.nat.port')", "CASE WHEN zone IS NOT NULL THEN '\"high\"' END"),
+        "no_user": ("try_element_at(unmapped, 'user.name')", "CAST(NULL AS VARCHAR)"),
     },
     "zeek_dns": {
         "seq": ("pipeline.ingest.seq", "seq"),
@@ -194,6 +198,10 @@ EXPECTED: dict[str, dict[str, tuple[str, str]]] = {
         "message": ("message", "trim(concat(name, ' A ', coalesce(rcode, '')))"),
         "uid": ("unmapped['uid']", "concat('\"C', event_id, '\"')"),
         "related_hosts": (_join("related.hosts"), "name"),
+        "tags": (_join("tags"), "CASE WHEN tagged THEN concat('lab,u', user_id) END"),
+        "created": ("event.created", "CASE WHEN tagged THEN concat(strftime(make_timestamp((1600000000 + event_id) * 1000000), '%Y-%m-%dT%H:%M:%S'), '.000+00:00') END"),
+        "host_ip": (_join("host.ip"), "CASE WHEN tagged THEN '2001:db8::7' END"),
+        "left_keys": (_join("array_sort(map_keys(unmapped))"), "CASE WHEN answers > 0 THEN 'TTLs,uid' ELSE 'uid' END"),
     },
     "zeek_http": {
         "seq": ("pipeline.ingest.seq", "seq"),
@@ -212,6 +220,8 @@ EXPECTED: dict[str, dict[str, tuple[str, str]]] = {
         "depth": ("unmapped['trans_depth']", "'1'"),
         "mimes": ("try_element_at(unmapped, 'resp_mime_types')", "CASE WHEN code = 200 THEN '[\"text/html\",\"x/y\"]' END"),
         "related_hosts": (_join("related.hosts"), "host"),
+        "error_code": ("error.code", "fault"), "error_message": ("error.message", "CASE WHEN fault IS NOT NULL THEN 'slow' END"),
+        "pid": ("process.pid", "CASE WHEN fault IS NOT NULL THEN CAST(page_id AS BIGINT) END"),
     },
 }
 

@@ -453,7 +453,7 @@ def _residual_keys(spark, sf_dir):
 _RESIDUAL_KEYS_SQL = f"""
 SELECT 'zeek_conn' AS log_type, key, count(*) AS n FROM (
   SELECT unnest(list_concat(['history', 'local_orig', 'tags.q', 'tags.line.no'], list_concat(
-    CASE WHEN state IS NULL THEN [] ELSE ['conn_state'] END, CASE WHEN lr IS NULL THEN [] ELSE ['local_resp'] END))) AS key
+    CASE WHEN state IS NULL THEN [] ELSE ['conn_state'] END, list_concat(CASE WHEN zone IS NULL THEN [] ELSE ['source.nat.port'] END, CASE WHEN lr IS NULL THEN [] ELSE ['local_resp'] END)))) AS key
   FROM ({RENDERINGS['zeek_conn'].facts_sql()}) WHERE NOT broken) GROUP BY 1, 2"""
 
 
@@ -468,7 +468,7 @@ SELECT seq, '"' || oh || '"' AS host, CAST(l_linenumber AS VARCHAR) AS line_no,
   CASE WHEN ms % 1000 = 0 THEN CAST(CAST(ms // 1000 AS BIGINT) AS VARCHAR)
     ELSE rtrim(CAST(ms // 1000 AS VARCHAR) || '.' || lpad(CAST(ms % 1000 AS VARCHAR), 3, '0'), '0') END AS duration,
   CAST(12 + CASE WHEN ob IS NULL THEN 0 ELSE 1 END + CASE WHEN rb IS NULL THEN 0 ELSE 1 END + CASE WHEN state IS NULL THEN 0 ELSE 1 END
-    + CASE WHEN lr IS NULL THEN 0 ELSE 1 END AS BIGINT) AS n_keys
+    + CASE WHEN lr IS NULL THEN 0 ELSE 1 END + CASE WHEN who IS NULL THEN 0 ELSE 1 END + CASE WHEN zone IS NULL THEN 0 ELSE 2 END AS BIGINT) AS n_keys
 FROM ({RENDERINGS['zeek_conn'].facts_sql()}) WHERE NOT broken"""
 
 

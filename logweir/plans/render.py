@@ -216,6 +216,9 @@ CONN = Rendering(
         "rb": "CASE WHEN l_linenumber % 4 > 1 THEN l_partkey END",
         "lo": "l_orderkey % 2 = 0",
         "lr": "CASE WHEN l_orderkey % 5 > 0 THEN l_partkey % 2 = 0 END",
+        # Keys that are schema paths: nested and dotted, of every kind, one that does not coerce.
+        "who": "CASE WHEN l_partkey % 11 = 0 THEN concat('op', l_suppkey) END",
+        "zone": "CASE WHEN l_partkey % 13 = 0 THEN 'lab' END",
     },
     raw="CASE WHEN broken AND l_linenumber % 3 = 0 THEN concat('[', l_orderkey, ']') ELSE concat('{\"ts\":', 1700000000 + l_orderkey, '.25,', "
         "CASE WHEN nested THEN concat('\"id\":{\"orig_h\":\"', oh, '\",\"orig_p\":', op, ',\"resp_h\":\"', rh, '\",\"resp_p\":', rp, '}') "
@@ -224,7 +227,8 @@ CONN = Rendering(
         "coalesce(concat(',\"orig_bytes\":', ob), ''), coalesce(concat(',\"resp_bytes\":', rb), ''), "
         "coalesce(concat(',\"conn_state\":\"', state, '\"'), ''), ',\"local_orig\":', lo, ',\"local_resp\":', coalesce(cast(lr AS STRING), 'null'), "
         "',\"orig_pkts\":', l_linenumber, ',\"history\":\"ShAD\",\"tags\":{\"q\":', cast(l_quantity AS BIGINT), "
-        "',\"line\":{\"no\":', l_linenumber, '}}', CASE WHEN broken THEN '' ELSE '}' END) END",
+        "',\"line\":{\"no\":', l_linenumber, '}}', coalesce(concat(',\"user\":{\"name\":\"', who, '\"}'), ''), "
+        "coalesce(concat(',\"observer.ingress.zone\":\"', zone, '\",\"source.nat.port\":\"high\"'), ''), CASE WHEN broken THEN '' ELSE '}' END) END",
 )
 
 DNS = Rendering(
@@ -239,6 +243,7 @@ DNS = Rendering(
         "aa": "event_id % 2 = 0",
         "rd": "event_id % 3 = 0",
         "us": "user_id * 7",
+        "tagged": "event_id % 7 = 0",
     },
     # answers: none, an address, an address and a name, an address and an IPv6 address (last without TTL)
     raw="concat('{\"ts\":', 1700000000 + event_id, ',\"uid\":\"C', event_id, '\",\"id.orig_h\":\"10.44.10.', user_id % 250, "
@@ -248,6 +253,7 @@ DNS = Rendering(
         "CASE answers WHEN 0 THEN '' WHEN 1 THEN concat(',\"answers\":[\"', ip1, '\"],\"TTLs\":[600.0]') "
         "WHEN 2 THEN concat(',\"answers\":[\"', ip1, '\",\"alias.', name, '\"],\"TTLs\":[60.0,70.0]') "
         "ELSE concat(',\"answers\":[\"', ip1, '\",\"2001:DB8:0:0::', user_id, '\"],\"TTLs\":[60.0]') END, "
+        "CASE WHEN tagged THEN concat(',\"tags\":[\"lab\",\"u', user_id, '\"],\"event\":{\"created\":', 1600000000 + event_id, '},\"host.ip\":[\"2001:DB8:0:0::7\",\"nowhere\"]') ELSE '' END, "
         "CASE WHEN broken THEN '}}' ELSE '}' END)",
 )
 
@@ -263,6 +269,7 @@ HTTP = Rendering(
         "query": "nullif(regexp_extract(url, '^[^?#]*[?]([^#]*)', 1), '')",
         "code": "CASE page_id % 4 WHEN 0 THEN 200 WHEN 1 THEN 301 WHEN 2 THEN 404 END",
         "size": "CAST(length(html) AS BIGINT)",
+        "fault": "CASE WHEN page_id % 5 = 0 THEN concat('E', page_id % 40) END",
     },
     raw="concat('{\"ts\":', 1700000000 + page_id, '.5,\"id.orig_h\":\"10.44.20.', page_id % 250, '\",\"id.orig_p\":', 1024 + page_id, "
         "',\"id.resp_h\":\"10.44.20.30\",\"id.resp_p\":8080,\"trans_depth\":1,\"method\":\"', CASE WHEN form = 'tunnel' THEN 'CONNECT' ELSE 'get' END, "
@@ -270,6 +277,7 @@ HTTP = Rendering(
         "CASE form WHEN 'tunnel' THEN concat(host, ':443') WHEN 'path' THEN concat(path, coalesce(concat('?', query), '')) ELSE url END, "
         "'\",\"version\":\"1.1\",\"response_body_len\":', size, coalesce(concat(',\"status_code\":', code), ''), "
         "CASE WHEN code = 200 THEN ',\"resp_mime_types\":[\"text/html\",\"x/y\"]' ELSE '' END, "
+        "coalesce(concat(',\"error\":{\"code\":\"', fault, '\",\"message\":\"slow\"},\"process.pid\":\"', page_id, '\"'), ''), "
         "CASE WHEN broken THEN '' ELSE '}' END)",
 )
 

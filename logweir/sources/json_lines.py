@@ -79,6 +79,13 @@ def rest(consumed, more: str = "false") -> str:
             "(k, v) -> to_json(v))")
 
 
+def schema_paths(fields) -> str:
+    """The entries whose key is itself a path of the event schema, but for ``fields``, which the source computes."""
+    from ..catalogue import EVENT_FIELDS
+    keys = ", ".join(text(p) for p, kind in EVENT_FIELDS.items() if p not in fields and not kind.startswith("object"))
+    return f"map_filter(_f, (k, v) -> k IN ({keys}))"
+
+
 def flatten_json(df: DataFrame, column: str = "raw") -> DataFrame:
     """Adds ``flat``: MAP from dotted key to JSON text; null when the text is no JSON object."""
     carried = [name(c) for c in df.columns]

@@ -11,6 +11,8 @@ from ..functions.sql import json_text, name, text
 
 # Extracted fields are carried as columns with this prefix until they are placed.
 FIELD = "f:"
+# Columns with the fields known only at run time: those without a place, and those named by a schema path.
+REST, PATHS = FIELD + "*", FIELD + "+"
 
 
 @dataclass(frozen=True)
@@ -21,7 +23,8 @@ class SourceSpec:
     ``raw``; ``fields`` are SQL expressions over those columns, keyed by an
     event-schema path or a name of the source's own; ``error`` is null for a
     line that parsed, else ``<error class>:<message>``. ``residual`` is an
-    optional map of further fields (JSON text values) known only at run time.
+    optional map of further fields (JSON text values) known only at run time;
+    ``paths`` one from schema paths that a line itself names to VARIANT values.
 
     A source may give a Python function ``parse(raw) -> dict`` in place of the
     expressions (see :mod:`logweir.sources.custom`).
@@ -43,6 +46,7 @@ class SourceSpec:
     stages: tuple[dict[str, str], ...] = ()
     fields: dict[str, str] = field(default_factory=dict)
     residual: str | None = None
+    paths: str | None = None
     error: str = "cast(null AS STRING)"
     parse: Callable[[str], dict] | None = None
     #: Lines of the source that have to parse before it is used in a run.
@@ -81,7 +85,12 @@ def staged(df: DataFrame, spec: SourceSpec, fenced: bool = True) -> DataFrame:
     if fenced:
         df = df.selectExpr(*carried, *helpers, "rand(0) AS _fence")
     fields = [f"{e} AS {name(FIELD + key)}" for key, e in spec.fields.items()]
-    extra = [f"{spec.residual} AS `f:*`"] if spec.residual else []
+    extra = [f"{spec.residual} AS {name(REST)}"] if spec.residual else []
+    if spec.paths:
+        # As text and, where it is one, as a list.
+        value = ("named_struct('text', nullif(try_cast(pv AS STRING), ''), 'list', "
+                 "CASE WHEN startswith(schema_of_variant(pv), 'ARRAY') THEN try_cast(pv AS ARRAY<STRING>) END)")
+        extra.append(f"CASE WHEN size({spec.paths}) > 0 THEN transform_values({spec.paths}, (pk, pv) -> {value}) END AS {name(PATHS)}")
     error = f"CASE WHEN _fence < 2 THEN ({spec.error}) END" if fenced else f"({spec.error})"
     return df.selectExpr(*carried, *fields, *extra, f"{error} AS parse_error")
 
@@ -94,12 +103,17 @@ def extract(df: DataFrame, spec: SourceSpec) -> DataFrame:
     """
     out = staged(df, spec)
     carried = [name(c) for c in df.columns]
-    keys = [c[len(FIELD):] for c in out.columns if c.startswith(FIELD) and c != FIELD + "*"]
+    keys = [c[len(FIELD):] for c in out.columns if is_field(c)]
     members = ", ".join(f"{text(k)}, {name(FIELD + k)}" for k in keys)
     return out.selectExpr(*carried, f"named_struct({members}) AS fields",
                           f"{residual_map(out, spec)} AS unmapped", "parse_error")
 
 
+def is_field(column: str) -> bool:
+    """Is it the column of one extracted field?"""
+    return column.startswith(FIELD) and column not in (REST, PATHS)
+
+
 def target_of(spec: SourceSpec, key: str) -> str | None:
     """Schema path a field goes to: its own name if that is a path, else the source's map."""
     from ..catalogue import EVENT_FIELDS
@@ -115,16 +129,16 @@ def as_json(x: str, data_type: str) -> str:
     return f"cast({x} AS STRING)"
 
 
-def residual_map(staged_df: DataFrame, spec: SourceSpec, failed: dict[str, str] | None = None) -> str:
+def residual_map(staged_df: DataFrame, spec: SourceSpec, failed: dict[str, str] | None = None, placed: list[str] | None = None) -> str:
     """The map of unmapped fields, with fields that failed coercion back under their own key.
 
     ``failed`` gives, per field key, the SQL condition under which the field
-    could not be coerced.
+    could not be coerced; ``placed`` are maps whose keys a line named itself and that have found their place.
     """
     types = dict(staged_df.dtypes)
     own, back = [], []
     for column, data_type in types.items():
-        if not column.startswith(FIELD) or column == FIELD + "*":
+        if not is_field(column):
             continue
         key = column[len(FIELD):]
         value = as_json(name(column), data_type)
@@ -139,12 +153,16 @@ def residual_map(staged_df: DataFrame, spec: SourceSpec, failed: dict[str, str]
         some = " OR ".join(f"({condition})" for _, condition, _ in back)
         more = _present_entries([(k, f"CASE WHEN {condition} THEN {v} END") for k, condition, v in back])
         own = f"CASE WHEN {some} THEN map_concat({own}, {more}) ELSE {own} END"
-    if FIELD + "*" not in types:
+    if REST not in types:
         return own
+    rest = name(REST)
+    if placed:
+        found = " OR ".join(f"coalesce(map_contains_key({m}, k), false)" for m in placed)
+        rest = f"CASE WHEN {name(PATHS)} IS NOT NULL THEN map_filter({rest}, (k, v) -> NOT ({found})) ELSE {rest} END"
     # Fields found at run time win over declared ones of the same name; none is lost.
-    extra = ("map_filter(coalesce(`f:*`, cast(map() AS MAP<STRING, STRING>)), "
+    extra = (f"map_filter(coalesce({rest}, cast(map() AS MAP<STRING, STRING>)), "
              "(k, v) -> v IS NOT NULL AND v <> '\"\"')")
-    return f"map_concat(map_filter({own}, (k, v) -> NOT coalesce(map_contains_key(`f:*`, k), false)), {extra})"
+    return f"map_concat(map_filter({own}, (k, v) -> NOT coalesce(map_contains_key({rest}, k), false)), {extra})"
 
 
 def _present_entries(entries: list[tuple[str, str]]) -> str:

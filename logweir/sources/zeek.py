@@ -3,7 +3,7 @@
 from ..functions.coerce import coerce_epoch, coerce_ip_list, coerce_long
 from ..functions.sql import code_table, strip
 from ..functions.textual import url_stages
-from .json_lines import is_true, json_stages, json_type, rest, value
+from .json_lines import is_true, json_stages, json_type, rest, schema_paths, value
 from .spec import SourceSpec
 
 _MONITOR = dict(version="2.0", module="zeek", provider="zeek", observer_vendor="Zeek",
@@ -76,7 +76,12 @@ def _join_words(*words):
     return strip("concat(" + ", ' ', ".join(f"coalesce({w}, '')" for w in words) + ")")
 
 
-CONN = SourceSpec(
+def _with_paths(spec: SourceSpec) -> SourceSpec:
+    """The source, with keys of a record that are schema paths typed and placed by the schema."""
+    return spec.with_changes(stages=(*spec.stages, {"_paths": schema_paths(spec.fields)}), paths="_paths")
+
+
+CONN = _with_paths(SourceSpec(
     name="zeek_conn", dataset="zeek.conn", **_MONITOR,
     event_category=("network",), event_type=("connection",), field_map=CONN_FIELDS,
     stages=(
@@ -102,9 +107,9 @@ CONN = SourceSpec(
     residual=rest(CONN_FIELDS),
     error=f"CASE WHEN _f IS NULL THEN _json_error "
           f"{_counter_errors((('orig_bytes', 'resp_bytes'), ('orig_pkts', 'resp_pkts')))} END",
-)
+))
 
-DNS = SourceSpec(
+DNS = _with_paths(SourceSpec(
     name="zeek_dns", dataset="zeek.dns", **_MONITOR,
     event_category=("network",), event_type=("protocol",), field_map=DNS_FIELDS,
     stages=(
@@ -130,11 +135,11 @@ DNS = SourceSpec(
     },
     residual=rest((*DNS_FIELDS, *DNS_FLAGS), "(k = 'answers' AND _answers IS NOT NULL)"),
     error="_json_error",
-)
+))
 
 _SPLIT_URI = "CASE WHEN NOT _tunnel AND (_uri LIKE '/%' OR instr(_uri, '://') > 0) THEN _uri END"
 
-HTTP = SourceSpec(
+HTTP = _with_paths(SourceSpec(
     name="zeek_http", dataset="zeek.http", **_MONITOR,
     event_category=("network", "web"), event_type=("access",), field_map=HTTP_FIELDS,
     stages=(
@@ -171,5 +176,5 @@ HTTP = SourceSpec(
     error="CASE WHEN _f IS NULL THEN _json_error WHEN _absolute AND _l_bad THEN 'ValueError:invalid port' "
           "WHEN _sc IS NOT NULL AND try_cast(_sc AS DOUBLE) IS NULL THEN "
           "concat('ValueError:invalid literal for int() with base 10: \\'', _sc, '\\'') END",
-)
+))
 
