@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from .sql import capture, code_table, text
 
 # RFC 3986, appendix B, with the scheme held to its own grammar.
@@ -53,13 +55,14 @@ MASKS = (
 )
 TEMPLATE_LENGTH = 160
 
-# --- fixed values: what a perturbed line replaces -------------------------------
-PERTURB_DATES = (("May 14", "Nov 03"), ("2024-05-14", "2025-11-03"),
-                 ("14/May/2024", "03/Nov/2025"), ("05/14-", "11/03-"))
-PERTURB_HOST = ("\\b(?:FW|WEB|PROXY|FILE|DC)-BO-\\d+", "CORE-HQ-77")
-PERTURB_EPOCH = "1715688\\d+"
-PERTURB_EPOCH_RANGE = (1700000000, 1800000000)
-PERTURB_TENANT = (("northstar", "acme"), ("NORTHSTAR", "ACME"))
+@dataclass(frozen=True)
+class Perturbation:
+    """What a perturbed line replaces beside its addresses: literal texts, one pattern of host names, one of epochs."""
+
+    texts: tuple[tuple[str, str], ...] = ()
+    hosts: tuple[str, str] | None = None
+    epochs: str | None = None
+    epoch_range: tuple[int, int] = (1_700_000_000, 1_800_000_000)
 
 
 def _draw(line: str, seed: int, tag: str, i: str, low: int, high: int) -> str:
@@ -75,22 +78,22 @@ def _resubstitute(x: str, line: str, pattern: str, fresh: str) -> str:
             f"CASE WHEN i = 0 THEN piece ELSE concat({fresh}, piece) END), '')")
 
 
-def perturb(x: str, seed: int = 0) -> str:
-    """The line with other addresses, dates, hosts, epochs and tenant names.
+def perturb(x: str, seed: int = 0, rules: Perturbation = Perturbation()) -> str:
+    """The line with other addresses, and with what ``rules`` say: dates, hosts, epochs, names.
 
     Random parts are drawn from a hash of line, seed and position, so a rerun
     or a retried task gives the same text.
     """
     octets = ", ".join(_draw(x, seed, f"ip{n}", "i", 1, 254) for n in range(4))
     out = _resubstitute(x, x, MASKS[0][0], f"concat_ws('.', {octets})")
-    for old, new in PERTURB_DATES:
-        out = f"replace({out}, {text(old)}, {text(new)})"
-    out = f"regexp_replace({out}, {text(PERTURB_HOST[0])}, {text(PERTURB_HOST[1])})"
-    low, high = PERTURB_EPOCH_RANGE
-    out = _resubstitute(out, x, PERTURB_EPOCH, f"{_draw(x, seed, 'epoch', 'i', low, high)}::STRING")
-    for old, new in PERTURB_TENANT:
+    for old, new in rules.texts:
         out = f"replace({out}, {text(old)}, {text(new)})"
+    if rules.hosts:
+        out = f"regexp_replace({out}, {text(rules.hosts[0])}, {text(rules.hosts[1])})"
+    if rules.epochs:
+        low, high = rules.epoch_range
+        out = _resubstitute(out, x, rules.epochs, f"{_draw(x, seed, 'epoch', 'i', low, high)}::STRING")
     return out
 
 
-__all__ = ["url_stages", "kv_last", "mask_template", "perturb", "code_table"]
+__all__ = ["Perturbation", "code_table", "kv_last", "mask_template", "perturb", "url_stages"]

@@ -182,8 +182,8 @@ def best_class(probabilities: str, classes) -> str:
 
 
 def predictions(scored: DataFrame, classes) -> DataFrame:
-    """Adds ``label`` and unrounded ``confidence`` of the best class, and ``candidates``."""
-    carried = [name(c) for c in scored.columns if c != "probabilities"]
+    """Adds ``label`` and unrounded ``confidence`` of the best class, and ``candidates``; columns so called before are replaced."""
+    carried = [name(c) for c in scored.columns if c not in ("probabilities", "label", "confidence", "candidates")]
     return scored.selectExpr(*carried, f"{best_class('probabilities', classes)} AS label",
                              "array_max(probabilities) AS confidence",
                              f"{top2_candidates('probabilities', classes)} AS candidates")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..catalogue import EVENT_FIELDS
 from ..functions import coerce as c
 from ..functions.sql import json_text
-from ..functions.textual import kv_last, mask_template, perturb, url_stages
+from ..functions.textual import Perturbation, kv_last, mask_template, perturb, url_stages
 from ..operators.envelope import drop_blank
 from .query import Query, table
 
@@ -161,13 +161,16 @@ SELECT doc_id, substr(regexp_replace(regexp_replace(regexp_replace(regexp_replac
   '\\s+', ' ', 'g'), 1, 160) AS template FROM documents"""
 
 # Lines with everything the perturbation touches.
-PERTURB_TEXT = ("concat('May 14 12:00 FW-BO-', c_nationkey, ' from 10.', c_nationkey, '.2.', c_custkey % 250, ' to 45.83.220.', c_nationkey, "
-                "' at 1715688', lpad(CAST(c_custkey % 1000 AS STRING), 3, '0'), ' 2024-05-14 14/May/2024 05/14- northstar NORTHSTAR ', c_name)")
+PERTURB_TEXT = ("concat('Mar 07 12:00 gate-north-', c_nationkey, ' from 198.18.', c_nationkey, '.', c_custkey % 250, ' to 203.0.113.', c_nationkey, "
+                "' at 1650000', lpad(CAST(c_custkey % 1000 AS STRING), 3, '0'), ' 2023-03-07 07/Mar/2023 03/07- heron HERON ', c_name)")
+PERTURB_RULES = Perturbation(
+    texts=(("Mar 07", "Oct 21"), ("2023-03-07", "2025-10-21"), ("07/Mar/2023", "21/Oct/2025"), ("03/07-", "10/21-"), ("heron", "wren"), ("HERON", "WREN")),
+    hosts=("\\bgate-north-\\d+", "gate-south-5"), epochs="1650000\\d+")
 
 
 def _perturbed(spark, sf_dir):
     return table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{PERTURB_TEXT} AS x").selectExpr(
-        "c_custkey", f"{perturb('x', 7)} AS line")
+        "c_custkey", f"{perturb('x', 7, PERTURB_RULES)} AS line")
 
 
 def _draw_sql(tag, i, low, span):
@@ -179,8 +182,8 @@ def _ip_sql(i):
 
 
 _PERTURBED_SQL = f"""
-SELECT c_custkey, 'Nov 03 12:00 CORE-HQ-77 from ' || {_ip_sql(1)} || ' to ' || {_ip_sql(2)} || ' at ' || {_draw_sql('epoch', 1, 1700000000, 100000001)}
-  || ' 2025-11-03 03/Nov/2025 11/03- acme ACME ' || c_name AS line FROM (SELECT *, {PERTURB_TEXT} AS x FROM customer)"""
+SELECT c_custkey, 'Oct 21 12:00 gate-south-5 from ' || {_ip_sql(1)} || ' to ' || {_ip_sql(2)} || ' at ' || {_draw_sql('epoch', 1, 1700000000, 100000001)}
+  || ' 2025-10-21 21/Oct/2025 10/21- wren WREN ' || c_name AS line FROM (SELECT *, {PERTURB_TEXT} AS x FROM customer)"""
 
 
 def _digests(spark, sf_dir):

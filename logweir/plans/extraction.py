@@ -183,7 +183,7 @@ EXPECTED: dict[str, dict[str, tuple[str, str]]] = {
     "zeek_dns": {
         "seq": ("pipeline.ingest.seq", "seq"),
         "ts": ("`@timestamp`", "concat(strftime(make_timestamp((1700000000 + event_id) * 1000000), '%Y-%m-%dT%H:%M:%S'), '.000+00:00')"),
-        "sip": ("source.ip", "concat('10.44.10.', user_id % 250)"),
+        "sip": ("source.ip", "concat('198.18.10.', user_id % 250)"),
         "dns_id": ("dns.id", "CAST(event_id AS VARCHAR)"),
         "question": ("dns.question.name", "name"),
         "rcode": ("dns.response_code", "rcode"),

@@ -14,31 +14,47 @@ from ..operators import classify as m
 from ..operators import corpus as corp
 from ..operators import evaluate, robustness
 from ..operators.route import confidence_filter, union_all
-from .coercion_queries import PERTURB_TEXT
+from ..sources import LABELS
+from .coercion_queries import PERTURB_RULES, PERTURB_TEXT
 from .query import Query, table
 
 # label: (table, line). Lines of one label repeat where the row says so, to give the dedupe something to do.
+_CLOCK = "concat('04:31:', lpad(CAST({0} % 60 AS STRING), 2, '0'))"
 CORPUS = {
-    "cisco_asa": ("customer", "concat('<166>May 14 12:00:', lpad(CAST(c_custkey % 60 AS STRING), 2, '0'), ' FW-BO-', c_nationkey, "
-                  "' %ASA-6-302013: Built inbound TCP connection ', c_custkey % 700, ' for outside:74.172.', c_nationkey, '.', c_custkey % 250, '/2027 ', c_mktsegment)"),
-    "web_access": ("part", "concat('10.44.', p_size, '.', p_partkey % 250, ' - - [14/May/2024:12:00:', lpad(CAST(p_partkey % 60 AS STRING), 2, '0'), "
-                   "' +0000] \"GET /', replace(p_name, ' ', '/'), ' HTTP/1.1\" 200 ', p_partkey % 1300, ' \"-\" \"', p_brand, '\"')"),
-    "syslog": ("supplier", "concat('<86>1 2024-05-14T12:00:', lpad(CAST(s_suppkey % 60 AS STRING), 2, '0'), 'Z WEB-BO-0', s_nationkey, ' sshd ', "
+    "cisco_asa": ("customer", f"concat('<166>Mar 7 ', {_CLOCK.format('c_custkey')}, ' edge-', c_nationkey, "
+                  "' %ASA-6-302013: Built inbound TCP connection ', c_custkey % 700, ' for outside:198.18.', c_nationkey, '.', c_custkey % 250, '/2027 ', c_mktsegment)"),
+    "miscellaneous": ("supplier", "concat('1,2023/03/07 04:31:01,TRAFFIC,end,198.18.1.', s_nationkey, ',allow-', lower(s_name), ',trust,untrust')"),
+    "proxy_access": ("customer", f"concat('198.18.', c_nationkey, '.', c_custkey % 250, ' - - [07/Mar/2023:', {_CLOCK.format('c_custkey')}, "
+                     "' +0000] \"CONNECT files.example.net:443 HTTP/1.1\" 200 ', c_custkey % 900, ' \"-\" \"loom/3\" \"cs_bytes=', c_custkey % 400, ' proxy_action=tunnel ssl_bump=peek\"')"),
+    "snort_alert": ("part", f"concat('03/07-', {_CLOCK.format('p_partkey')}, '.250000 [**] [1:', p_partkey % 800, ':2] PROBE ', p_brand, "
+                    "' [**] [Priority: ', p_size % 4, '] {TCP} 203.0.113.', p_partkey % 250, ':55000 -> 192.0.2.80:25')"),
+    "syslog": ("supplier", f"concat('<86>1 2023-03-07T', {_CLOCK.format('s_suppkey')}, 'Z loom-', s_nationkey, ' sshd ', "
                "s_suppkey, ' - - pam_unix(sshd:session): session closed for user ', lower(s_name))"),
+    "web_access": ("part", f"concat('203.0.113.', p_partkey % 250, ' - - [07/Mar/2023:', {_CLOCK.format('p_partkey')}, "
+                   "' +0000] \"GET /', replace(p_name, ' ', '/'), ' HTTP/1.1\" 200 ', p_partkey % 1300, ' \"-\" \"', p_brand, '\"')"),
+    "zeek_conn": ("customer", "concat('{\"ts\":', 1678163400 + c_custkey % 900, ',\"id.orig_h\":\"198.18.', c_nationkey, '.7\",\"proto\":\"tcp\",\"orig_bytes\":', "
+                  "c_custkey % 500, ',\"conn_state\":\"SF\",\"history\":\"ShAD\"}')"),
+    "zeek_dns": ("supplier", "concat('{\"ts\":', 1678163400 + s_suppkey, ',\"query\":\"host', s_suppkey, '.example.net\",\"qclass_name\":\"C_INTERNET\",\"qtype_name\":\"A\",\"AA\":true}')"),
+    "zeek_http": ("part", "concat('{\"ts\":', 1678163400 + p_partkey % 900, ',\"trans_depth\":1,\"method\":\"GET\",\"host\":\"garden.example\",\"uri\":\"/', "
+                  "replace(p_name, ' ', '-'), '\",\"user_agent\":\"spade\"}')"),
 }
 # Lines of formats no label stands for.
-FOREIGN = ("nation", "concat('1,2024/05/14 12:00:01,TRAFFIC,end,10.1.1.', n_nationkey, ',allow-', lower(n_name), ',trust,untrust')")
-
-# A small fixed model: classes in order, one intercept each, and weighted terms.
-CLASSES = ("cisco_asa", "syslog", "web_access")
-INTERCEPTS = (-0.25, 0.1, 0.15)
-TERMS = {
-    "fw-": (2.5, (2.0, -1.0, -1.0)), " %as": (2.0, (2.5, -1.0, -1.5)), "asa": (1.5, (1.0, -0.5, -0.5)),
-    "built": (2.0, (1.5, -0.5, -1.0)), "tcp ": (1.8, (1.0, -0.5, -0.5)), "pam": (2.2, (-1.0, 2.0, -1.0)),
-    "sshd": (2.1, (-1.0, 2.5, -1.5)), "user ": (1.4, (-0.2, 0.9, -0.7)), "get ": (1.9, (-1.0, -1.0, 2.0)),
-    "http/": (2.3, (-1.5, -1.0, 2.5)), "may": (1.1, (0.3, -0.6, 0.3)), "2024": (1.2, (-0.4, 0.3, 0.1)),
-    "tra": (1.7, (0.2, -0.1, -0.1)), "ing": (1.3, (0.1, 0.2, -0.3)), "uild": (1.6, (0.7, -0.3, -0.4)),
+FOREIGN = ("nation", "concat('CEF:0|Acme|Gate|1|', n_nationkey, '|note|3|msg=hello from ', lower(n_name))")
+
+# A small fixed model: classes in order, one intercept each, and weighted terms (classes that are not named get the rest).
+CLASSES = LABELS
+INTERCEPTS = (-0.25, 0.05, 0.0, 0.1, 0.1, 0.15, -0.1, -0.05, 0.0)
+_REST = -0.4
+_WEIGHTED = {
+    "edge-": (2.5, {"cisco_asa": 2.0}), " %as": (2.0, {"cisco_asa": 2.5, "web_access": -1.5}), "asa": (1.5, {"cisco_asa": 1.0}),
+    "built": (2.0, {"cisco_asa": 1.5}), "tcp ": (1.8, {"cisco_asa": 1.0, "snort_alert": 0.5}), "pam": (2.2, {"syslog": 2.0}),
+    "sshd": (2.1, {"syslog": 2.5, "web_access": -1.5}), "user ": (1.4, {"syslog": 0.9}), "get ": (1.9, {"web_access": 2.0, "zeek_http": 0.2}),
+    "http/": (2.3, {"web_access": 2.5, "proxy_access": 1.2}), "mar": (1.1, {"cisco_asa": 0.3, "web_access": 0.3}), "2023": (1.2, {"syslog": 0.3, "web_access": 0.1}),
+    "tra": (1.7, {"miscellaneous": 2.2, "zeek_http": 0.4}), "ing": (1.3, {"cisco_asa": 0.1, "syslog": 0.2}), "uild": (1.6, {"cisco_asa": 0.7}),
+    "[**]": (2.0, {"snort_alert": 3.0}), "peek": (1.9, {"proxy_access": 3.0}), "histo": (2.2, {"zeek_conn": 2.8}), "qclas": (2.2, {"zeek_dns": 2.8}),
+    "_dept": (2.1, {"zeek_http": 2.8}), "\"ts\"": (1.0, {"zeek_conn": 0.6, "zeek_dns": 0.6, "zeek_http": 0.6}), "heron": (1.5, {"cisco_asa": 0.8}), "gate-": (1.5, {"cisco_asa": 1.4}),
 }
+TERMS = {t: (idf, tuple(w.get(c, _REST) for c in CLASSES)) for t, (idf, w) in _WEIGHTED.items()}
 
 
 def model(spark):
@@ -134,11 +150,14 @@ def _predict(spark, sf_dir):
 
 
 def _score_log_type(spark, sf_dir):
-    return confidence_filter(_predict(spark, sf_dir), 0.8).select("id", "log_type", "confidence")
+    """What a run does with its lines; ones that stand several times are scored each for itself."""
+    lines = keyed(spark, sf_dir)
+    twice = lines.unionByName(lines.filter("substr(id, 1, 1) = '0'"))
+    return m.classify(twice, model(spark), 0.8, "line").selectExpr("id", "log_type", "confidence", "candidates[0].label AS label")
 
 
 _SCORE_LOG_TYPE_SQL = f"""WITH {_scored(_KEYED_SQL)} SELECT id, CASE WHEN greatest({_PS}) >= 0.8 THEN {_BEST} ELSE 'unknown' END AS log_type,
-  round(greatest({_PS}), 4) AS confidence FROM scored"""
+  round(greatest({_PS}), 4) AS confidence, {_BEST} AS label FROM scored, (SELECT unnest([1, 2]) AS copy) WHERE copy = 1 OR substr(id, 1, 1) = '0'"""
 
 
 def _top2(spark, sf_dir):
@@ -187,12 +206,16 @@ _CAP = 90
 
 
 def _robust_sample(spark, sf_dir):
-    """All lines that carry what the perturbation changes, under the label they resemble."""
-    return table(spark, sf_dir, "customer").selectExpr("'cisco_asa' AS label", f"{PERTURB_TEXT} AS line")
+    """All lines that carry what the perturbation changes, under two labels, one in five of them twice."""
+    lines = table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{_ROBUST_LABEL} AS label", f"{PERTURB_TEXT} AS line")
+    return lines.unionByName(lines.filter("c_custkey % 5 = 0")).drop("c_custkey")
+
+
+_ROBUST_LABEL = "CASE WHEN c_custkey % 3 = 0 THEN 'syslog' ELSE 'cisco_asa' END"
 
 
 def _robustness(spark, sf_dir):
-    report = robustness.robustness(_robust_sample(spark, sf_dir), model(spark), 7)
+    report = robustness.robustness(_robust_sample(spark, sf_dir), model(spark), 7, PERTURB_RULES)
     return report.selectExpr("label", *[f"round({c}, 4) AS {c}" for c in report.columns if c != "label"])
 
 
@@ -200,11 +223,12 @@ def _robustness_sql():
     from .coercion_queries import _PERTURBED_SQL
     original = f"SELECT 'o:' || c_custkey AS id, {PERTURB_TEXT} AS line FROM customer"
     changed = f"SELECT 'p:' || c_custkey AS id, line FROM ({_PERTURBED_SQL})"
-    return f"""WITH {_scored(original + ' UNION ALL ' + changed)}, s AS (SELECT id, {_BEST} AS prediction, greatest({_PS}) AS confidence FROM scored)
-SELECT 'cisco_asa' AS label, round(avg(CASE WHEN prediction = 'cisco_asa' THEN 1.0 ELSE 0.0 END) FILTER (id LIKE 'o:%'), 4) AS accuracy,
-  round(avg(CASE WHEN prediction = 'cisco_asa' THEN 1.0 ELSE 0.0 END) FILTER (id LIKE 'p:%'), 4) AS p_accuracy,
-  round(avg(confidence) FILTER (id LIKE 'o:%'), 4) AS mean_confidence, round(avg(confidence) FILTER (id LIKE 'p:%'), 4) AS p_mean_confidence,
-  round(min(confidence) FILTER (id LIKE 'p:%'), 4) AS p_min_confidence FROM s"""
+    return f"""WITH {_scored(original + ' UNION ALL ' + changed)}, s AS (SELECT id, {_BEST} AS prediction, greatest({_PS}) AS confidence FROM scored),
+  r AS (SELECT {_ROBUST_LABEL} AS label, o.prediction AS op, o.confidence AS oc, p.prediction AS pp, p.confidence AS pc
+    FROM customer, (SELECT unnest([1, 2]) AS copy), s AS o, s AS p
+    WHERE (copy = 1 OR c_custkey % 5 = 0) AND o.id = 'o:' || c_custkey AND p.id = 'p:' || c_custkey)
+SELECT label, round(avg(CASE WHEN op = label THEN 1.0 ELSE 0.0 END), 4) AS accuracy, round(avg(CASE WHEN pp = label THEN 1.0 ELSE 0.0 END), 4) AS p_accuracy,
+  round(avg(oc), 4) AS mean_confidence, round(avg(pc), 4) AS p_mean_confidence, round(min(pc), 4) AS p_min_confidence FROM r GROUP BY label"""
 
 
 def _with_foreign(spark, sf_dir):
@@ -223,13 +247,19 @@ FROM scored JOIN (SELECT sha256({FOREIGN[1]}) AS id, {FOREIGN[1]} AS line FROM {
 
 
 def _train(spark, sf_dir):
-    """Fit on the training part of the corpus, judge on the rest."""
+    """Fit on the training part of the corpus, judge on the rest. The formats are unlike, so every held-out line has to come out right."""
     split = corp.stratified_split(corp.cap_per_class(corp.dedupe_lines(corpus(spark, sf_dir))))
     fitted = m.train(split.filter("NOT is_test"))
-    test = split.filter("is_test").selectExpr("label", "line", "sha2(concat_ws(':', label, line), 256) AS id")
-    pred = m.predictions(m.score(test, "id", "line", fitted), fitted.classes).selectExpr("id", "label AS prediction")
-    return evaluate.classification_report(test.join(pred, "id"))
+    scored = m.predictions(m.with_probabilities(split.filter("is_test").withColumnRenamed("label", "truth"), "line", fitted), fitted.classes)
+    return evaluate.classification_report(scored.selectExpr("truth AS label", "label AS prediction"))
+
 
+_TRAIN_SQL = f"""
+WITH t AS (SELECT label, count(*) AS n FROM (SELECT label, row_number() OVER (PARTITION BY label ORDER BY i) AS i, count(*) OVER (PARTITION BY label) AS total
+  FROM ({_ranked_sql(42)}) WHERE i <= {corp.PER_CLASS}) WHERE i <= round(total * 0.2) GROUP BY label)
+SELECT label AS class, CAST(1 AS DOUBLE) AS precision, CAST(1 AS DOUBLE) AS recall, CAST(1 AS DOUBLE) AS f1, n AS support FROM t
+UNION ALL SELECT 'accuracy', NULL, NULL, 1, CAST(sum(n) AS BIGINT) FROM t
+UNION ALL SELECT unnest(['macro avg', 'weighted avg']), 1, 1, 1, CAST(sum(n) AS BIGINT) FROM t"""
 
 QUERIES = [
     Query("char_ngrams", _ngrams, _NGRAMS_SQL),
@@ -238,7 +268,7 @@ QUERIES = [
     Query("score_join", _score, _SCORE_SQL),
     Query("score_log_type", _score_log_type, _SCORE_LOG_TYPE_SQL),
     Query("top2_candidates", _top2, _TOP2_SQL),
-    Query("train_log_type", _train),
+    Query("train_log_type", _train, _TRAIN_SQL),
     Query("dedupe_lines", lambda s, d: corp.dedupe_lines(corpus(s, d)), f"SELECT DISTINCT label, line FROM ({_CORPUS_SQL})"),
     Query("samples_per_label", lambda s, d: corp.samples_per_label(corpus(s, d)),
           f"SELECT label, count(*) AS n, CAST({len(CORPUS)} AS BIGINT) AS n_labels FROM ({_CORPUS_SQL}) GROUP BY label"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalogue import SYSLOG_FACILITY_NAME, SYSLOG_SEVERITY_NAME, SYSLOG_SEVERITY_SCALE, field_catalogue
-from ..functions.sql import text
+from ..functions.sql import code_table, text
 from ..operators import lookups, pivots, quality, summary
 from ..operators.envelope import envelope
 from ..operators.normalize import normalize
@@ -171,15 +171,17 @@ SELECT CASE label WHEN 'snort_alert' THEN 'Snort' WHEN 'web_access' THEN 'Apache
 
 
 def _severity(spark, sf_dir):
-    """The look-up of the normalizer, as a join over all orders: an unknown code stays as it is."""
+    """The scale as a join over all orders, and as the expression the sources run: an unknown code stays as it is."""
     df = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_custkey % 10 AS severity")
     scale = lookups.code_frame(spark, SYSLOG_SEVERITY_SCALE, value_type="bigint")
-    return lookups.lookup(df, "severity", scale, "normalized", "severity")
+    joined = lookups.lookup(df, "severity", scale, "normalized", "severity")
+    return joined.selectExpr("*", f"cast(coalesce({code_table(SYSLOG_SEVERITY_SCALE, 'severity')}, severity) AS BIGINT) AS in_source")
 
 
 _SEVERITY_SQL = """
-SELECT o_orderkey, o_custkey % 10 AS severity, CAST(CASE o_custkey % 10 WHEN 0 THEN 10 WHEN 1 THEN 9 WHEN 2 THEN 8 WHEN 3 THEN 7
-  WHEN 4 THEN 5 WHEN 5 THEN 4 WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE o_custkey % 10 END AS BIGINT) AS normalized FROM orders"""
+SELECT o_orderkey, severity, n AS normalized, n AS in_source FROM (
+  SELECT o_orderkey, o_custkey % 10 AS severity, CAST(CASE o_custkey % 10 WHEN 0 THEN 10 WHEN 1 THEN 9 WHEN 2 THEN 8 WHEN 3 THEN 7
+    WHEN 4 THEN 5 WHEN 5 THEN 4 WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE o_custkey % 10 END AS BIGINT) AS n FROM orders)"""
 
 
 def _names(spark, sf_dir):
@@ -200,15 +202,25 @@ FROM (SELECT o_orderkey, CAST(floor((o_custkey % 200) / 8) AS BIGINT) AS f, o_cu
 
 
 def _conn_state(spark, sf_dir):
+    """Event type and outcome by connection state: as joins, and as the source places them in its documents."""
     df = table(spark, sf_dir, "lineitem").selectExpr(f"coalesce({RENDERINGS['zeek_conn'].facts['state']}, 'none') AS state")
-    outcome = lookups.code_frame(spark, {k: v[1] for k, v in CONN_STATE.items()}, "string")
-    return lookups.lookup(df.groupBy("state").agg(F.count("*").alias("n")), "state", outcome, "outcome", "'unknown'")
+    counted = df.groupBy("state").agg(F.count("*").alias("n"))
+    for k, (column, default) in enumerate((("last_type", None), ("outcome", "'unknown'"))):
+        codes = lookups.code_frame(spark, {code: v[k] for code, v in CONN_STATE.items()}, "string")
+        counted = lookups.lookup(counted, "state", codes, column, default)
+    joined = counted.selectExpr("state", "n", "concat_ws(',', 'connection', last_type) AS type", "outcome")
+    docs = normalized(spark, sf_dir, RENDERINGS["zeek_conn"]).selectExpr(
+        "coalesce(get_json_object(unmapped['conn_state'], '$'), 'none') AS state", "array_join(event.type, ',') AS doc_type", "event.outcome AS doc_outcome")
+    placed = docs.groupBy("state").agg(F.count("*").alias("parsed"), F.min("doc_type").alias("doc_type"), F.max("doc_outcome").alias("doc_outcome"))
+    return joined.join(placed, "state", "left")
 
 
 _CONN_STATE_SQL = f"""
-SELECT state, n, coalesce(outcome, 'unknown') AS outcome FROM
-  (SELECT coalesce({RENDERINGS['zeek_conn'].facts['state']}, 'none') AS state, count(*) AS n FROM lineitem GROUP BY 1)
-  LEFT JOIN (VALUES {', '.join(f"('{k}', '{v[1]}')" for k, v in CONN_STATE.items())}) AS t(code, outcome) ON state = code"""
+WITH s AS (SELECT coalesce(state, 'none') AS state, broken FROM ({RENDERINGS['zeek_conn'].facts_sql()})),
+  c AS (SELECT state, count(*) AS n, nullif(count(*) FILTER (NOT broken), 0) AS parsed FROM s GROUP BY state),
+  t AS (SELECT * FROM (VALUES {', '.join(f"('{k}', 'connection,{v[0]}', '{v[1]}')" for k, v in CONN_STATE.items())}) AS t(code, type, outcome)),
+  j AS (SELECT state, n, parsed, coalesce(type, 'connection') AS type, coalesce(outcome, 'unknown') AS outcome FROM c LEFT JOIN t ON state = code)
+SELECT state, n, type, outcome, parsed, CASE WHEN parsed > 0 THEN type END AS doc_type, CASE WHEN parsed > 0 THEN outcome END AS doc_outcome FROM j"""
 
 
 def _ruleset(spark, sf_dir):
@@ -299,7 +311,7 @@ def _nest(spark, sf_dir):
 _NEST_SQL = f"""
 SELECT seq, CASE label WHEN 'snort_alert' THEN 'snort.alert' WHEN 'web_access' THEN 'apache.access' ELSE 'zeek.dns' END AS dataset,
   CASE label WHEN 'web_access' THEN 'tcp' WHEN 'zeek_dns' THEN 'udp' ELSE lower({render.SNORT.facts['proto']}) END AS transport,
-  CASE label WHEN 'web_access' THEN {render.WEB.facts['ip']} WHEN 'zeek_dns' THEN '10.44.10.' || (user_id % 250) ELSE {render.SNORT.facts['sip']} END AS ip,
+  CASE label WHEN 'web_access' THEN {render.WEB.facts['ip']} WHEN 'zeek_dns' THEN '198.18.10.' || (user_id % 250) ELSE {render.SNORT.facts['sip']} END AS ip,
   false AS has_empty, CASE WHEN label = 'snort_alert' THEN CAST(event_id % 4 + 1 AS VARCHAR) END AS priority,
   CASE WHEN label = 'zeek_dns' THEN 'C' || event_id END AS uid, false AS has_null FROM {_OK}"""
 

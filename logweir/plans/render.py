@@ -80,9 +80,9 @@ SNORT = Rendering(
         "class": "CASE WHEN event_id % 3 > 0 THEN concat('Attempted ', event_type) END",
         "prio": "event_id % 4 + 1",
         "proto": "CASE WHEN event_id % 6 = 0 THEN 'ICMP' WHEN event_id % 6 < 4 THEN 'TCP' ELSE 'UDP' END",
-        "sip": "concat('37.', user_id % 200, '.', event_id % 250, '.9')",
+        "sip": "concat('192.', user_id % 200, '.', event_id % 250, '.9')",
         "sport": "CASE WHEN event_id % 6 > 0 THEN 1024 + event_id % 60000 END",
-        "dip": "concat('10.44.30.', user_id % 250)",
+        "dip": "concat('198.18.30.', user_id % 250)",
         "dport": "CASE WHEN event_id % 6 > 0 THEN 1 + user_id % 1000 END",
     },
     raw="concat(date_format(ts, 'MM/dd-HH:mm:ss.SSSSSS'), ' [**] [', gid, ':', sid, ':', rev, '] ', title, ' [**] ', "
@@ -102,10 +102,10 @@ ASA = Rendering(
         "sev": "l_linenumber % 8",
         "inbound": "l_partkey % 2 = 0",
         "proto": "CASE WHEN l_suppkey % 2 = 0 THEN 'tcp' ELSE 'udp' END",
-        "sip": "concat('74.', l_partkey % 250, '.', l_suppkey % 250, '.', l_linenumber)",
+        "sip": "concat('100.', l_partkey % 250, '.', l_suppkey % 250, '.', l_linenumber)",
         "sport": "1024 + l_partkey % 60000",
-        "nip": "concat('45.83.', l_suppkey % 250, '.5')",
-        "dip": "concat('10.44.', l_orderkey % 250, '.10')",
+        "nip": "concat('100.66.', l_suppkey % 250, '.5')",
+        "dip": "concat('198.18.', l_orderkey % 250, '.10')",
         "dport": "1 + l_suppkey % 1000",
         "h": "CAST(l_quantity AS BIGINT) % 5",
         "m": "l_partkey % 60",
@@ -142,8 +142,8 @@ SYSLOG = Rendering(
         "who": "concat('user', o_custkey)",
         "blocked": "o_orderstatus <> 'F'",
         "opened": "o_orderstatus = 'O'",
-        "sip": "concat('74.172.', o_custkey % 250, '.', o_orderkey % 250)",
-        "dip": "concat('10.44.30.', o_orderkey % 250)",
+        "sip": "concat('100.64.', o_custkey % 250, '.', o_orderkey % 250)",
+        "dip": "concat('198.18.30.', o_orderkey % 250)",
         "sport": "1024 + o_custkey % 60000",
         "dport": "1 + o_orderkey % 1000",
         "pid": "CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey + 100 END",
@@ -173,8 +173,8 @@ PROXY = Rendering(
         "bad_count": "o_orderkey % 17 > 0 AND o_orderkey % 13 > 0 AND o_orderkey % 19 = 0",
         "listed": "o_orderkey % 13 > 0",
         "tunnel": "o_orderkey % 3 = 0",
-        "ip": "concat('10.44.', o_custkey % 250, '.', o_orderkey % 250)",
-        "domain": "CASE WHEN o_custkey % 4 = 0 THEN 'BRANCH' END",
+        "ip": "concat('198.18.', o_custkey % 250, '.', o_orderkey % 250)",
+        "domain": "CASE WHEN o_custkey % 4 = 0 THEN 'ATELIER' END",
         "who": "CASE WHEN o_custkey % 4 < 2 THEN concat('user', o_custkey) END",
         "host": "concat('site', o_custkey, '.example.com')",
         "path": "CASE WHEN o_orderkey % 5 > 0 THEN concat('/o/', o_orderkey) ELSE '' END",
@@ -186,7 +186,7 @@ PROXY = Rendering(
         "sc": "CAST(floor(o_totalprice) AS BIGINT)",
         "ms": "o_orderkey % 10000",
     },
-    raw="concat(ip, ' - ', coalesce(concat(CASE WHEN domain IS NOT NULL THEN 'BRANCH\\\\' ELSE '' END, who), '-'), ' [', "
+    raw="concat(ip, ' - ', coalesce(concat(CASE WHEN domain IS NOT NULL THEN 'ATELIER\\\\' ELSE '' END, who), '-'), ' [', "
         "date_format(o_orderdate, 'dd/MMM/yyyy'), ':01:02:03 +0000] \"', "
         "CASE WHEN tunnel THEN concat('CONNECT ', host, ':443') ELSE concat('GET http://', host, path, "
         "CASE WHEN query IS NOT NULL THEN concat('?', query) ELSE '' END) END, ' HTTP/1.1\" ', code, ' ', sc, "
@@ -206,9 +206,9 @@ CONN = Rendering(
         "nested": "l_suppkey % 3 = 0",
         "state": "CASE l_partkey % 15 " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(_CONN_STATES)) + " END",
         "six": "l_partkey % 10 = 0",
-        "oh": "CASE WHEN l_partkey % 10 = 0 THEN '2001:db8::1' ELSE concat('10.44.', l_partkey % 250, '.', l_suppkey % 250) END",
+        "oh": "CASE WHEN l_partkey % 10 = 0 THEN '2001:db8::1' ELSE concat('198.18.', l_partkey % 250, '.', l_suppkey % 250) END",
         "op": "1024 + l_partkey % 60000",
-        "rh": "concat('10.45.', l_orderkey % 250, '.7')",
+        "rh": "concat('198.19.', l_orderkey % 250, '.7')",
         "rp": "1 + l_suppkey % 1000",
         "proto": "CASE WHEN l_linestatus = 'O' THEN 'tcp' ELSE 'udp' END",
         "ms": "l_orderkey % 100000",
@@ -239,15 +239,15 @@ DNS = Rendering(
         "rcode": "CASE WHEN event_type = 'error' THEN 'NXDOMAIN' WHEN event_type <> 'click' THEN 'NOERROR' END",
         "answers": "CASE WHEN event_type = 'error' THEN 0 ELSE event_id % 4 END",
         "name": "concat('host', user_id, '.example.net')",
-        "ip1": "concat('185.125.', user_id % 250, '.', event_id % 250)",
+        "ip1": "concat('100.65.', user_id % 250, '.', event_id % 250)",
         "aa": "event_id % 2 = 0",
         "rd": "event_id % 3 = 0",
         "us": "user_id * 7",
         "tagged": "event_id % 7 = 0",
     },
     # answers: none, an address, an address and a name, an address and an IPv6 address (last without TTL)
-    raw="concat('{\"ts\":', 1700000000 + event_id, ',\"uid\":\"C', event_id, '\",\"id.orig_h\":\"10.44.10.', user_id % 250, "
-        "'\",\"id.orig_p\":', 1024 + user_id, ',\"id.resp_h\":\"10.44.20.10\",\"id.resp_p\":53,\"proto\":\"udp\",\"trans_id\":', event_id, "
+    raw="concat('{\"ts\":', 1700000000 + event_id, ',\"uid\":\"C', event_id, '\",\"id.orig_h\":\"198.18.10.', user_id % 250, "
+        "'\",\"id.orig_p\":', 1024 + user_id, ',\"id.resp_h\":\"198.18.20.10\",\"id.resp_p\":53,\"proto\":\"udp\",\"trans_id\":', event_id, "
         "',\"rtt\":', cast(us / 1000000D AS DECIMAL(12, 6)), ',\"query\":\"', name, '\",\"qclass_name\":\"C_INTERNET\",\"qtype_name\":\"A\"', "
         "coalesce(concat(',\"rcode_name\":\"', rcode, '\"'), ''), ',\"AA\":', aa, ',\"TC\":false,\"RD\":', rd, ',\"RA\":true', "
         "CASE answers WHEN 0 THEN '' WHEN 1 THEN concat(',\"answers\":[\"', ip1, '\"],\"TTLs\":[600.0]') "
@@ -271,8 +271,8 @@ HTTP = Rendering(
         "size": "CAST(length(html) AS BIGINT)",
         "fault": "CASE WHEN page_id % 5 = 0 THEN concat('E', page_id % 40) END",
     },
-    raw="concat('{\"ts\":', 1700000000 + page_id, '.5,\"id.orig_h\":\"10.44.20.', page_id % 250, '\",\"id.orig_p\":', 1024 + page_id, "
-        "',\"id.resp_h\":\"10.44.20.30\",\"id.resp_p\":8080,\"trans_depth\":1,\"method\":\"', CASE WHEN form = 'tunnel' THEN 'CONNECT' ELSE 'get' END, "
+    raw="concat('{\"ts\":', 1700000000 + page_id, '.5,\"id.orig_h\":\"198.18.20.', page_id % 250, '\",\"id.orig_p\":', 1024 + page_id, "
+        "',\"id.resp_h\":\"198.18.20.30\",\"id.resp_p\":8080,\"trans_depth\":1,\"method\":\"', CASE WHEN form = 'tunnel' THEN 'CONNECT' ELSE 'get' END, "
         "'\",\"host\":\"', CASE WHEN form = 'absolute' THEN 'other.example' ELSE host END, '\",\"uri\":\"', "
         "CASE form WHEN 'tunnel' THEN concat(host, ':443') WHEN 'path' THEN concat(path, coalesce(concat('?', query), '')) ELSE url END, "
         "'\",\"version\":\"1.1\",\"response_body_len\":', size, coalesce(concat(',\"status_code\":', code), ''), "
