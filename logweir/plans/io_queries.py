@@ -10,7 +10,7 @@ from ..session import scratch_path
 from ..sources import sinks
 from ..sources.scan import read_corpus, read_lines, read_quarantine
 from . import render
-from .model_queries import _CORPUS_SQL, corpus
+from .model_queries import _CORPUS_SQL, CORPUS, corpus
 from .query import Query, table
 from .record_queries import _BAD, _OK, events, quarantine
 from .render import RENDERINGS, mixed_sql
@@ -53,35 +53,32 @@ def _union_inputs(spark, sf_dir):
     return read_lines(spark, [a, *files, f"{a}-missing"]).select("raw")
 
 
+_CORPUS_LOGS = [n for n in CORPUS if not n.startswith("zeek")]
+
+
 def _corpus_scan(spark, sf_dir):
-    """One file set per label: plain lines, JSON lines, and a JSON array inside an object."""
+    """A folder of part files per label: plain lines, JSON lines, arrays, and an array inside an object after other members."""
     folder = scratch_path(spark, "corpus")
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    frames = {
-        "cisco_asa.log": corpus(spark, sf_dir).filter("label = 'cisco_asa'").select("line"),
-        "zeek_dns.json": table(spark, sf_dir, "supplier").selectExpr("to_json(named_struct('k', s_suppkey, 'n', s_name)) AS line"),
-        "notes.txt": table(spark, sf_dir, "nation").selectExpr("n_name AS line"),
-        # Fixed tables of 25 and 5 rows: a JSON document cannot be written in parts.
-        "zeek_conn.json": table(spark, sf_dir, "nation").agg(
-            F.expr("to_json(collect_list(named_struct('k', n_nationkey, 'n', n_name)))").alias("line")),
-        "zeek_http.json": table(spark, sf_dir, "region").agg(F.expr(
-            "concat('{\\n\"kind\": \"x\",\\n\"rows\": ', to_json(collect_list(named_struct('k', r_regionkey, 'n', r_name))), '\\n}')").alias("line")),
-    }
-    for file, df in frames.items():
-        parts = f"{folder}-{file}"
-        df.coalesce(1).write.text(parts)
-        fs = jvm.org.apache.hadoop.fs.Path(parts).getFileSystem(conf)
-        fs.mkdirs(jvm.org.apache.hadoop.fs.Path(folder))
-        part = next(s.getPath() for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(parts)) if s.getPath().getName().endswith(".txt"))
-        fs.rename(part, jvm.org.apache.hadoop.fs.Path(f"{folder}/{file}"))
+    lines = corpus(spark, sf_dir)
+    for label in _CORPUS_LOGS:
+        lines.filter(F.col("label") == label).select("line").write.text(f"{folder}/{label}.log")
+    lines.filter("label = 'zeek_dns'").select("line").write.text(f"{folder}/zeek_dns.json")
+    table(spark, sf_dir, "nation").selectExpr("n_name AS line").write.text(f"{folder}/notes.txt")
+    # A document per group of rows and file, together as large as the table.
+    record = "to_json(named_struct('k', {0}, 'n', concat({1}, ' }} ,[')))"
+    arrays = table(spark, sf_dir, "orders").groupBy(F.expr("o_orderkey % 7").alias("g")).agg(
+        F.expr(f"concat('[\n ', array_join(collect_list({record.format('o_orderkey', 'o_orderpriority')}), ',\n '), '\n]\n')").alias("line"))
+    arrays.repartitionById(7, F.col("g").cast("int")).select("line").write.option("lineSep", "\n\n").text(f"{folder}/zeek_conn.json")
+    objects = table(spark, sf_dir, "region").selectExpr(
+        "r_regionkey", f"concat('{{\\n\"kind\": {{\"list\": [1]}},\\n\"rows\": [', {record.format('r_regionkey', 'r_name')}, '], \"more\": [3], \"last\": {{\"x\": 1}}\n}}') AS line")
+    objects.repartitionById(5, F.col("r_regionkey").cast("int")).select("line").write.text(f"{folder}/zeek_http.json")
     return read_corpus(spark, folder)
 
 
 _CORPUS_SCAN_SQL = f"""
-SELECT label, line FROM ({_CORPUS_SQL}) WHERE label = 'cisco_asa'
-UNION ALL SELECT 'zeek_dns', '{{"k":' || s_suppkey || ',"n":"' || s_name || '"}}' FROM supplier
-UNION ALL SELECT 'zeek_conn', '{{"k":' || n_nationkey || ',"n":"' || n_name || '"}}' FROM nation
-UNION ALL SELECT 'zeek_http', '{{"k":' || r_regionkey || ',"n":"' || r_name || '"}}' FROM region"""
+SELECT label, line FROM ({_CORPUS_SQL}) WHERE label = 'zeek_dns' OR label NOT LIKE 'zeek%'
+UNION ALL SELECT 'zeek_conn', '{{"k":' || o_orderkey || ',"n":"' || o_orderpriority || ' }} ,["}}' FROM orders
+UNION ALL SELECT 'zeek_http', '{{"k":' || r_regionkey || ',"n":"' || r_name || ' }} ,["}}' FROM region"""
 
 # --- quarantine review ---------------------------------------------------------------
 _REVIEW = {

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.envelope import drop_blank
+from .json_documents import fragments, records, tops
 
 log = logging.getLogger(__name__)
 
@@ -97,37 +98,58 @@ def read_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _files(spark: SparkSession, folder: str, ending: str) -> list[str]:
+    """The files of a folder with an ending, and the part files of its subfolders so called (a label whose table was written in parts)."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(conf)
+    found = []
+    for s in fs.listStatus(path) if fs.exists(path) else []:
+        name = s.getPath().getName()
+        if name.startswith((".", "_")) or not name.lower().endswith(ending):
+            continue
+        inside = fs.listStatus(s.getPath()) if s.isDirectory() else [s]
+        found += [i.getPath().toString() for i in inside if not i.isDirectory() and not i.getPath().getName().startswith((".", "_"))]
+    return sorted(found)
+
+
 def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    """A labelled corpus, ``label, line``: the label is the file name without its ending.
+    """A labelled corpus, ``label, line``: the label is the file name without its ending, or that of the folder ``<label>.log`` or ``<label>.json`` a file is in.
 
     ``.log`` files give their lines. ``.json`` files give their lines too if the
     first 20 all start with ``{``; else the file is one array, or an object whose
-    first list-valued member is taken, and each record becomes a compact line.
-    Other files are passed over.
+    first list-valued member is taken, and each record becomes a compact line. Such a file is read by as
+    many tasks as it has blocks (see :mod:`.json_documents`). Other files are passed over.
     """
-    label = "regexp_extract(source, '([^/]*)[.][^./]*$', 1)"
-    lines = read_lines(spark, folder).filter("source RLIKE '(?i)[.](log|json)$'")
-    first = Window.partitionBy("source").orderBy("seq")
-    heads = (lines.filter("source RLIKE '(?i)[.]json$'")
-             .withColumn("_i", F.row_number().over(first)).filter("_i <= 20")
-             .groupBy("source").agg(F.expr("bool_and(startswith(ltrim(raw), '{'))").alias("by_line")))
-    # One row per corpus file: the files of a corpus are its labels.
-    whole = [r.source for r in heads.filter("NOT by_line").select("source").collect()]
-    if not whole:
-        return lines.selectExpr(f"{label} AS label", "raw AS line")
-    by_line = lines.filter(~F.col("source").isin(whole)).selectExpr(f"{label} AS label", "raw AS line")
-    document = spark.read.text(_literal(whole), wholetext=True).selectExpr(
-        "make_valid_utf8(value) AS text", f"{_SOURCE.format('_metadata.file_path')} AS source")
-    # A document that is no JSON, or has no list, is one line as it stands: it is seen and not lost.
-    parsed = document.selectExpr("source", "text", "try_parse_json(text) AS _doc").selectExpr(
-        "source", "text", "_doc", "try_cast(_doc AS MAP<STRING, VARIANT>) AS _members").selectExpr("source", "text", (
-            # The members in the order of the document, which a variant does not keep.
-            "CASE WHEN startswith(schema_of_variant(_doc), 'ARRAY') THEN _doc ELSE get(filter(transform(map_keys("
-            "from_json(text, 'map<string,string>')), k -> try_element_at(_members, k)), "
-            "v -> startswith(schema_of_variant(v), 'ARRAY')), 0) END AS _list"))
-    records = parsed.selectExpr("source", "explode(CASE WHEN _list IS NULL THEN array(text) ELSE "
-                                "transform(try_cast(_list AS ARRAY<VARIANT>), v -> to_json(v)) END) AS raw")
-    return by_line.unionByName(records.selectExpr(f"{label} AS label", "raw AS line"))
+    label = "coalesce(nullif(regexp_extract({0}, '([^/]*)[.](?i:log|json)/[^/]*$', 1), ''), regexp_extract({0}, '([^/]*)[.][^./]*$', 1))"
+    logs, documents = _files(spark, folder, ".log"), _files(spark, folder, ".json")
+    parts = [read_lines(spark, logs).selectExpr(f"{label.format('source')} AS label", "raw AS line")]
+    if documents:
+        # A row per file: whether it begins as an array, or else has a first line that is no record.
+        starts = {r.file: r.top for r in tops(fragments(spark, _literal(documents))).collect()}
+        objects = [f for f, top in starts.items() if top == "{"]
+        whole = {f for f, top in starts.items() if top != "{"}
+        if objects:
+            lines = read_lines(spark, [_plain(f) for f in objects])
+            heads = lines.filter("seq <= 1000").withColumn("_i", F.row_number().over(Window.partitionBy("source").orderBy("seq"))).filter("_i <= 20")
+            by_line = {r.source for r in heads.groupBy("source").agg(F.expr("bool_and(startswith(ltrim(raw), '{'))").alias("b")).filter("b").collect()}
+            parts.append(lines.filter(F.col("source").isin(list(by_line))).selectExpr(f"{label.format('source')} AS label", "raw AS line"))
+            whole |= {f for f in objects if _plain(f) not in by_line}
+        if whole:
+            found, none = records(fragments(spark, _literal(sorted(map(_plain, whole)))))
+            # A record that is no JSON is a line as it stands: it is seen and not lost. So is a document without a list.
+            parts.append(found.selectExpr(f"{label.format('file')} AS label", "coalesce(to_json(try_parse_json(record)), record) AS line"))
+            listless = [r.file for r in none.collect()]
+            if listless:
+                text = spark.read.text(_literal([_plain(f) for f in listless]), wholetext=True)
+                parts.append(text.selectExpr(f"{label.format('_metadata.file_path')} AS label", "make_valid_utf8(value) AS line"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _plain(file: str) -> str:
+    """A reader's URI as the path it was made from."""
+    from urllib.parse import unquote
+    return unquote(re.sub("^file:/+", "/", file))
 
 
 QUARANTINE_SCHEMA = """
