@@ -115,6 +115,9 @@ def _fold(blocks: pd.DataFrame) -> pd.DataFrame:
         if found is not None:
             lists, last = lists + found // 2, found % 2 == 1
         depth, text = depth + delta, after
+    if depth > 0 or text:
+        # The document breaks off: none of its lists counts. (Behind the last brace one too many is read, never one too few.)
+        out, lists = [(*b[:5], 2, False) for b in out], 0
     out.append((blocks.file.iloc[0], -1, level, depth, text, lists, False))
     return pd.DataFrame(out, columns=[c.split()[0] for c in _BEGIN.split(", ")])
 
@@ -175,7 +178,7 @@ def block_effects(cut: DataFrame) -> DataFrame:
 
 
 def records(cut: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(``file, record`` of every file's first list, ``file`` of those without a list).
+    """(``file, record`` of every file's first list, ``file`` of those without a list or that break off).
 
     Records are texts as they stand in the file. How a file is cut into blocks depends on all files that are
     read together, so ``cut`` is scanned as it is, and a part of its files has to be read anew.

@@ -138,11 +138,11 @@ def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
         if whole:
             found, none = records(fragments(spark, _literal(sorted(map(_plain, whole)))))
             # A record that is no JSON is a line as it stands: it is seen and not lost. So is a document without a list.
-            parts.append(found.selectExpr(f"{label.format('file')} AS label", "coalesce(to_json(try_parse_json(record)), record) AS line"))
+            parts.append(found.selectExpr(f"{label.format(_SOURCE.format('file'))} AS label", "coalesce(to_json(try_parse_json(record)), record) AS line"))
             listless = [r.file for r in none.collect()]
             if listless:
                 text = spark.read.text(_literal([_plain(f) for f in listless]), wholetext=True)
-                parts.append(text.selectExpr(f"{label.format('_metadata.file_path')} AS label", "make_valid_utf8(value) AS line"))
+                parts.append(text.selectExpr(f"{label.format(_SOURCE.format('_metadata.file_path'))} AS label", "make_valid_utf8(value) AS line"))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -1,19 +1,25 @@
 """Whole runs on small files: numbering, routing, conservation, batch against stream."""
 
 import json
+import math
 import os
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from logweir.operators import review
 from logweir.operators.classify import LogTypeModel, train
-from logweir.operators.quality import samples_frame, usable_specs
-from logweir.operators.ranking import number_all, split_at
+from logweir.operators.normalize import normalize
+from logweir.functions import gramwise
+from logweir.operators.classify import classify, term_statistics, tfidf_terms
+from logweir.operators.ranking import largest, number_all, split_at
+from logweir.plans import pipeline
 from logweir.plans.pipeline import run_batch
 from logweir.sources import SOURCES, SourceSpec, custom_source, extract, flatten_json
 from logweir.sources.scan import read_lines
-from logweir.streaming import stream_normalize
+from logweir.sources.sinks import sized
+from logweir.streaming import committed, normalize_batch, stream_normalize, stream_totals
 
 WEB = '10.0.0.{i} - - [14/May/2024:12:05:14 +0000] "GET /p{i} HTTP/1.1" 200 7 "-" "agent"'
 SYSLOG = "<86>1 2024-05-14T12:00:39Z WEB-{i} sshd 4{i} - - pam_unix(sshd:session): session closed for user u{i}"
@@ -51,6 +57,8 @@ def test_run(spark, tmp_path, model):
     result = run_batch(spark, [str(tmp_path / "mixed.log")], f"{tmp_path}/out", loaded, threshold=0.8, parquet=True)
     m = result.summary.first()
     assert (m.events_total, m.normalized, m.quarantined, m.success_rate) == (4, 2, 2, 0.5)
+    assert m.per_type_ok == {"web_access": 1, "syslog": 1} and m.source_errors == {} and m.missing_sources == []
+    assert m.quarantine.by_reason == {"low_confidence": 1, "parse_error": 1} and m.quarantine.by_type == {"unknown": 1, "web_access": 1}
     docs = [json.loads(r.value) for r in spark.read.text(f"{tmp_path}/out/normalized").collect()]
     assert {d["event"]["dataset"] for d in docs} == {"apache.access", "system.syslog"}
     assert {d["pipeline"]["ingest"]["seq"] for d in docs} == {1, 3}
@@ -97,10 +105,80 @@ def test_global_numbering(spark):
     assert {(r.a, r.b): r["rank"] for r in got} == expected
 
 
+def test_replayed_batch_counts_once(spark, tmp_path):
+    """A batch played twice replaces its own files and its own record."""
+    batch = spark.createDataFrame([(WEB.format(i=i), f"file:/in/{i % 2}.log", 0) for i in range(10)], "value string, _file string, _block bigint")
+    out = str(tmp_path / "out")
+    for n, rows in ((0, batch), (1, batch), (1, batch.limit(4))):
+        normalize_batch(rows, n, out, log_type="web_access", year_hint=2024)
+    totals = {r.counter: r.n for r in stream_totals(spark, out).collect()}
+    assert totals == {"total": 14, "normalized": 14, "ok:web_access": 14}
+    assert committed(spark, out, "normalized").count() == 14 and committed(spark, out, "quarantine").count() == 0
+
+
 def test_broken_source_is_switched_off(spark):
-    specs = {**SOURCES, "odd": SourceSpec(name="odd", fields={"message": "raw"}, error="CASE WHEN raw = 'x' THEN 'ValueError:x' END")}
-    samples = samples_frame(spark, {"odd": ["x", "y"], "syslog": [SYSLOG.format(i=1)]})
-    assert "odd" not in usable_specs(samples, specs) and "syslog" in usable_specs(samples, specs)
+    odd = SourceSpec(name="odd", fields={"message": "raw"}, error="CASE WHEN raw = 'x' THEN 'ValueError:x' END", samples=("x", "y"))
+    wild = SourceSpec(name="wild", event_type=("nowhere",))
+    usable, errors = pipeline.tested_sources(spark, {**SOURCES, "odd": odd, "wild": wild})
+    assert {r.log_type for r in usable.collect()} == set(SOURCES)
+    assert errors == {"odd": "self-test: ValueError:x", "wild": "not in the schema: event.type nowhere"}
+
+
+def test_user_function_runs_once_a_line(spark):
+    """One Python stage, whatever filter stands on its outcome."""
+    spec = custom_source(lambda raw: {"source.ip": raw}, name="mine")
+    df = spark.createDataFrame([("1.2.3.4", "f", 1, "i", "h", "2024-01-01T00:00:00.000+00:00")], "raw string, source string, seq bigint, event_id string, event_hash string, received_at string")
+    plan = normalize(df, spec, 2024)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+
+
+def test_scoring_shuffles_nothing(spark, model):
+    lines = spark.createDataFrame([(WEB.format(i=1),), (WEB.format(i=1),), ("zzz",)], "raw string")
+    scored = classify(lines, model)
+    assert "Exchange" not in scored._jdf.queryExecution().executedPlan().toString()
+    rows = scored.collect()
+    assert len(rows) == 3 and rows[0] == rows[1]
+
+
+def slow_grams(line):
+    out = Counter()
+    for word in line.lower().split():
+        padded = f" {word} "
+        for n in range(2, 6):
+            out.update(padded[i : i + n] for i in range(len(padded) - n + 1))
+    return out
+
+
+def test_gram_counts_and_scores(spark, model):
+    lines = ["Ab c", "", None, "a a a xyz\tq", "   ", "é🙂x ab", "x" * 400, "ab c " * 60]
+    stats = {r.term: (r.cf, r.df) for r in term_statistics(spark.createDataFrame([(x,) for x in lines], "line string")).collect()}
+    each = [slow_grams(x or "") for x in lines]
+    assert stats == {t: (sum(g[t] for g in each), sum(t in g for g in each)) for g in each for t in g}
+    known = gramwise.Vocabulary(["ab", " ab ", "c ", "é🙂", "nowhere"], [1.0, 2.0, 0.5, 3.0, 1.0])
+    weights, intercepts = np.array([[1.0, -1.0, 2.0, 0.5, 9.0], [0.0, 3.0, -2.0, 1.0, 9.0]]), np.array([0.25, -0.5])
+    got = gramwise.probabilities(lines, known, weights, intercepts)
+    for grams, p in zip(each, got):
+        x = np.array([(1 + math.log(grams[t])) * i if grams[t] else 0.0 for t, i in zip(known.terms, known.idf)])
+        m = weights @ (x / (np.linalg.norm(x) or 1)) + intercepts
+        assert np.abs(np.exp(m - m.max()) / np.exp(m - m.max()).sum() - p).max() < 1e-12
+
+
+def test_cut_of_the_vocabulary(spark):
+    df = spark.range(2000).selectExpr("concat('t', lpad(id, 4, '0')) AS term", "id % 40 * 1000 + id % 3 AS cf").cache()
+    ordered = sorted(((-r.cf, r.term) for r in df.collect()))
+    for n in (0, 1, 49, 50, 51, 700, 1999, 2000, 5000):
+        assert {(-r.cf, r.term) for r in largest(df, "cf", "term", n, cells=7).collect()} == set(ordered[:n])
+    lines = spark.createDataFrame([("ab ab",), ("ab",), ("cd",)], "line string")
+    assert {r.term for r in tfidf_terms(lines, min_df=2).collect()} == {" a", "ab", "b ", " ab", "ab ", " ab "}
+
+
+def test_sizes_of_written_files(spark, tmp_path):
+    """Small values have one file each, a large one as many as its size asks for."""
+    df = spark.range(3000).selectExpr("CASE WHEN id < 2900 THEN 'big' WHEN id < 2950 THEN 'small' END AS k", "id")
+    sized(df, ["k"], "id", 500).write.partitionBy("k").parquet(str(tmp_path / "t"))
+    files = {d: len([f for f in os.listdir(tmp_path / "t" / d) if f.endswith(".parquet")]) for d in os.listdir(tmp_path / "t") if d.startswith("k=")}
+    assert files == {"k=big": 6, "k=small": 1, "k=__HIVE_DEFAULT_PARTITION__": 1}
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 3000
 
 
 def test_custom_python_source(spark):
