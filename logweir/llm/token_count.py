@@ -10,6 +10,12 @@ Pre-tokens are cut before every word-start mark that follows another character.
 piece of the vocabulary holds a mark behind another character (checked on loading),
 so no merge can cross such a cut.
 
+A long pre-token without a cut (letters without spaces, ideographs, base64) keeps a work list instead: the places of
+every pair by its rank. Ranks are taken in order, all places of one at once, overlapping ones from the left, and only the
+pairs beside them are looked at again, so the work does not grow with the square of the length. Where a
+new symbol makes a pair of lower rank with a neighbour (possible for pieces found on loading), that pair comes before the
+places behind it.
+
 Defined results. A null text counts as empty: 0 bytes, 0 tokens. Rows are counted each
 for itself. An empty table gives no rows. Extra columns pass through; result columns
 replace input columns of the same name.
@@ -17,6 +23,7 @@ replace input columns of the same name.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 from functools import cache
@@ -31,6 +38,8 @@ from .columns import col, utf8_length, with_result
 MARK = "▁"
 #: Pre-tokens that a worker remembers; more are counted again when they are met again.
 REMEMBERED = 800_000
+#: Longer pre-tokens are merged by work list.
+LONG = 512
 _PRE_TOKENS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -51,12 +60,15 @@ class PieceCounter:
         self.rank = {p: r for r, p in enumerate(ranked)}
         self.pieces = len(ranked)
         left, right, merged = [], [], []
+        self.overtaken = np.zeros(self.pieces + 1, bool)
         for p, r in self.rank.items():
             for k in range(1, len(p)):
                 if p[:k] in self.rank and p[k:] in self.rank:
                     left.append(self.rank[p[:k]])
                     right.append(self.rank[p[k:]])
                     merged.append(r)
+                    for part in (left[-1], right[-1]):
+                        self.overtaken[part] |= part > r
         key = np.array(left, np.int64) * self.pieces + np.array(right, np.int64)
         order = np.argsort(key)
         self.pair, self.merged = key[order], np.array(merged, np.int64)[order]
@@ -99,7 +111,59 @@ class PieceCounter:
                 same = owner[near] == owner[near + 1]
                 rank[near[~same]] = self.pieces
                 rank[near[same]] = self.pair_ranks(symbols[near[same]], symbols[near[same] + 1])
-        return np.concatenate(done_symbols), np.concatenate(done_owner)
+        return np.concatenate([symbols[:0], *done_symbols]), np.concatenate([owner[:0], *done_owner])
+
+    def merge_long(self, symbols: np.ndarray) -> np.ndarray:
+        """The same for one long sequence, by work list; gives the symbols that survive."""
+        n, s = len(symbols), symbols.copy()
+        after, before, alive = np.arange(1, n + 1), np.arange(-1, n - 1), np.ones(n, bool)
+        rank = np.full(n, self.pieces, np.int64)
+        rank[:-1] = self.pair_ranks(s[:-1], s[1:])
+        ranks: list[int] = []
+        places: dict[int, list[np.ndarray]] = {}
+
+        def push(at: np.ndarray) -> None:
+            at = at[np.argsort(rank[at], kind="stable")]
+            found, first = np.unique(rank[at], return_index=True)
+            for r, part in zip(found.tolist(), np.split(at, first[1:])):
+                if r not in places:
+                    heapq.heappush(ranks, r)
+                places.setdefault(r, []).append(part)
+
+        push(np.flatnonzero(rank < self.pieces))
+        while ranks:
+            r = heapq.heappop(ranks)
+            at = np.unique(np.concatenate(places.pop(r)))
+            at = at[alive[at] & (rank[at] == r)]
+            if not len(at):
+                continue
+            # Of places that overlap in a chain, every other one from the left.
+            every, chained = at, np.concatenate(([False], after[at[:-1]] == at[1:]))
+            begin = np.maximum.accumulate(np.where(chained, 0, np.arange(len(at))))
+            at = at[(np.arange(len(at)) - begin) % 2 == 0]
+            if self.overtaken[r]:
+                # Up to the first place whose new symbol makes a pair of lower rank; that pair comes before the rest.
+                behind, left = after[after[at]], before[at]
+                ahead = np.concatenate(([False], behind[:-1] == at[1:]))
+                low = self.pair_ranks(np.full(len(at), r), np.where(behind < n, s[np.minimum(behind, n - 1)], self.pieces)) < r
+                low |= self.pair_ranks(np.where(ahead, r, np.where(left >= 0, s[left], self.pieces)), np.full(len(at), r)) < r
+                if low.any():
+                    at = at[: int(np.argmax(low)) + 1]
+                    rest = every[every > at[-1]]
+                    if len(rest):
+                        heapq.heappush(ranks, r)
+                        places[r] = [rest]
+            gone = after[at]
+            s[at], alive[gone], rank[gone] = r, False, self.pieces
+            after[at] = after[gone]
+            inside = at[after[at] < n]
+            before[after[inside]] = inside
+            rank[at] = self.pieces
+            left = before[at]
+            near = np.concatenate((inside, left[left >= 0]))
+            rank[near] = self.pair_ranks(s[near], s[after[near]])
+            push(near[rank[near] < self.pieces])
+        return s[alive]
 
     def count(self, pre_tokens: list[str]) -> np.ndarray:
         """Tokens of each pre-token."""
@@ -110,9 +174,15 @@ class PieceCounter:
         flat = [self.rank[c] if c in self.rank else self.pieces + outside.setdefault(c, len(outside)) for t in pre_tokens for c in t]
         width = np.ones(self.pieces + len(outside), np.int64)
         width[self.pieces:] = [len(c.encode("utf-8", "surrogatepass")) for c in outside]
-        owner = np.repeat(np.arange(len(pre_tokens)), [len(t) for t in pre_tokens])
-        symbols, owner = self.merge(np.array(flat, np.int64), owner)
-        return np.bincount(owner, width[symbols], len(pre_tokens)).astype(np.int64)
+        size = np.array([len(t) for t in pre_tokens])
+        owner, symbols = np.repeat(np.arange(len(pre_tokens)), size), np.array(flat, np.int64)
+        end = np.cumsum(size)
+        long = {i: int(width[self.merge_long(symbols[end[i] - size[i] : end[i]])].sum()) for i in np.flatnonzero(size > LONG).tolist()}
+        short = (size <= LONG)[owner]
+        symbols, owner = self.merge(symbols[short], owner[short])
+        out = np.bincount(owner, width[symbols], len(pre_tokens)).astype(np.int64)
+        out[list(long)] = list(long.values())
+        return out
 
     def count_texts(self, texts: list[str | None]) -> np.ndarray:
         """Tokens of each text; the library's own normalizer runs first."""
