@@ -5,7 +5,8 @@ written to shard files. A shard holds raw little-endian ids (16 bits wide if the
 vocabulary allows, else 32), where each document starts, and an index: a minimal
 perfect hash from document key to a slot that stores a fingerprint, the first row and
 the number of rows. A key's shard follows from the shards' key ranges, its slot from a
-handful of bit tests, so access takes the same time whatever the size.
+handful of bit tests. A keyed access bisects the ranges and reads the header, a byte and a rank per level, one entry,
+two starts and the payload by their places in the file: the same number of bytes whatever the size.
 
 The hash is built level by level: keys alone at their position of a level's bit array
 are placed there, the others go to the next level; the slot is the rank of the bit.
@@ -25,8 +26,11 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import islice, takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -104,7 +108,7 @@ def write_shard(folder: str, doc_ids: list[int | None], ids: list[np.ndarray], w
     keys = key_hash(some)
     index = PerfectHash.build(keys)
     slot = index.slots(keys)
-    entries = np.zeros(len(keys), [("fingerprint", "<u4"), ("row", "<u4"), ("rows", "<u4")])
+    entries = np.zeros(len(keys), _ENTRY)
     entries["fingerprint"][slot], entries["rows"][slot] = fingerprints(keys), rows
     entries["row"][slot] = np.flatnonzero(keyed)[first] if len(first) else first
     sections = {"doc_ids": numbers.astype("<i8"), "keyed": keyed.astype("u1"), "starts": np.concatenate(([0], np.cumsum(lengths))).astype("<i8"),
@@ -137,14 +141,25 @@ class Shard:
         size = int.from_bytes(self.file.read(4), "little")
         head = json.loads(self.file.read(size))
         self.width, self.directory, self.base = head["width"], head["sections"], len(MAGIC) + 4 + size
-        self.index = PerfectHash(self.section("sizes", "<i8"), self.section("bits", "u1"), self.section("ranks", "<i8"))
-        self.entries = self.section("entries", [("fingerprint", "<u4"), ("row", "<u4"), ("rows", "<u4")])
-        self.starts = self.section("starts", "<i8")
 
-    def section(self, name: str, kind) -> np.ndarray:
+    @cached_property
+    def index(self) -> PerfectHash:
+        return PerfectHash(self.section("sizes", "<i8"), self.section("bits", "u1"), self.section("ranks", "<i8"))
+
+    @cached_property
+    def entries(self) -> np.ndarray:
+        return self.section("entries", _ENTRY)
+
+    @cached_property
+    def starts(self) -> np.ndarray:
+        return self.section("starts", "<i8")
+
+    def section(self, name: str, kind, first: int = 0, count: int | None = None) -> np.ndarray:
+        """A section, or ``count`` of its items from ``first``."""
         at, n = self.directory[name]
         kind = np.dtype(kind)
-        return np.frombuffer(self.file.read_at(n * kind.itemsize, self.base + at), kind)
+        size = (n if count is None else count) * kind.itemsize
+        return np.frombuffer(self.file.read_at(size, self.base + at + first * kind.itemsize), kind)
 
     def close(self) -> None:
         self.file.close()
@@ -159,13 +174,29 @@ class Shard:
 
     def payload(self, row: int) -> np.ndarray:
         """The ids of one row, read from their place in the file."""
-        a, b = int(self.starts[row]), int(self.starts[row + 1])
-        return np.frombuffer(self.file.read_at((b - a) * self.width, self.base + self.directory["ids"][0] + a * self.width), f"<u{self.width}")
+        a, b = self.section("starts", "<i8", row, 2).tolist()
+        return self.section("ids", f"<u{self.width}", a, b - a)
+
+    def look(self, doc_id: int) -> tuple[int, int]:
+        """As ``rows`` for one id, reading a byte and a rank of one level's bits after the other and a single entry."""
+        keys, base = key_hash(np.array([doc_id])), 0
+        for level, size in enumerate(self.section("sizes", "<i8").tolist()):
+            at = base + int(PerfectHash.position(keys, level, size)[0])
+            byte, place = int(self.section("bits", "u1", at >> 3, 1)[0]), at & 7
+            if byte >> (7 - place) & 1:
+                slot = int(self.section("ranks", "<i8", at >> 3, 1)[0]) + (byte >> (8 - place)).bit_count()
+                e = self.section("entries", _ENTRY, slot, 1)[0]
+                return int(e["row"]), int(e["rows"]) if e["fingerprint"] == fingerprints(keys)[0] else 0
+            base += size
+        return 0, 0
 
     def get(self, doc_id: int) -> list[np.ndarray]:
         """All payloads stored under an id."""
-        row, n = self.rows(np.array([doc_id]))
-        return [self.payload(int(row[0]) + k) for k in range(int(n[0]))]
+        row, n = self.look(doc_id)
+        return [self.payload(row + k) for k in range(n)]
+
+
+_ENTRY = np.dtype([("fingerprint", "<u4"), ("row", "<u4"), ("rows", "<u4")])
 
 
 @dataclass
@@ -175,8 +206,16 @@ class IdStore:
     folder: str
     manifest: list[dict]
 
+    @cached_property
+    def keyed(self) -> tuple[list[dict], list[int]]:
+        """The shards with keys, in the order of their key ranges, and the ranges' ends."""
+        some = [m for m in self.manifest if m["low"] is not None]
+        return some, [m["high"] for m in some]
+
     def shards_of(self, doc_id: int) -> list[dict]:
-        return [m for m in self.manifest if m["low"] is not None and m["low"] <= doc_id <= m["high"]]
+        some, ends = self.keyed
+        first = bisect_left(ends, doc_id)
+        return list(takewhile(lambda m: m["low"] <= doc_id, islice(some, first, None)))
 
     def get(self, doc_id: int) -> list[np.ndarray]:
         out = []
