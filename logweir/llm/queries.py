@@ -20,25 +20,46 @@ def tokenizer_path(name: str) -> str:
 
 RULES = [url_filter.Rule("org/", "allow"), url_filter.Rule("example.org/es/", "block"), url_filter.Rule("example.org/en/1", "block"),
          url_filter.Rule("com/fr/", "allow"), url_filter.Rule("com/de/", "block")]
-#: The small labelled URL table: unwanted and wanted kinds of site, by name, and neutral names, which are wanted by themselves.
-UNWANTED = "adult casino porn xxx bet gambling warez malware phishing spam escort viagra pills".split()
-WANTED = "news blog wiki docs school library museum science weather recipes forum travel".split()
-NEUTRAL = ("anderson brookfield castello dunmore ellery fairhaven gruber hawthorne iverson jansen keller lindholm moreau norwood olivera "
-           "petersen quintero rothman sandoval tremont underhill vasquez whitmore yardley thorne terhune hannon rethel onder trentin "
-           "sterling fielding harding keating browning manning smith heath garth southworth strathmore athens thatcher platt wyatt "
-           "northing worthing reading thurston thomson").split()
+#: The small labelled URL table: kinds of unwanted site, and words and names of harmless ones, many of which hold an unwanted one inside.
+UNWANTED = {
+    "gambling": ["casino", "casinos", "poker", "roulette", "slots", "jackpot", "bet", "bets", "betting", "gambling", "blackjack", "bingo", "baccarat", "lottery", "wager"],
+    "adult": ["adult", "porn", "xxx", "nude", "nudes", "escort", "sex", "camgirls", "erotic", "hentai", "milf", "strip"],
+    "pills": ["pills", "viagra", "cialis", "pharma", "steroids", "painkiller", "xanax", "valium", "dietpills"],
+    "fraud": ["spam", "scam", "phishing", "malware", "warez", "crack", "keygen", "torrent", "fakeid", "cheapwatches", "getrich", "ponzi"],
+}
+HARMLESS = {
+    "words": ["news", "blog", "wiki", "docs", "school", "library", "museum", "science", "weather", "recipes", "forum", "travel", "garden", "music", "history",
+              "health", "hospital", "university", "football", "photography", "knitting", "bakery", "plumber", "lawyer", "dentist", "cinema", "theatre", "maps"],
+    "inside": ["alphabet", "better", "betty", "tibet", "elizabeth", "pillow", "pillar", "pillsbury", "sports", "airports", "passport", "transport", "essex", "sussex", "adulthood",
+               "stripes", "cracker", "nutcracker", "peppercorn", "popcorn", "slotcar", "bingley", "escorial", "lotte", "torrens", "spanish", "scampi", "camden", "pharmacist", "cassius"],
+    "names": ["anderson", "brookfield", "castello", "dunmore", "ellery", "fairhaven", "gruber", "hawthorne", "iverson", "jansen", "keller", "lindholm", "moreau", "norwood",
+              "olivera", "petersen", "quintero", "rothman", "sandoval", "tremont", "underhill", "vasquez", "whitmore", "yardley", "lakeside", "riverton", "hillcrest", "maplewood",
+              "sterling", "fielding", "northgate", "eastbrook", "kowalski", "nakamura", "fernandez", "okafor", "lefebvre", "rossi", "schmidt", "novak", "thornbury", "athens"],
+}
+#: Forms of a site's name; both labels have all of them.
+FORMS = ["{}", "best-{}", "{}-online", "free-{}", "{}24", "my{}", "the-{}-site", "{}-club", "lucky-{}"]
 DOMAINS, LANGUAGES = ("com", "net", "org"), ("en", "de", "fr", "es")
 
 
-def labelled_urls(spark: SparkSession) -> DataFrame:
+def labelled_names() -> list[tuple[str, int, list[str]]]:
+    """(name, label, hosts): a site's name, whether it is unwanted, and its hosts in some of the forms."""
+    out = []
+    for label, table_of, forms in ((1, UNWANTED, 6), (0, HARMLESS, 3)):
+        names = [n for some in table_of.values() for n in some]
+        out += [(n, label, [FORMS[(k * 4 + j * (9 // forms)) % 9].format(n) for j in range(forms)]) for k, n in enumerate(names)]
+    return out
+
+
+def labelled_urls(spark: SparkSession, names: list[tuple[str, int, list[str]]] | None = None) -> DataFrame:
     """Labels depend on the kind of site alone: either label has the same domains, language paths, prefixes and page names."""
-    hosts = [(name + suffix, label) for names, label in ((UNWANTED, 1), (WANTED, 0)) for name in names for suffix in ("", "-x", "s")]
-    hosts += [(host, label) for names, label in ((UNWANTED, 1), (WANTED, 0)) for k, name in enumerate(names)
-              for host in (f"{name}-{NEUTRAL[k]}", f"{NEUTRAL[-1 - k]}-{name}")]
-    hosts += [(name + suffix, 0) for name in NEUTRAL for suffix in ("", "s")]
     tails = [(end, lang) for end in DOMAINS for lang in LANGUAGES]
-    rows = [(f"https://{('', 'www.', 'm.', 'blog.')[(k + t) % 4]}{host}.example.{end}/{lang}/{7 + (37 * k + 101 * t) % 1990}", label)
-            for k, (host, label) in enumerate(hosts) for t, (end, lang) in enumerate(tails)]
+    rows = []
+    for label in (0, 1):
+        hosts = [h for _, y, some in names or labelled_names() if y == label for h in some]
+        for k, host in enumerate(hosts):
+            # Every host has a third of the tails, and every tail as many hosts.
+            rows += [(f"https://{('', 'www.', 'm.', 'blog.')[(k + t) % 4]}{host}.example.{end}/{lang}/{7 + (37 * k + 101 * t) % 1990}", label)
+                     for t, (end, lang) in enumerate(tails) if t % 3 == k % 3]
     return spark.createDataFrame(rows, "url string, label int")
 
 

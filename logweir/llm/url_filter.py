@@ -95,8 +95,8 @@ def features(hosts: list[str], paths: list[str]) -> tuple[np.ndarray, np.ndarray
 
 
 def train(labelled: DataFrame, url_col: str = "url", label_col: str = "label", max_rows: int = 4000,
-          rounds: int = 150, rate: float = 0.5, decay: float = 1e-4) -> UrlModel:
-    """Fit on a labelled table; label 1 is block. Of more than ``max_rows`` rows, those first by URL hash are taken."""
+          rounds: int = 150, rate: float = 0.5, decay: float = 1e-4, share: float = 0.3) -> UrlModel:
+    """Fit on a labelled table; label 1 is block. ``share`` is what block weighs of both labels: what nothing is known of is allowed. Of more than ``max_rows`` rows, those first by URL hash are taken."""
     rows = (labelled.select(col(labelled, url_col).alias("u"), col(labelled, label_col).cast("int").alias("y"))
             .where("u IS NOT NULL AND y IS NOT NULL").distinct()
             .select(host_of(F.col("u")).alias("h"), path_of(F.col("u")).alias("p"), "y", "u")
@@ -107,8 +107,8 @@ def train(labelled: DataFrame, url_col: str = "url", label_col: str = "label", m
     owner, index, value = features([r.h for r in rows], [r.p for r in rows])
     w, bias = np.zeros(DIMENSIONS), 0.0
     seen, seen_bias = np.full(DIMENSIONS, 1e-8), 1e-8
-    # Both labels weigh the same, however many rows each has.
-    weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
+    # However many rows each label has.
+    weight = np.where(y > 0, share / y.sum(), (1 - share) / (len(y) - y.sum()))
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(owner, w[index] * value, len(y)), -30, 30)))
         error = (p - y) * weight
