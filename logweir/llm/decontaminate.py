@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from . import hashing as H
 from .columns import col, free_name
+from .memory import trim
 
 MAX_RATIO = 0.1
 Q = 8
@@ -48,7 +49,9 @@ WALKS, TABLES, BITS = 16, 32, 5
 _WALKED = 16 << 20
 ITEM_BLOCK = 5000
 CLASS_RATIO = 1.25
-_SLOTS = 1 << 22
+_SLOTS, _RUNS = 1 << 22, 1 << 18
+#: Characters of texts that are searched at a time.
+_SEARCHED = 1 << 19
 _ENTRIES = 1 << 21
 _VALUES = np.random.default_rng(11).integers(1, 1 << 63, 1 << 16, dtype=np.uint64)
 
@@ -161,7 +164,7 @@ class ItemIndex:
             grams, first = np.unique(grams[order], return_index=True)
             c = LengthClass(low, high, items, steps, q, int((lengths[items] + self.edits[items]).max()) - q, grams, np.append(first, len(order)), entries[:, order],
                             rng.integers(0, 2, (steps, WALKS * 256)), rng.integers(0, steps, (WALKS, TABLES, BITS)), [])
-            self.marked.setdefault(q, np.zeros(_SLOTS, np.uint64))[slots(grams)] |= np.uint64(1) << np.uint64(min(len(self.classes), 63))
+            self.marked.setdefault(q, np.zeros(_SLOTS, np.uint32))[slots(grams)] |= np.uint32(1 << min(len(self.classes), 31))
             # Items stand side by side with room behind them, as windows do at a text's end.
             room = "\x00" * (steps + 1)
             points = code_points("".join(self.texts[i] + room for i in items))
@@ -179,7 +182,7 @@ class ItemIndex:
             return out
         first, held = 0, 0
         for i, t in enumerate([*normal, None]):
-            if t is None or held + len(t) > 2 << 20:
+            if t is None or held + len(t) > _SEARCHED:
                 if i > first:
                     self._find(normal[first:i], out, first)
                 first, held = i, 0
@@ -198,7 +201,7 @@ class ItemIndex:
             marks = marks[hits]
             for number, c in enumerate(self.classes):
                 if c.q == q:
-                    at = hits[marks >> np.uint64(min(number, 63)) & np.uint64(1) == 1]
+                    at = hits[marks >> np.uint32(min(number, 31)) & np.uint32(1) == 1]
                     for doc, item, begin in self.aligned(c, grams, at, starts):
                         places = begin - starts[doc]
                         windows = np.unique(np.stack((doc, places)), axis=1)
@@ -229,9 +232,9 @@ class ItemIndex:
             p = np.repeat(at[a:b], n)
             begin = p - place
             # Counts by item and run of starts: agreeing starts lie in two neighbouring runs. Others in the same slot only add.
-            slot = item * 1000003 + begin // width & _SLOTS - 1
-            held = np.bincount(slot, minlength=_SLOTS)
-            some = held[slot] + np.maximum(held[slot - 1], held[slot + 1 & _SLOTS - 1]) >= self.need[item]
+            slot = item * 1000003 + begin // width & _RUNS - 1
+            held = np.bincount(slot, minlength=_RUNS)
+            some = held[slot] + np.maximum(held[slot - 1], held[slot + 1 & _RUNS - 1]) >= self.need[item]
             item, begin, doc = item[some], begin[some], np.searchsorted(starts, p[some], "right") - 1
             order = np.lexsort((begin, item, doc))
             item, begin, doc = item[order], begin[order], doc[order]
@@ -286,6 +289,7 @@ def leaks(text: Column, index: ItemIndex) -> Column:
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([[{"item_id": i, "distance": d, "end": e} for i, d, e in row] for row in index.find(list(texts))], dtype=object)
+        trim()
 
     return found(text)
 
