@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,9 +45,34 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_taken: ContextVar[list[str] | None] = ContextVar("scratch paths", default=None)
+
+
 def scratch_path(spark: SparkSession, purpose: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    if _taken.get() is not None:
+        _taken.get().append(path)
+    return path
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Scratch paths given out inside are removed at the end: what is made of them has to be written by then."""
+    token = _taken.set([])
+    try:
+        yield
+    finally:
+        paths = _taken.get()
+        _taken.reset(token)
+        for path in paths:
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path of the shared folder, if it is there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def settle(df: DataFrame) -> DataFrame:
