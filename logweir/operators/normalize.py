@@ -71,12 +71,16 @@ def place_fields(df: DataFrame, spec: SourceSpec, year_hint: int | None = None,
     named = _named_paths(year_hint, now) if PATHS in types else {}
     df = df.selectExpr(*carried, *fields, *typed, *[f"{e} AS {name(c)}" for c, (_, e) in named.items()])
     at_run_time = {p: c for c, (paths, _) in named.items() for p in paths}
+    if named:
+        # One look-up code for all, behind one test: few lines name a path.
+        found = ", ".join(f"{text(p)}, try_element_at({name(c)}, {text(p)})" for p, c in at_run_time.items())
+        df = df.selectExpr("*", f"CASE WHEN {name(PATHS)} IS NOT NULL THEN named_struct({found}) END AS _named")
     placed = []
     for target in [*by_target, *[p for p in at_run_time if p not in by_target]]:
         keys = by_target.get(target, [])
         options = [name("c:" + k) for k in reversed(keys) if k == target]
         if target in at_run_time and target not in keys:
-            options.append(f"try_element_at({name(at_run_time[target])}, {text(target)})")
+            options.append(f"_named.{name(target)}")
         options += [name("c:" + k) for k in reversed(keys) if k != target]
         e = options[0] if len(options) == 1 else f"coalesce({', '.join(options)})"
         placed.append(f"{e} AS {name('t:' + target)}")
