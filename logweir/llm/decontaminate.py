@@ -163,8 +163,7 @@ class ItemIndex:
             order = np.argsort(grams, kind="stable")
             grams, first = np.unique(grams[order], return_index=True)
             c = LengthClass(low, high, items, steps, q, int((lengths[items] + self.edits[items]).max()) - q, grams, np.append(first, len(order)), entries[:, order],
-                            rng.integers(0, 2, (steps, WALKS * 256)), rng.integers(0, steps, (WALKS, TABLES, BITS)), [])
-            self.marked.setdefault(q, np.zeros(_SLOTS, np.uint32))[slots(grams)] |= np.uint32(1 << min(len(self.classes), 31))
+                            rng.integers(0, 2, (steps, WALKS * 256), dtype=np.uint8), rng.integers(0, steps, (WALKS, TABLES, BITS)), [])
             # Items stand side by side with room behind them, as windows do at a text's end.
             room = "\x00" * (steps + 1)
             points = code_points("".join(self.texts[i] + room for i in items))
@@ -174,6 +173,20 @@ class ItemIndex:
                 c.keys.append((key[order], items[order].astype(np.int32)))
             self.classes.append(c)
 
+        self._mark()
+
+    def _mark(self) -> None:
+        for number, c in enumerate(self.classes):
+            self.marked.setdefault(c.q, np.zeros(_SLOTS, np.uint32))[slots(c.grams)] |= np.uint32(1 << min(number, 31))
+
+    def __getstate__(self) -> dict:
+        # Marks follow from the classes' grams: they do not travel to the tasks.
+        return self.__dict__ | {"marked": {}}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._mark()
+
     def find(self, texts: list[str | None]) -> list[list[tuple]]:
         """Per text: (item, distance, end of the stretch in the normalized text) of all items it contains."""
         normal = [normalize(t) for t in texts]
