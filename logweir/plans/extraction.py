@@ -71,7 +71,7 @@ EXPECTED: dict[str, dict[str, tuple[str, str]]] = {
         "dport": ("destination.port", "CAST(dport AS BIGINT)"),
         "gid": ("unmapped['gid']", "concat('\"', gid, '\"')"),
         "priority": ("unmapped['priority']", "CAST(prio AS VARCHAR)"),
-        "related_ip": (_join("related.ip"), "concat(dip, ',', sip)"),
+        "related_ip": (_join("related.ip"), "concat(sip, ',', dip)"),
     },
     "cisco_asa": {
         "seq": ("pipeline.ingest.seq", "seq"),
