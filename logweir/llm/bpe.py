@@ -42,8 +42,8 @@ from .columns import col, free_name, utf8, with_result
 from .memory import trim
 
 CHUNK_BITS = 8
-REMEMBERED_IDS = 2_000_000
-BATCH = 1 << 19
+REMEMBERED_IDS = 500_000
+BATCH = 1 << 18
 
 
 def ragged(pool: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
