@@ -15,8 +15,8 @@ Merges never cross pre-tokens, so parts between safe cuts encode independently.
 
 Remembered ids are found by a hash, which two byte strings may share. The vocabulary loses
 no byte, so ids spell what they were made of: every batch is spelled out and compared with
-its bytes, and a piece that differs is encoded again. Tables and batches are small and freed
-at the end of a partition, since a worker lives on for later stages. A text longer than a
+its bytes, and a piece that differs is encoded again. Tables and batches are small unless a caller
+asks for larger ones, and freed at the end of a partition, since a worker lives on for later stages. A text longer than a
 batch is a batch of its own: its memory is some dozen times its length.
 
 Defined results. A null text counts as empty: no ids, empty text. Special strings in a
@@ -91,7 +91,7 @@ class Remembered:
 class ChunkCodec:
     """Encodes and decodes as the tokenizer file's own library does."""
 
-    def __init__(self, tokenizer_file: str):
+    def __init__(self, tokenizer_file: str, remembered: int = REMEMBERED_IDS, batch: int = BATCH):
         # One core per task is what Spark counts on.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -103,7 +103,8 @@ class ChunkCodec:
         self.piece_size = np.array([len(p) for p in pieces], np.int64)
         self.piece_first = np.cumsum(self.piece_size) - self.piece_size
         self.piece_pool = np.frombuffer(b"".join(pieces), np.uint8)
-        self.words, self.chunks = Remembered(), Remembered()
+        self.batch = batch
+        self.words, self.chunks = Remembered(remembered), Remembered(remembered)
 
     def library_ids(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of byte strings cut at safe places, by the library.
@@ -115,16 +116,16 @@ class ChunkCodec:
         joined = [i for i, s in enumerate(space) if s == (True, False)]
         alone = [i for i, s in enumerate(space) if s != (True, False)]
         texts = [p.decode("utf-8") for p in ([parts[i] for i in alone] + [b"".join(parts[i] for i in joined)])]
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        out: list[np.ndarray] = [None] * len(parts)
-        for i, e in zip(alone, found):
-            out[i] = np.array(e.ids, np.uint32)
+        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        size = np.zeros(len(parts), np.int64)
+        size[alone] = [len(ids) for ids in found[:-1]]
         if joined:
-            ids = np.array(found[-1].ids, np.uint32)
-            ends = np.searchsorted(np.cumsum(self.piece_size[ids]), np.cumsum([len(parts[i]) for i in joined])) + 1
-            for i, a, b in zip(joined, [0, *ends.tolist()], ends.tolist()):
-                out[i] = ids[a:b]
-        return np.concatenate(out), np.array([len(x) for x in out], np.int64)
+            ends = np.searchsorted(np.cumsum(self.piece_size[found[-1]]), np.cumsum([len(parts[i]) for i in joined])) + 1
+            size[joined] = np.diff(ends, prepend=0)
+        made = np.array(alone + joined, np.int64)
+        first = np.zeros(len(parts), np.int64)
+        first[made] = np.cumsum(size[made]) - size[made]
+        return ragged(np.concatenate(found), first, size), size
 
     def encode_batch(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all texts joined, number of ids of each, the bytes that the ids spell)."""
@@ -186,7 +187,7 @@ class ChunkCodec:
     def encode(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, bytes]]:
         """Ids of each text, and the bytes that they spell."""
         raw = [utf8(t) for t in texts]
-        for a, b in H.batches(raw, BATCH):
+        for a, b in H.batches(raw, self.batch):
             ids, size, spelled = self.encode_batch(raw[a:b])
             end = np.cumsum(size)
             stop = np.concatenate(([0], np.cumsum(self.piece_size[ids])))[end]
@@ -201,9 +202,10 @@ class ChunkCodec:
         """As the library's decode(ids, skip_special_tokens=False)."""
         return self.spell(ids).tobytes().decode("utf-8", "replace")
 
-    def forget(self) -> None:
-        """Drop the tables and the memory of the last batches."""
-        self.words.clear()
+    def forget(self, words: bool = True) -> None:
+        """Drop the tables (``words``: that of single words too) and the memory of the last batches."""
+        if words:
+            self.words.clear()
         self.chunks.clear()
         trim()
 
@@ -246,9 +248,9 @@ def piece_bytes(tokenizer) -> list[bytes]:
 
 
 @cache
-def codec(tokenizer_file: str) -> ChunkCodec:
-    """One codec per worker and tokenizer file."""
-    return ChunkCodec(tokenizer_file)
+def codec(tokenizer_file: str, remembered: int = REMEMBERED_IDS, batch: int = BATCH) -> ChunkCodec:
+    """One codec per worker, tokenizer file and sizes."""
+    return ChunkCodec(tokenizer_file, remembered, batch)
 
 
 def encode_decode(df: DataFrame, tokenizer_file: str, text_col: str = "text", with_ids: bool = False) -> DataFrame:

@@ -45,6 +45,9 @@ from .files import open_folder
 
 MAGIC = b"LWIDS001"
 SHARD_IDS = 16_000_000
+# Sizes of the encoder. Nothing else runs in the worker meanwhile, so it may hold more than the encoder does by itself.
+REMEMBERED_IDS = 4_000_000
+BATCH = 1 << 19
 _FINGERPRINT = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -237,7 +240,7 @@ def write_ids(df: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_c
     order = [F.col("k").asc_nulls_first(), F.xxhash64("t")]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = codec(tokenizer_file)
+        coder = codec(tokenizer_file, REMEMBERED_IDS, BATCH)
         width = 2 if coder.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
         keys, held, size, out = [], [], 0, []
         for batch in batches:
@@ -250,7 +253,8 @@ def write_ids(df: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_c
                     keys, held, size = keys[len(held) :], [], 0
         if held:
             out.append(write_shard(folder, keys, held, width))
-        coder.forget()
+        # The worker's next partition has the same words.
+        coder.forget(words=False)
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
