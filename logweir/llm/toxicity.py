@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from . import hashing as H
 from .columns import col, utf8, with_result
+from .memory import trim
 
 COLUMNS = 1 << 20
 #: Letters of a word, as UTF-8 bytes of lower-cased text: a to z and all beyond ASCII.
@@ -108,6 +109,7 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
         return FactorizationMachine(none.astype(np.int64), -35.0, none, np.zeros((0, rank)))
     y = sample.column("y").to_numpy().astype(float)
     lists = sample.column("x").combine_chunks()
+    del sample
     owner = np.repeat(np.arange(len(y), dtype=np.int32), lists.value_lengths().to_numpy())
     flat = lists.flatten().to_numpy()
     if y.min() == y.max():
@@ -120,7 +122,9 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
     owner, index = owner[here], np.searchsorted(columns, flat[here])
     # Factors of screened pairs have to grow from nothing to what their linear weights cannot say.
     pace = np.where(np.isin(columns, paired), 0.5, 0.05)[:, None] * rate
-    del sample, lists, flat, here
+    del lists, flat, here
+    # The sample's terms are some 100 MB, of which the kept ones are a small part.
+    trim()
     n, k = len(y), len(columns)
     linear, factors = np.zeros(k), np.random.default_rng(7).normal(0, 0.02, (k, rank))
     bias = float(np.log(y.mean() / (1 - y.mean())))
@@ -137,6 +141,8 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
         linear = linear - rate * slope / np.sqrt(seen)
         factors = factors - pace * slope_f / np.sqrt(seen_f)
         bias -= rate * error.sum() / np.sqrt(seen_b)
+    del owner, index
+    trim()
     return FactorizationMachine(columns, float(bias), linear, factors)
 
 
@@ -146,11 +152,20 @@ def _gain(k: np.ndarray, n: float, share: np.ndarray) -> np.ndarray:
         return np.where(k > 0, k * np.log(k / np.maximum(n * share, 1e-12)), 0)
 
 
+def _held(flat: np.ndarray, owner: np.ndarray | None = None, chosen: np.ndarray | None = None, step: int = 1 << 20) -> np.ndarray:
+    """Documents by column, of the ``chosen`` ones if given; counted in pieces, as numpy makes 64-bit copies of what it counts."""
+    out = np.zeros(COLUMNS, np.int64)
+    for a in range(0, len(flat), step):
+        some = flat[a : a + step]
+        out += np.bincount(some if chosen is None else some[chosen[owner[a : a + step]]], minlength=COLUMNS)
+    return out
+
+
 def telling_columns(owner: np.ndarray, flat: np.ndarray, y: np.ndarray, terms: int) -> np.ndarray:
     """The columns in which the labels differ most (likelihood-ratio statistic), at least in 3 documents each."""
     n1, n0 = y.sum(), len(y) - y.sum()
-    both = np.bincount(flat, minlength=COLUMNS).astype(float)
-    a = np.bincount(flat[y[owner] > 0], minlength=COLUMNS).astype(float)
+    both = _held(flat).astype(float)
+    a = _held(flat, owner, y > 0).astype(float)
     some = np.flatnonzero(both >= 3)
     a, b = a[some], both[some] - a[some]
     share = (a + b) / len(y)
@@ -163,7 +178,7 @@ def telling_columns(owner: np.ndarray, flat: np.ndarray, y: np.ndarray, terms: i
 def paired_columns(owner: np.ndarray, flat: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Columns of the frequent terms' pairs that say more about the label together than both say alone."""
     n, n1 = len(y), y.sum()
-    held = np.bincount(flat, minlength=COLUMNS)
+    held = _held(flat)
     # A term in almost every document says as little as one in almost none.
     frequent = np.sort(np.argsort(-np.minimum(held, n - held), kind="stable")[:FREQUENT])
     frequent = frequent[np.minimum(held, n - held)[frequent] >= 5]
@@ -172,8 +187,8 @@ def paired_columns(owner: np.ndarray, flat: np.ndarray, y: np.ndarray) -> np.nda
         return frequent[:0]
     place = np.full(COLUMNS, -1, np.int32)
     place[frequent] = np.arange(k)
-    at = place[flat]
-    rows, at = owner[at >= 0], at[at >= 0]
+    here = place[flat] >= 0
+    rows, at = owner[here], place[flat[here]]
     together = np.zeros((2, k, k), np.float32)
     for first in range(0, n, 1000):
         a, b = np.searchsorted(rows, [first, first + 1000])
